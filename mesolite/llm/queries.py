@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mesolite.llm import chat_format, decontamination, language_id, mixing
+from mesolite.llm import chat_format, decontamination, jaccard_join, language_id, mixing
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op4_mixing": mixing.op4_mixing,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontamination": decontamination.op9_decontamination,
