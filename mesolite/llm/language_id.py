@@ -163,8 +163,8 @@ def phrases(raw: np.ndarray, offsets: np.ndarray, machines: list[Automaton]) ->
     order = np.argsort(-length, kind="stable")
     owner, begin, length = owner[order], begin[order], length[order]
     live = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # blocks longer than t
-    for lo in range(0, total, 8192):
-        hi = min(total, lo + 8192)
+    for lo in range(0, total, 2048):
+        hi = min(total, lo + 2048)
         steps = int(length[lo])
         grid = np.zeros((hi - lo, steps), np.uint8)
         at = np.arange(steps)
