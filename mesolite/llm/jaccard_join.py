@@ -32,14 +32,13 @@ keep their size and have no component; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesolite.llm import _words as W
+from mesolite.llm._fold import emit_chunks, fold_fixed
 from mesolite.llm._spark import documents, written
 from mesolite.llm.components import components
 
@@ -65,31 +64,6 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _fixed_sum(df: DataFrame, run, dtype: str, how) -> np.ndarray:
-    """An array of fixed size folded over all tasks, chunk by chunk; ``run`` gives (chunk, data) rows."""
-
-    def fold(pdf):
-        total = None
-        for data in pdf["data"]:
-            x = np.frombuffer(zlib.decompress(data), dtype)
-            total = x.copy() if total is None else how(total, x)
-        return pdf.iloc[:1].assign(data=[zlib.compress(total.tobytes(), 1)])
-
-    # two steps, so that no task folds the chunks of all tasks
-    parts = df.mapInArrow(run, "chunk int, part int, data binary")
-    rows = parts.groupBy("chunk", "part").applyInPandas(fold, "chunk int, part int, data binary").groupBy("chunk").applyInPandas(fold, "chunk int, part int, data binary")
-    got = sorted((r.chunk, r.data) for r in rows.collect())
-    return np.concatenate([np.frombuffer(zlib.decompress(d), dtype) for _, d in got]) if got else np.zeros(0, dtype)
-
-
-def _emit_chunks(array: np.ndarray, chunks: int = 8):
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId() // 32
-    pieces = np.split(array, chunks)
-    return pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([part] * chunks, pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in pieces], pa.binary())], names=["chunk", "part", "data"])
-
-
 def frequency_sketch(docs: DataFrame, text_col: str, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """How many documents hold a shingle, in hashed counters over all documents."""
 
@@ -98,9 +72,9 @@ def frequency_sketch(docs: DataFrame, text_col: str, words: int, bits: int = SKE
         for batch in batches:
             flat, _ = shingle_sets(batch.column(0), words)
             total += np.bincount((flat >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield _emit_chunks(total)
+        yield emit_chunks(total)
 
-    got = _fixed_sum(docs.select(text_col), run, "<i8", np.add)
+    got = fold_fixed(docs.select(text_col), run, "<i8", np.add)
     return got if len(got) else np.zeros(1 << bits, np.int64)
 
 
@@ -160,9 +134,9 @@ def id_filter(ids: DataFrame, bits: int = 23) -> np.ndarray:
             for k in (0, 32):
                 at = (h >> np.uint64(k)) & np.uint64((1 << bits) - 1)
                 np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        yield _emit_chunks(seen)
+        yield emit_chunks(seen)
 
-    got = _fixed_sum(ids, run, "u1", np.bitwise_or)
+    got = fold_fixed(ids, run, "u1", np.bitwise_or)
     return got if len(got) else np.zeros(1 << (bits - 3), np.uint8)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mesolite.llm import chat_format, decontamination, jaccard_join, language_id, mixing, pii, secret_scan
+from mesolite.llm import chat_format, decontamination, jaccard_join, language_id, lm_score, mixing, pii, secret_scan
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_pii": pii.op3_pii,
     "op4_mixing": mixing.op4_mixing,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontamination": decontamination.op9_decontamination,
