@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mesolite.llm import chat_format, decontamination, jaccard_join, language_id, lm_score, mixing, pii, secret_scan
+from mesolite.llm import chat_format, decontamination, jaccard_join, language_id, lm_score, mixing, pii, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLE_SQL = {
