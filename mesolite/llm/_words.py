@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _K1 = _U(0x9E3779B97F4A7C15)
@@ -56,6 +57,20 @@ def utf8_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def pieces(batches, column: int | str, most: int = 1 << 21):
+    """The batches, cut so that a piece holds about ``most`` bytes of the column at most (one row at least)."""
+    for batch in batches:
+        values = batch.column(column)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(values), 0)).astype(np.int64)
+        lo, n = 0, batch.num_rows
+        ends = np.cumsum(lengths)
+        while lo < n:
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def split_words(raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in ``raw``, and the first word of each row (one more than the rows)."""
     n = len(raw)

@@ -84,7 +84,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> dict[
     def run(batches):
         known = shared.value
         total = np.zeros(len(known), np.int64)
-        for batch in batches:
+        for batch in W.pieces(batches, 0):
             words, _ = W.fold_words(batch.column(0), W.ALNUM)
             if len(words):
                 at = np.minimum(np.searchsorted(known, words), len(known) - 1)
@@ -159,7 +159,7 @@ def mark(docs: DataFrame, win: Windows, text_col: str) -> DataFrame:
 
     def run(batches):
         w = shared.value
-        for batch in batches:
+        for batch in W.pieces(batches, text_col):
             words, first = W.fold_words(batch.column(text_col), W.ALNUM)
             n = batch.num_rows
             spans, items = [[] for _ in range(n)], [[] for _ in range(n)]

@@ -69,7 +69,7 @@ def frequency_sketch(docs: DataFrame, text_col: str, words: int, bits: int = SKE
 
     def run(batches):
         total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
+        for batch in W.pieces(batches, 0):
             flat, _ = shingle_sets(batch.column(0), words)
             total += np.bincount((flat >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         yield emit_chunks(total)
@@ -109,7 +109,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str, wo
         counters = shared.value
         load = counters.mean()
         noise = load + 4 * np.sqrt(load)
-        for batch in batches:
+        for batch in W.pieces(batches, 1):
             flat, bounds = shingle_sets(batch.column(1), words)
             sizes = np.diff(bounds)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(flat + np.uint64(s)))]) for s in (1, 0x51ED270B)]
@@ -157,7 +157,7 @@ def candidate_sets(docs: DataFrame, wanted: np.ndarray, sketch: np.ndarray, id_c
     def run(batches):
         counters, seen = shared.value
         noise = counters.mean() + 4 * np.sqrt(counters.mean())
-        for batch in batches:
+        for batch in W.pieces(batches, 1):
             keep = maybe_in(batch.column(0).to_numpy(), seen)
             batch = batch.filter(pa.array(keep))
             flat, bounds = shingle_sets(batch.column(1), words)

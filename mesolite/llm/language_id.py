@@ -195,7 +195,7 @@ def identify(docs: DataFrame, machines: list[Automaton], text_col: str = "text")
         names = np.array([m.lang for m in ms] + [UND], dtype=object)
         rate = np.array([np.log2(m.size + 1) for m in ms])
         rank = np.argsort([(-m.size) for m in ms], kind="stable")
-        for batch in batches:
+        for batch in W.pieces(batches, text_col):
             letter = batch.column("has_letter__").to_numpy(zero_copy_only=False).astype(bool)
             raw, off = W.utf8_buffer(batch.column(text_col))
             n = len(letter)
