@@ -91,13 +91,16 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 1) -> Da
     return level
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, shards: int = SHARDS, weigh=weights_123) -> DataFrame:
-    """One row for each document: its id, size, source_size, target, taken and ``copies`` (pass, words, shard)."""
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, shards: int = SHARDS, weigh=weights_123, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: its id, source, size, source_size, target, taken and ``copies`` (pass, words, shard).
+
+    ``carry`` names columns of ``docs`` that come along (not id and source).
+    """
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")
-    )
-    sized = written(sized.withColumn("block", F.conv(F.substring("key", 1, HEX), 16, 10).cast("int")), "mixing-sizes")
+    lazy = docs.select(
+        *carry, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")
+    ).withColumn("block", F.conv(F.substring("key", 1, HEX), 16, 10).cast("int"))
+    sized = written(lazy.drop(*carry), "mixing-sizes")
     blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = written(blocks.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))), "mixing-blocks")
@@ -125,7 +128,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     few = sources.count() <= MOST_SOURCES_TO_BROADCAST
 
     params = sources.withColumnRenamed("source", "s")
-    joined = sized.join(F.broadcast(params) if few else params, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    joined = (lazy if carry else sized).join(F.broadcast(params) if few else params, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     at_edge = joined.filter(F.col("block") == F.col("edge"))
     upto = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     clipped = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("edge_before") - F.coalesce(F.sum("size").over(upto), F.lit(0))))
@@ -137,7 +140,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         f" if(extra > 0, array(struct(passes AS pass, extra AS words, {shard('passes')} AS shard)), cast(array() AS array<struct<pass: int, words: bigint, shard: int>>)))"
     )
     rows = others.unionByName(at_edge).withColumn("taken", F.col("passes") * F.col("size") + F.col("extra")).withColumn("copies", copies)
-    return rows.select("doc_id", "source", "key", "size", "source_size", "target", "taken", "copies")
+    return rows.select(*carry, "doc_id", "source", "key", "size", "source_size", "target", "taken", "copies")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, shards: int = SHARDS) -> DataFrame:

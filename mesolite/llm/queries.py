@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mesolite.llm import chat_format, decontamination, jaccard_join, language_id, lm_score, mixing, pii, secret_scan, substring_dedup
+from mesolite.llm import bm25_search, chat_format, decontamination, jaccard_join, language_id, lm_score, mixing, pii, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_pii": pii.op3_pii,
     "op4_mixing": mixing.op4_mixing,
+    "op5_bm25_search": bm25_search.op5_bm25_search,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_chat_format": chat_format.op8_chat_format,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE_SQL,
+    "op5_bm25_search": bm25_search.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
 }
