@@ -42,7 +42,7 @@ from mesolite.llm._fold import emit_chunks, fold_fixed
 from mesolite.llm._spark import documents, written
 from mesolite.llm.components import components
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 MOST_MATCHES = 4
 VERIFY_COST = 20.0
 FIRST_PIVOTS, PIVOT_GROWTH = 4, 8
@@ -68,14 +68,15 @@ def frequency_sketch(docs: DataFrame, text_col: str, words: int, bits: int = SKE
     """How many documents hold a shingle, in hashed counters over all documents."""
 
     def run(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in W.pieces(batches, 0):
             flat, _ = shingle_sets(batch.column(0), words)
-            total += np.bincount((flat >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            at, n = np.unique((flat >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            total[at] += n.astype(np.int32)
         yield emit_chunks(total)
 
-    got = fold_fixed(docs.select(text_col), run, "<i8", np.add)
-    return got if len(got) else np.zeros(1 << bits, np.int64)
+    got = fold_fixed(docs.select(text_col), run, "<i4", np.add)
+    return got if len(got) else np.zeros(1 << bits, np.int32)
 
 
 def prefix_of(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
@@ -198,8 +199,13 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ha", "la", "sb", "hb", "lb").mapInArrow(run, "a long, b long")
 
 
-def link_components(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, component) over all verified links among the postings (token, id, n, pos, rn); None without postings."""
+def link_components(postings: DataFrame, fetch, percent: int) -> DataFrame | None:
+    """(node, component) over all verified links among the postings (token, id, n, pos, rn); None without postings.
+
+    ``fetch`` gives the sets of (at least) the ids of a table.  A pair is let
+    through where it could still reach the similarity if this shingle is its
+    first common one; the first common one of a similar pair always is.
+    """
     longest = postings.agg(F.max("rn")).first()[0]
     if longest is None:
         return None
@@ -215,13 +221,13 @@ def link_components(postings: DataFrame, sets: DataFrame, percent: int) -> DataF
         one = rows.filter((F.col("rn") > lo) & (F.col("rn") <= hi)).select("token", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "rn", "component")))
         least = F.ceil(percent * (F.col("n") + F.col("n_")) / (100 + percent))
         near = (F.col("rn") > F.col("rn_")) & (F.col("component") != F.col("component_")) & (F.col("id") != F.col("id_"))
-        size = (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) + F.least("pos", "pos_") >= least)
+        size = (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= least)
         pairs = one.join(rows, "token").filter(near & size).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = verify(pairs, sets, percent)
+        links = verify(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), percent)
         if comps is not None:
             name = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
             links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct()
@@ -253,9 +259,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     postings = postings.select("token", "id", "n", "pos", F.row_number().over(w).alias("rn"), F.lead("id").over(w).alias("more"))
     postings = written(postings.filter((F.col("rn") > 1) | F.col("more").isNotNull()).drop("more"), "postings")
 
-    wanted = id_filter(postings.select("id").distinct())
-    sets = written(candidate_sets(rows, wanted, sketch, "doc_id", "text", words, percent), "sets")
-    comps = link_components(postings, sets, percent)
+    def fetch(ids: DataFrame) -> DataFrame:
+        return written(candidate_sets(rows, id_filter(ids), sketch, "doc_id", "text", words, percent), "sets")
+
+    comps = link_components(postings, fetch, percent)
     names = classes
     if comps is not None:
         names = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -167,7 +167,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ranked = bucket.join(names.filter("u = rep"), "u").select(F.col("key").alias("token"), F.col("u").alias("id"), F.col("size").alias("n"), F.lit(0).alias("pos")).distinct()
     ranked = written(ranked.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy("id"))), "bands")
     sets = own.join(names.filter("u = rep").select("u"), "u").select(F.col("u").alias("id"), "own", F.col("own").alias("head"), F.lit(0).alias("l"))
-    comps = link_components(ranked, written(sets, "sets"), PERCENT)
+    sets = written(sets, "sets")
+    comps = link_components(ranked, lambda ids: sets, PERCENT)
     named = names.select("u", "rep")
     if comps is not None:
         named = named.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("u", F.coalesce("component", "rep").alias("c"))
