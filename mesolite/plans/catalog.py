@@ -1,10 +1,428 @@
-"""Queries of the particle operators over the driver's tables, with their SQL."""
+"""Queries of the particle operators over the driver's tables, each with its SQL where SQL expresses it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mesolite.functions import ieee
+from mesolite.operators import aggregates as A
+from mesolite.operators import bonds as B
+from mesolite.operators import clusters as C
+from mesolite.operators import combine as M
+from mesolite.operators import neighbors as N
+from mesolite.operators import properties as P
+from mesolite.operators import reference as R
+from mesolite.operators import selection as S
+from mesolite.operators import structure as X
+from mesolite.operators import trajectory as T
+from mesolite.plans.tables import BOX, CUTOFF, EVENTS_SQL, ORDERS_SQL, PARTS_SQL, TRACK, events, neighbors_sql, orders, parts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c) -> F.Column:
+    """Six digits, zero without a sign."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(0.0), 6) + F.lit(0.0)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selection, computed property, deletion, histogram."""
+    p = S.select_expression(orders(spark, sf_dir), (F.col("total_price") > 250000) & (F.col("particle_type") == 1))
+    p = P.compute_property(p, "scaled", "total_price / 1000D")
+    kept, _ = S.delete_selected(p)
+    return A.histogram(kept, F.col("scaled"), bins=50, start=0.0, end=500.0).select(F.col("bin"), r6("x").alias("x"), "count")
+
+
+PW = f"WITH {ORDERS_SQL}"
+NB = f"WITH {ORDERS_SQL}, {neighbors_sql()}"
+
+query(f"""{PW}, k AS (SELECT v / 1000 AS s FROM p WHERE NOT (v > 250000 AND t = 1)), c AS (SELECT least(49, trunc(s / 10)::INT) AS bin, count(*) AS n FROM k WHERE s BETWEEN 0 AND 500 GROUP BY 1)
+SELECT cast(range AS INTEGER) AS bin, round((range + 0.5) * 10.0, 6)::DOUBLE AS x, cast(coalesce(n, 0) AS BIGINT) AS count FROM range(50) LEFT JOIN c ON bin = range""")(flagship)
+
+
+@query(f"{PW} SELECT idx, cast(CASE WHEN v > 200000 AND t = 2 THEN 1 ELSE 0 END AS INTEGER) AS selection FROM p")
+def expr_select(spark, sf):
+    return S.select_expression(orders(spark, sf), "total_price > 200000 AND particle_type = 2").select("idx", "selection")
+
+
+@query("SELECT cast(0 AS INTEGER) AS frame, count(*) FILTER (l_quantity > 25 AND l_discount < 0.05) AS count FROM lineitem")
+def expr_select_count(spark, sf):
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("frame", F.lit(0))
+    return S.selected_count(S.select_expression(t, "l_quantity > 25 AND l_discount < 0.05D"))
+
+
+@query(f"{PW} SELECT idx, round(sqrt(v) * 2 + t, 6) AS score FROM p")
+def compute_scalar(spark, sf):
+    return P.compute_property(orders(spark, sf), "score", "sqrt(total_price) * 2 + particle_type").select("idx", r6("score").alias("score"))
+
+
+@query(f"{PW} SELECT idx, round(x / 100, 6) AS rx, round(y * 2, 6) AS ry, round(x + y + z, 6) AS rz FROM p")
+def compute_vector(spark, sf):
+    p = P.compute_property(orders(spark, sf), "w", ["position.x / 100", "position.y * 2", "position.x + position.y + position.z"], ["x", "y", "z"])
+    return p.select("idx", r6("w.x").alias("rx"), r6("w.y").alias("ry"), r6("w.z").alias("rz"))
+
+
+@query(f"{PW} SELECT idx, round(CASE WHEN t = 1 THEN x * 2 ELSE v END, 6) AS total_price FROM p")
+def compute_only_selected(spark, sf):
+    p = S.select_type(orders(spark, sf), "particle_type", [1])
+    return P.compute_property(p, "total_price", "position.x * 2", only_selected=True).select("idx", r6("total_price").alias("total_price"))
+
+
+@query(f"{PW} SELECT idx, CASE WHEN t <> 2 THEN v / (t - 2) WHEN v = 0 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END > 1000 AS big FROM p")
+def ieee_division(spark, sf):
+    return orders(spark, sf).select("idx", (ieee.gt(ieee.divide(F.col("total_price"), F.col("particle_type") - 2), F.lit(1000.0)) == 1).alias("big"))
+
+
+@query(f"{PW} SELECT idx, cast((t IN (1, 3))::INT AS INTEGER) AS selection FROM p")
+def select_type(spark, sf):
+    return S.select_type(orders(spark, sf), "particle_type", ["F", "P"], {"F": 1, "O": 2, "P": 3}).select("idx", "selection")
+
+
+@query(f"{PW} SELECT idx, cast(1 - (v > 100000)::INT AS INTEGER) AS selection FROM p")
+def invert_selection(spark, sf):
+    return S.invert_selection(S.select_expression(orders(spark, sf), "total_price > 100000")).select("idx", "selection")
+
+
+@query(f"{PW} SELECT idx, cast((idx IN (SELECT p_partkey FROM part))::INT AS INTEGER) AS selection FROM p")
+def manual_selection(spark, sf):
+    return S.manual_selection(orders(spark, sf), parts(spark, sf)).select("idx", "selection")
+
+
+@query(f"{NB}, s AS (SELECT idx FROM p WHERE v > 400000) SELECT idx, cast((idx IN (SELECT idx FROM s) OR idx IN (SELECT j FROM nb WHERE i IN (SELECT idx FROM s)))::INT AS INTEGER) AS selection FROM p")
+def expand_selection_cutoff(spark, sf):
+    p = S.select_expression(orders(spark, sf), "total_price > 400000")
+    return S.expand_selection(p, BOX, cutoff=CUTOFF).select("idx", "selection")
+
+
+@query(f"""{NB}, s0 AS (SELECT idx FROM p WHERE v > 450000), l AS (SELECT i, j FROM nb),
+s1 AS (SELECT idx FROM s0 UNION SELECT j FROM l WHERE i IN (SELECT idx FROM s0)), s2 AS (SELECT idx FROM s1 UNION SELECT j FROM l WHERE i IN (SELECT idx FROM s1))
+SELECT idx, cast((idx IN (SELECT idx FROM s2))::INT AS INTEGER) AS selection FROM p""")
+def expand_selection_bonded(spark, sf):
+    p = S.select_expression(orders(spark, sf), "total_price > 450000")
+    return S.expand_selection(p, BOX, mode="bonded", iterations=2, bonds=B.create_bonds(p, BOX, CUTOFF)).select("idx", "selection")
+
+
+@query(f"{PW} SELECT idx, cast((v BETWEEN 50000 AND 150000 AND x BETWEEN 20 AND 70)::INT AS INTEGER) AS selection FROM p")
+def scatter_ranges(spark, sf):
+    return S.select_range(orders(spark, sf), (F.col("total_price"), 150000.0, 50000.0), (F.col("position.x"), 20.0, 70.0)).select("idx", "selection")
+
+
+@query(f"{PW} SELECT idx, round(v, 6) AS x, round(z, 6) AS y FROM p")
+def scatter_plot(spark, sf):
+    return A.scatter(orders(spark, sf), F.col("total_price"), F.col("position.z")).select("idx", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query(f"{PW} SELECT idx FROM p WHERE NOT (x / sqrt(3) + y / sqrt(3) + z / sqrt(3) - 80.05 > 0)")
+def slice_halfspace(spark, sf):
+    return S.slice_plane(orders(spark, sf), (1, 1, 1), 80.05).select("idx")
+
+
+@query(f"{PW} SELECT idx FROM p WHERE NOT (abs(z - 50) <= 10.05)")
+def slice_slab_inverse(spark, sf):
+    return S.slice_plane(orders(spark, sf), (0, 0, 0), 50, slab_width=20.1, inverse=True).select("idx")
+
+
+@query(f"""{NB}, k AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS n FROM p WHERE t <> 1)
+SELECT a.n AS a, b.n AS b FROM nb JOIN k a ON a.idx = i JOIN k b ON b.idx = j WHERE i < j""")
+def delete_selected_cascade(spark, sf):
+    p = S.select_type(orders(spark, sf), "particle_type", [1])
+    _, rest = S.delete_selected(p, {"bonds": (B.create_bonds(p, BOX, CUTOFF), ["a", "b"])})
+    return rest["bonds"].select("a", "b")
+
+
+def _histogram_sql(where: str, lo: str, hi: str, bins: int, filter_range: bool) -> str:
+    inside = "WHERE v BETWEEN lo AND hi" if filter_range else ""
+    return f"""{PW}, k AS (SELECT v FROM p {where}), g AS (SELECT ({lo})::DOUBLE AS lo, ({hi})::DOUBLE AS hi FROM k),
+c AS (SELECT least({bins - 1}, trunc((v - lo) / ((hi - lo) / {bins}))::INT) AS bin, count(*) AS n FROM k, g {inside} GROUP BY 1)
+SELECT cast(range AS INTEGER) AS bin, round(lo + (range + 0.5) * ((hi - lo) / {bins}), 6) AS x, cast(coalesce(n, 0) AS BIGINT) AS count FROM range({bins}) CROSS JOIN g LEFT JOIN c ON bin = range"""
+
+
+@query(_histogram_sql("", "min(v)", "max(v)", 200, False))
+def histogram_auto(spark, sf):
+    return A.histogram(orders(spark, sf), F.col("total_price")).select("bin", r6("x").alias("x"), "count")
+
+
+@query(_histogram_sql("", "any_value(50000.5)", "any_value(350000.5)", 60, True))
+def histogram_fixed(spark, sf):
+    return A.histogram(orders(spark, sf), F.col("total_price"), 60, start=50000.5, end=350000.5).select("bin", r6("x").alias("x"), "count")
+
+
+@query(_histogram_sql("WHERE t = 3", "min(v)", "max(v)", 40, False))
+def histogram_selected(spark, sf):
+    p = S.select_type(orders(spark, sf), "particle_type", [3])
+    return A.histogram(p, F.col("total_price"), 40, only_selected=True).select("bin", r6("x").alias("x"), "count")
+
+
+@query(f"{PW}, g AS (SELECT min(v) AS lo, max(v) AS hi FROM p) SELECT idx, round(least(1, greatest(0, (v - lo) / (hi - lo))), 6) AS gray FROM p, g")
+def color_code_gray(spark, sf):
+    p = orders(spark, sf)
+    lo, hi = P.color_range(p, F.col("total_price"))
+    return P.color_coding(p, F.col("total_price"), lo, hi, "grayscale").select("idx", r6("color.g").alias("gray"))
+
+
+@query(f"{PW} SELECT idx, (CASE WHEN t = 2 THEN 0.25 ELSE 1.0 END)::DOUBLE AS red FROM p")
+def assign_color(spark, sf):
+    return P.assign_color(S.select_type(orders(spark, sf), "particle_type", [2]), (0.25, 0.5, 0.75)).select("idx", F.col("color.r").alias("red"))
+
+
+@query(f"{PW} SELECT idx, round(2 * x + y + 5, 6) AS x, round(y - 3, 6) AS y, round(0.5 * z, 6) AS z FROM p")
+def affine_transform(spark, sf):
+    p, _ = P.affine_transform(orders(spark, sf), BOX, [[2, 1, 0], [0, 1, 0], [0, 0, 0.5]], (5, -3, 0))
+    return p.select("idx", *[r6(f"position.{c}").alias(c) for c in "xyz"])
+
+
+@query(f"{PW} SELECT idx, round(x * 3 - 100 * floor(x * 3 / 100), 6) AS x, round(y - 45.05 - 100 * floor((y - 45.05) / 100), 6) AS y FROM p")
+def wrap_periodic(spark, sf):
+    p, _ = P.affine_transform(orders(spark, sf), BOX, [[3, 0, 0], [0, 1, 0], [0, 0, 1]], (0, -45.05, 0))
+    p, _ = P.wrap(p, BOX)
+    return p.select("idx", r6("position.x").alias("x"), r6("position.y").alias("y"))
+
+
+@query(f"{PW} SELECT cast(range AS INTEGER) AS particle_type, (SELECT count(*) FROM p WHERE t = range) AS count FROM range(4)")
+def type_counts(spark, sf):
+    return A.type_counts(orders(spark, sf), "particle_type").select("particle_type", "count")
+
+
+for _op, _sql in {"sum": "sum(v)", "mean": "avg(v)", "min": "min(v)", "max": "max(v)", "density": "sum(v) / (1000000.0::DOUBLE / 400)"}.items():
+
+    def _binning(spark, sf, op=_op):
+        return A.spatial_binning(orders(spark, sf), BOX, F.col("total_price"), (20, 20), (0, 2), op).select("bin_0", "bin_2", F.round("value", 4).alias("value"))
+
+    _binning.__name__ = f"spatial_bin_{_op}"
+    query(f"{PW} SELECT cast(floor(x / 100 * 20) AS INTEGER) AS bin_0, cast(floor(z / 100 * 20) AS INTEGER) AS bin_2, round({_sql}, 4) AS value FROM p GROUP BY 1, 2")(_binning)
+
+
+@query(f"""{PW}, b AS (SELECT cast(floor(y / 100 * 25) AS INTEGER) AS bin_1, avg(v) AS m FROM p GROUP BY 1),
+w AS (SELECT bin_1, m, lag(m) OVER (ORDER BY bin_1) AS a, lead(m) OVER (ORDER BY bin_1) AS c FROM b)
+SELECT bin_1, round((coalesce(c, m) - coalesce(a, m)) / (CASE WHEN a IS NULL OR c IS NULL THEN 4.0 ELSE 8.0 END)::DOUBLE, 4) AS value FROM w""")
+def spatial_bin_derivative(spark, sf):
+    return A.spatial_binning(orders(spark, sf), BOX, F.col("total_price"), (25,), (1,), derivative=True).select("bin_1", F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT a.idx, round(b.v, 6) AS frozen FROM e a JOIN e b ON a.id = b.id AND b.frame = 0")
+def freeze_property(spark, sf):
+    return R.freeze_property(events(spark, sf), "value", "frozen").select("idx", r6("frozen").alias("frozen"))
+
+
+@query(f"""WITH {EVENTS_SQL}, d AS (SELECT a.idx, a.x - b.x AS dx, a.y - b.y AS dy FROM e a JOIN e b ON a.id = b.id AND b.frame = 0)
+SELECT idx, round(dx - 500 * floor(dx / 500 + 0.5), 6) AS dx, round(sqrt(power(dx - 500 * floor(dx / 500 + 0.5), 2) + power(dy - 500 * floor(dy / 500 + 0.5), 2)), 6) AS size FROM d""")
+def displacement_mic(spark, sf):
+    return R.displacements(events(spark, sf), TRACK).select("idx", r6("displacement.x").alias("dx"), r6("displacement_magnitude").alias("size"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT a.idx, round(b.v, 6) AS before FROM e a LEFT JOIN e b ON a.id = b.id AND b.frame = a.frame - 1")
+def reference_offset(spark, sf):
+    e = events(spark, sf)
+    return R.match(e, e, ["value"], offset=-1, check=False).select("idx", r6("ref_value").alias("before"))
+
+
+@query(f"""WITH {ORDERS_SQL}, {PARTS_SQL} SELECT idx AS id, round(x, 6) AS x, cast(t AS INTEGER) AS t, round(v, 6) AS v FROM p
+UNION ALL SELECT (SELECT max(idx) FROM p) + 1 + idx, round(x, 6), t, round(v, 6) FROM pp""")
+def combine_datasets(spark, sf):
+    both = M.combine(orders(spark, sf), parts(spark, sf))
+    return both.select(F.col("particle_identifier").alias("id"), r6("position.x").alias("x"), F.col("particle_type").cast("int").alias("t"), r6("total_price").alias("v"))
+
+
+@query(f"""{PW}, g AS (SELECT max(idx) - min(idx) + 1 AS w FROM p) SELECT idx + w * (range * 3 + r2) AS id, round(x + 100 * range, 6) AS x, round(z + 100 * (r2 - 1), 6) AS z
+FROM p, g, range(2), (SELECT range AS r2 FROM range(3))""")
+def replicate_2x1x3(spark, sf):
+    p, _ = M.replicate(orders(spark, sf), BOX, (2, 1, 3))
+    return p.select(F.col("particle_identifier").alias("id"), r6("position.x").alias("x"), r6("position.z").alias("z"))
+
+
+@query(f"{NB} SELECT i, j, round(d2, 6) AS d2 FROM nb")
+def neighbors_cutoff_pbc(spark, sf):
+    return N.neighbors(orders(spark, sf), BOX, CUTOFF).select("i", "j", r6("d2").alias("d2"))
+
+
+@query(f"{NB} SELECT idx, cast(count(j) AS INTEGER) AS coordination FROM p LEFT JOIN nb ON i = idx GROUP BY idx")
+def coordination(spark, sf):
+    return A.coordination(orders(spark, sf), BOX, CUTOFF).select("idx", "coordination")
+
+
+SHELL = "4.0::DOUBLE / 3 * pi() * (power((range + 1) * 0.059, 3) - power(range * 0.059, 3))"
+
+
+@query(f"""{NB}, c AS (SELECT least(49, trunc(sqrt(d2) / 0.059)::INT) AS bin, count(*) AS n FROM nb GROUP BY 1), s AS (SELECT count(*)::DOUBLE AS m FROM p)
+SELECT cast(range AS INTEGER) AS bin, cast(coalesce(n, 0) AS BIGINT) AS count, round(coalesce(n, 0) / (m * m / 1000000.0::DOUBLE * ({SHELL})), 4) AS g FROM range(50) CROSS JOIN s LEFT JOIN c ON bin = range""")
+def rdf(spark, sf):
+    return A.rdf(orders(spark, sf), BOX, CUTOFF, 50).select("bin", "count", F.round("g", 4).alias("g"))
+
+
+@query(f"""{NB}, tp AS (SELECT least(a.t, b.t) AS type1, greatest(a.t, b.t) AS type2, least(49, trunc(sqrt(d2) / 0.059)::INT) AS bin, count(*) AS n FROM nb JOIN p a ON a.idx = i JOIN p b ON b.idx = j GROUP BY 1, 2, 3),
+s AS (SELECT t, count(*)::DOUBLE AS m FROM p GROUP BY 1)
+SELECT a.t AS type1, b.t AS type2, cast(range AS INTEGER) AS bin, cast(coalesce(n, 0) AS BIGINT) AS count,
+       round(coalesce(n, 0) / ((CASE WHEN a.t <> b.t THEN 2 ELSE 1 END) * a.m * b.m / 1000000.0::DOUBLE * ({SHELL})), 4) AS g
+FROM s a JOIN s b ON a.t <= b.t CROSS JOIN range(50) LEFT JOIN tp ON tp.type1 = a.t AND tp.type2 = b.t AND tp.bin = range""")
+def rdf_partial(spark, sf):
+    return A.rdf(orders(spark, sf), BOX, CUTOFF, 50, "particle_type").select("type1", "type2", "bin", "count", F.round("g", 4).alias("g"))
+
+
+@query(f"{NB} SELECT i AS a, j AS b, round(sqrt(d2), 6) AS length FROM nb WHERE i < j")
+def create_bonds_uniform(spark, sf):
+    return B.create_bonds(orders(spark, sf), BOX, CUTOFF).select("a", "b", r6("length").alias("length"))
+
+
+@query(f"{NB} SELECT i AS a, j AS b FROM nb JOIN p q ON q.idx = i JOIN p r ON r.idx = j WHERE i < j AND ((q.t = 1 AND r.t = 1 AND d2 <= 2.25 * 2.25) OR (least(q.t, r.t) = 1 AND greatest(q.t, r.t) = 2))")
+def create_bonds_pair(spark, sf):
+    return B.create_bonds(orders(spark, sf), BOX, pair_cutoffs={(1, 1): 2.25, (2, 1): CUTOFF}).select("a", "b")
+
+
+@query(f"{NB} SELECT p.idx, round(p.v + coalesce(sum(q.v / (1 + sqrt(d2))), 0), 4) AS field, count(j) AS num_neighbors FROM p LEFT JOIN nb ON i = p.idx LEFT JOIN p q ON q.idx = j GROUP BY p.idx, p.v")
+def neighbor_expr_sum(spark, sf):
+    p = P.neighbor_sum(orders(spark, sf), BOX, CUTOFF, F.col("total_price") / (1 + F.col("d")), "field", F.col("total_price"))
+    return p.select("idx", F.round("field", 4).alias("field"), "num_neighbors")
+
+
+@query("""WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[64] AS v FROM embeddings WHERE vec_id % 50 = 0), e AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS v FROM embeddings),
+d AS (SELECT q, id, round(power(array_distance(q.v, e.v), 2), 6) AS d2 FROM q, e), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, id) AS rank FROM d)
+SELECT q AS query, cast(rank AS INTEGER) AS rank, id, d2 FROM r WHERE rank <= 10""")
+def knn_embeddings(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return N.vectors_nearest(e, e.filter("vec_id % 50 = 0"), 10, "vec_id", "embedding")
+
+
+WS = f"""WITH {ORDERS_SQL}, {PARTS_SQL}, pb AS (SELECT *, least(9, floor(x / 10))::INT AS bx, least(9, floor(y / 10))::INT AS by_, least(9, floor(z / 10))::INT AS bz FROM pp),
+d AS (SELECT p.idx AS i, pp.idx AS site, power(p.x - pp.x - 100 * round((p.x - pp.x) / 100), 2) + power(p.y - pp.y - 100 * round((p.y - pp.y) / 100), 2) + power(p.z - pp.z - 100 * round((p.z - pp.z) / 100), 2) AS d2 FROM p, pp),
+m AS (SELECT i, min(struct_pack(d := round(d2, 6), s := site)) AS b FROM d GROUP BY i)"""
+
+
+@query(f"{WS} SELECT i, b.s AS site FROM m")
+def nearest_site(spark, sf):
+    near = N.closest_site(orders(spark, sf), parts(spark, sf), BOX)
+    return near.select("i", "site")
+
+
+@query(f"""{WS}, o AS (SELECT pp.idx, count(i) AS n FROM pp LEFT JOIN m ON b.s = pp.idx GROUP BY 1)
+SELECT count(*) FILTER (n = 0) AS vacancy_count, cast(coalesce(sum(n - 1) FILTER (n > 1), 0) AS BIGINT) AS interstitial_count FROM o""")
+def wigner_seitz(spark, sf):
+    return R.wigner_seitz(orders(spark, sf), parts(spark, sf), BOX)[1].select("vacancy_count", "interstitial_count")
+
+
+@query(f"""{NB}, c AS (SELECT least(58, trunc(sqrt(d2) / 0.05)::INT) AS bin, count(*) AS n FROM nb WHERE i < j AND sqrt(d2) <= 2.95 GROUP BY 1)
+SELECT cast(range AS INTEGER) AS bin, cast(coalesce(n, 0) AS BIGINT) AS count FROM range(59) LEFT JOIN c ON bin = range""")
+def bond_length_hist(spark, sf):
+    p = orders(spark, sf)
+    bonds = B.create_bonds(p, BOX, CUTOFF).withColumn("bond_idx", F.xxhash64("a", "b"))
+    return A.bond_length_histogram(bonds, p, BOX, CUTOFF, 59).select("bin", "count")
+
+
+@query(f"""{NB}, a AS (SELECT u.i AS center, round((u.dx * w.dx + u.dy * w.dy + u.dz * w.dz) / (sqrt(u.d2) * sqrt(w.d2)), 6) AS cosine FROM nb u JOIN nb w ON u.i = w.i AND u.j < w.j WHERE u.d2 > 0 AND w.d2 > 0)
+SELECT center, count(*) AS angles, round(sum(cosine), 4) AS total FROM a GROUP BY 1""")
+def bond_angles(spark, sf):
+    p = orders(spark, sf)
+    bonds = B.create_bonds(p, BOX, CUTOFF).withColumn("bond_idx", F.xxhash64("a", "b"))
+    a = A.bond_angle_cosines(bonds, p, BOX).withColumn("cosine", F.round("cosine", 6))
+    return a.groupBy("center").agg(F.count("*").alias("angles"), F.round(F.sum("cosine"), 4).alias("total"))
+
+
+@query(f"""WITH {PARTS_SQL}, d AS (SELECT a.idx AS i, b.idx AS j, b.x - a.x - 100 * round((b.x - a.x) / 100) AS dx, b.y - a.y - 100 * round((b.y - a.y) / 100) AS dy, b.z - a.z - 100 * round((b.z - a.z) / 100) AS dz FROM pp a, pp b WHERE a.idx <> b.idx),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(dx * dx + dy * dy + dz * dz, 6), j) AS rank FROM d WHERE dx * dx + dy * dy + dz * dz > 1e-9) WHERE rank <= 6)
+SELECT i, cast(rank AS INTEGER) AS rank, round(dx * dx + dy * dy + dz * dz, 4) AS d2 FROM k""")
+def k_nearest(spark, sf):
+    return N.nearest(parts(spark, sf), BOX, 6).select("i", "rank", F.round("d2", 4).alias("d2"))
+
+
+@query()
+def centrosymmetry(spark, sf):
+    return X.centrosymmetry(parts(spark, sf), BOX).select("idx", F.round("centrosymmetry", 4).alias("csp"))
+
+
+@query()
+def ackland_jones(spark, sf):
+    return X.ackland_jones(parts(spark, sf), BOX).select("idx", "structure_type")
+
+
+@query()
+def cna_adaptive(spark, sf):
+    return X.common_neighbors(parts(spark, sf), BOX).select("idx", "structure_type")
+
+
+@query(f"""{NB}, l AS (SELECT DISTINCT i, j FROM nb), c AS (SELECT b.i AS a, b.j AS b, u.j AS c FROM l b JOIN l u ON u.i = b.i JOIN l w ON w.i = b.j AND w.j = u.j WHERE b.i < b.j),
+e AS (SELECT x.a, x.b, count(*) AS n FROM c x JOIN c y ON x.a = y.a AND x.b = y.b AND x.c < y.c JOIN l ON l.i = x.c AND l.j = y.c GROUP BY ALL), n AS (SELECT a, b, count(*) AS n FROM c GROUP BY ALL)
+SELECT l.i AS a, l.j AS b, cast(coalesce(n.n, 0) AS INTEGER) AS common, cast(coalesce(e.n, 0) AS INTEGER) AS bonds FROM l LEFT JOIN n ON n.a = l.i AND n.b = l.j LEFT JOIN e ON e.a = l.i AND e.b = l.j WHERE l.i < l.j""")
+def cna_bond_indices(spark, sf):
+    return X.bond_signatures(B.create_bonds(orders(spark, sf), BOX, CUTOFF)).select("a", "b", "common", "bonds")
+
+
+@query()
+def chill_plus(spark, sf):
+    return X.chill_plus(orders(spark, sf), BOX, CUTOFF).select("idx", "structure_type")
+
+
+@query()
+def identify_diamond(spark, sf):
+    return X.identify_diamond(parts(spark, sf), BOX).select("idx", "structure_type")
+
+
+@query(f"""WITH RECURSIVE {ORDERS_SQL}, {neighbors_sql(1.95)}, l AS (SELECT i, j FROM nb), r(idx, root) AS (SELECT idx, idx FROM p UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.idx),
+m AS (SELECT idx, min(root) AS root FROM r GROUP BY 1) SELECT idx, cast(dense_rank() OVER (ORDER BY root) AS BIGINT) AS cluster FROM m""")
+def cluster_cutoff(spark, sf):
+    return C.cluster_analysis(orders(spark, sf), BOX, 1.95).select("idx", "cluster")
+
+
+@query(f"""WITH RECURSIVE {ORDERS_SQL}, {neighbors_sql(1.95)}, l AS (SELECT i, j FROM nb), r(idx, root) AS (SELECT idx, idx FROM p UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.idx),
+m AS (SELECT idx, min(root) AS root FROM r GROUP BY 1), s AS (SELECT root, count(*) AS size FROM m GROUP BY 1)
+SELECT cast(row_number() OVER (ORDER BY size DESC, root) AS BIGINT) AS cluster, size FROM s""")
+def cluster_sizes_sorted(spark, sf):
+    p = orders(spark, sf)
+    c = C.cluster_analysis(p, bonds=B.create_bonds(p, BOX, 1.95), sort_by_size=True)
+    return c.groupBy("cluster").agg(F.count("*").alias("size"))
+
+
+@query(f"""{PW}, c AS (SELECT t AS cluster, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p GROUP BY 1)
+SELECT cast(cluster AS BIGINT) AS cluster, count(*) AS size, round(any_value(cx), 4) AS com_x, round(sqrt(avg(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2))), 4) AS rg, round(avg((x - cx) * (y - cy)), 3) AS gxy FROM p JOIN c ON t = cluster GROUP BY 1""")
+def cluster_gyration(spark, sf):
+    p = orders(spark, sf).withColumn("cluster", F.col("particle_type").cast("long"))
+    return C.cluster_table(p).select("cluster", "size", F.round("com_x", 4).alias("com_x"), F.round("radius_of_gyration", 4).alias("rg"), F.round("gxy", 3).alias("gxy"))
+
+
+UNWRAP = f"""WITH {EVENTS_SQL}, s AS (SELECT *, coalesce(floor(lag(x) OVER w / 500 - x / 500 + 0.5), 0) AS sx, coalesce(floor(lag(y) OVER w / 500 - y / 500 + 0.5), 0) AS sy FROM e WINDOW w AS (PARTITION BY id ORDER BY frame)),
+u AS (SELECT *, x + 500 * sum(sx) OVER w AS ux, y + 500 * sum(sy) OVER w AS uy FROM s WINDOW w AS (PARTITION BY id ORDER BY frame ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"{UNWRAP} SELECT idx, round(ux, 4) AS x, round(uy, 4) AS y FROM u")
+def unwrap_trajectory(spark, sf):
+    return T.unwrap(events(spark, sf), TRACK).select("idx", F.round("position.x", 4).alias("x"), F.round("position.y", 4).alias("y"))
+
+
+@query(f"{UNWRAP} SELECT id AS particle, frame AS time, round(ux, 4) AS x FROM u")
+def trajectory_lines(spark, sf):
+    return T.trajectory_lines(events(spark, sf), TRACK).select("particle", "time", F.round("position.x", 4).alias("x"))
+
+
+@query(f"""WITH {EVENTS_SQL}, g AS (SELECT min(frame) AS lo, max(frame) AS hi FROM e), o AS (SELECT unnest([-1, 0, 1]) AS o)
+SELECT a.idx, round(avg(b.x), 4) AS x, round(avg(b.v), 4) AS v FROM e a CROSS JOIN g CROSS JOIN o JOIN e b ON b.id = a.id AND b.frame = least(hi, greatest(lo, a.frame + o)) GROUP BY a.idx""")
+def smooth_w3_clamped(spark, sf):
+    s = T.smooth(events(spark, sf), TRACK, 3, scalars=("value",), minimum_image=False)
+    return s.select("idx", F.round("position.x", 4).alias("x"), F.round("value", 4).alias("v"))
+
+
+@query("SELECT cast(extract(hour FROM ts) AS INTEGER) AS frame, cast(extract(hour FROM ts) AS INTEGER) AS time, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def time_series(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.hour("ts").alias("frame")).agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("total"))
+    long = e.select("frame", F.inline(F.array(F.struct(F.lit("n").alias("key"), F.col("n").alias("value")), F.struct(F.lit("total").alias("key"), F.col("total").alias("value")))))
+    return T.time_series(long, ["n", "total"]).select("frame", "time", F.col("n").cast("long").alias("n"), F.round("total", 4).alias("total"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT id, round(avg(v), 4) AS value_average FROM e GROUP BY 1")
+def time_average(spark, sf):
+    return T.time_average(events(spark, sf), ["value"]).select(F.col("particle_identifier").alias("id"), F.round("value_average", 4).alias("value_average"))
+
+
+@query(f"{PW} SELECT round(avg(v), 3) AS mean1, round(avg(x), 6) AS mean2, round(avg(v / 1000 * (v / 1000)), 3) AS square, round(avg(v * x), 1) AS product FROM p")
+def correlation_moments(spark, sf):
+    m = A.correlation_moments(orders(spark, sf), F.col("total_price"), F.col("position.x"))
+    return m.select(F.round("mean1", 3).alias("mean1"), r6("mean2").alias("mean2"), F.round(F.col("variance1") / 1e6, 3).alias("square"), F.round("covariance", 1).alias("product"))
