@@ -14,9 +14,10 @@ the candidates that its shingles' frequencies give.
    smallest id as representative; only representatives are joined.
 3. Prefix postings are dealt by shingle; shingles of one document drop out.
 4. Links only matter between different components.  Within a shingle's list
-   the first few documents are compared with all later ones, links are merged
-   into components, and the next, eight times as many, documents are compared
-   only with documents of other components.  A list of near copies is thus one
+   the first document is compared with all later ones, links are merged into
+   components, and the next, up to the eighth, then the 64th and so on, are
+   compared only with documents of other components.  Bitmaps of the sets rule
+   out most pairs that are not similar before whole sets are read.  A list of near copies is thus one
    component after a few comparisons each, and no list is expanded into all
    its pairs; each pair that shares a prefix shingle is verified unless its
    documents are linked already.
@@ -45,7 +46,7 @@ from mesolite.llm.components import components
 SKETCH_BITS = 20
 MOST_MATCHES = 4
 VERIFY_COST = 20.0
-FIRST_PIVOTS, PIVOT_GROWTH = 4, 8
+PIVOT_GROWTH = 8
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,23 +151,72 @@ def maybe_in(ids: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return ok
 
 
-def candidate_sets(docs: DataFrame, wanted: np.ndarray, sketch: np.ndarray, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, set, head, l) of the documents that the id filter keeps."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((sketch, wanted))
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle, in a map of the least power of two of at least twice the shingles' bits."""
+    size = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """The most elements that two sets of these bitmaps can share: each bit that only one has set is an element of its own."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(u) > len(v):  # the upper half folds onto the lower one
+        u = u[: len(u) // 2] | u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] | v[len(v) // 2 :]
+    return min(n_x - int(np.bitwise_count(u & ~v).sum()), n_y - int(np.bitwise_count(v & ~u).sum()))
+
+
+def _kept_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int, make, schema: str) -> DataFrame:
+    """What ``make`` gives for the (ids, sets) of the documents that the filter over ``ids`` keeps, ``ids`` and a few more."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches):
-        counters, seen = shared.value
-        noise = counters.mean() + 4 * np.sqrt(counters.mean())
+        seen = shared.value
         for batch in W.pieces(batches, 1):
-            keep = maybe_in(batch.column(0).to_numpy(), seen)
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(maybe_in(batch.column(0).to_numpy(), seen)))
             flat, bounds = shingle_sets(batch.column(1), words)
-            sets = [flat[bounds[i] : bounds[i + 1]] for i in range(batch.num_rows)]
-            heads = [prefix_of(s, counters, noise, percent) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets), _lists([np.sort(h) for h, _ in heads]), pa.array([ask for _, ask in heads], pa.int32())], names=["id", "own", "head", "l"])
+            yield make(batch.column(0), [flat[bounds[i] : bounds[i + 1]] for i in range(batch.num_rows)])
+
+    return docs.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInArrow(run, schema)
+
+
+def candidate_bits(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, n, bits) of (at least) ``ids``."""
+
+    def make(names, sets):
+        return pa.RecordBatch.from_arrays([names, pa.array([len(x) for x in sets], pa.int32()), pa.array([bitmap(x) for x in sets], pa.binary())], names=["id", "n", "bits"])
+
+    return _kept_rows(docs, ids, id_col, text_col, words, make, "id long, n int, bits binary")
+
 
-    return docs.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInArrow(run, "id long, own array<long>, head array<long>, l int")
+def candidate_sets(docs: DataFrame, ids: DataFrame, sketch: np.ndarray, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, own, head, l) of (at least) ``ids``: set, sorted prefix and the matches it asks for."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+
+    def make(names, sets):
+        counters = shared.value
+        noise = counters.mean() + 4 * np.sqrt(counters.mean())
+        heads = [prefix_of(s, counters, noise, percent) for s in sets]
+        return pa.RecordBatch.from_arrays([names, _lists(sets), _lists([np.sort(h) for h, _ in heads]), pa.array([ask for _, ask in heads], pa.int32())], names=["id", "own", "head", "l"])
+
+    return _kept_rows(docs, ids, id_col, text_col, words, make, "id long, own array<long>, head array<long>, l int")
+
+
+def sieve(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule out the similarity."""
+    side = lambda c: bits.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+
+    def run(batches):
+        for batch in batches:
+            x, nx, y, ny = (batch.column(c).to_pylist() for c in ("bitsa", "na", "bitsb", "nb"))
+            most = [most_common(*row) for row in zip(x, nx, y, ny, strict=True)]
+            keep = [100 * m >= percent * (i + j - m) for m, i, j in zip(most, nx, ny, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -199,50 +249,91 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ha", "la", "sb", "hb", "lb").mapInArrow(run, "a long, b long")
 
 
-def link_components(postings: DataFrame, fetch, percent: int) -> DataFrame | None:
-    """(node, component) over all verified links among the postings (token, id, n, pos, rn); None without postings.
+def ranked(postings: DataFrame) -> DataFrame:
+    """The postings (token, id, n, pos) with their place ``rn`` in the shingle's list, without the first of each list.
+
+    Each row carries its list's first document (``id_``, ``n_``, ``pos_``),
+    its first pivot, so the first round takes no join; ``more`` tells whether
+    the list goes on.
+    """
+    w = Window.partitionBy("token").orderBy("id")
+    rows = postings.select("token", "id", "n", "pos", F.row_number().over(w).alias("rn"), F.lead("id").over(w).isNotNull().alias("more"), *(F.first(c).over(w).alias(f"{c}_") for c in ("id", "n", "pos")))
+    return written(rows.filter("rn > 1"), "postings")
+
+
+def could_link(percent: int) -> F.Column:
+    """Whether two postings of one shingle can belong to similar sets if this shingle is the first common one."""
+    least = F.ceil(percent * (F.col("n") + F.col("n_")) / (100 + percent))
+    return (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= least)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def link_components(postings: DataFrame, fetch, percent: int, fetch_bits=None) -> DataFrame | None:
+    """(node, component) over all verified links among ``ranked`` postings; None without links.
 
-    ``fetch`` gives the sets of (at least) the ids of a table.  A pair is let
+    ``fetch`` gives the sets of (at least) the ids of a table, ``fetch_bits``,
+    where given, their bitmaps, which rule out most pairs that are not similar
+    before sets are read.  A pair is let
     through where it could still reach the similarity if this shingle is its
-    first common one; the first common one of a similar pair always is.
+    first common one; the first common one of a similar pair always is.  A
+    round leaves to the next one only lists that still hold documents of more
+    than one component.
     """
     longest = postings.agg(F.max("rn")).first()[0]
     if longest is None:
         return None
-    comps, tested, lo, hi = None, None, 0, FIRST_PIVOTS
+    comps, tested, bits, rows, hi = None, None, None, postings, 1
+    pair = [F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")]
     while True:
-        rows = postings
-        if comps is not None:
-            rows = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = rows.groupBy("token").agg(F.max("rn").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter((F.col("m") > lo + 1) & (F.col("x") != F.col("y")))
-            rows = rows.join(mixed.select("token"), "token", "left_semi")
+        if hi == 1:
+            pairs = rows.filter((F.col("id") != F.col("id_")) & could_link(percent)).select(*pair).distinct()
         else:
-            rows = rows.withColumn("component", F.col("id"))
-        one = rows.filter((F.col("rn") > lo) & (F.col("rn") <= hi)).select("token", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "rn", "component")))
-        least = F.ceil(percent * (F.col("n") + F.col("n_")) / (100 + percent))
-        near = (F.col("rn") > F.col("rn_")) & (F.col("component") != F.col("component_")) & (F.col("id") != F.col("id_"))
-        size = (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= least)
-        pairs = one.join(rows, "token").filter(near & size).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-        if tested is not None:
+            one = rows.filter(F.col("rn") <= hi).select("token", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "rn", "component")))
+            near = (F.col("rn") > F.col("rn_")) & (F.col("component") != F.col("component_")) & (F.col("id") != F.col("id_"))
+            pairs = one.join(rows, "token").filter(near & could_link(percent)).select(*pair).distinct()
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = verify(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), percent)
-        if comps is not None:
-            name = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-            links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct()
-        links = written(links, "verified")
-        if not links.isEmpty():
-            found = components(links)
-            if comps is None:
-                comps = found
-            else:
-                f = found.select(F.col("node").alias("component"), F.col("component").alias("root"))
-                moved = comps.join(f, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-                comps = written(moved.unionByName(found.join(comps, "node", "left_anti")), "components")
+        if fetch_bits is not None and not pairs.isEmpty():
+            ids = _ends(pairs) if bits is None else written(_ends(pairs).join(bits.select("id"), "id", "left_anti"), "wanted")
+            if bits is None or not ids.isEmpty():
+                more = written(fetch_bits(ids), "bits")
+                bits = more if bits is None else bits.unionByName(more.join(bits.select("id"), "id", "left_anti"))
+            pairs = written(sieve(pairs, bits, percent), "sieved")
+        if not pairs.isEmpty():
+            comps = merged(comps, verify(pairs, fetch(_ends(pairs)), percent))
         if longest <= hi + 1:
             return comps
-        lo, hi = hi, hi * PIVOT_GROWTH
+        rows = rows.filter((F.col("rn") > hi) & ((F.col("rn") > hi + 1) | F.col("more"))).select("token", "id", "n", "pos", "rn", "more")
+        if comps is None:
+            rows = rows.withColumn("component", F.col("id"))
+        else:
+            rows = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
+        rows = written(rows.join(mixed.select("token"), "token", "left_semi"), "open")
+        longest = rows.agg(F.max("rn")).first()[0]
+        if longest is None:
+            return comps
+        hi = hi * PIVOT_GROWTH
+
+
+def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``comps`` (node, component) with the components that ``links`` (a, b) join put together."""
+    if comps is not None:
+        name = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct()
+    links = written(links, "verified")
+    if links.isEmpty():
+        return comps
+    found = components(links)
+    if comps is None:
+        return found
+    f = found.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    moved = comps.join(f, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return written(moved.unionByName(found.join(comps, "node", "left_anti")), "components")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -255,14 +346,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = full.select("doc_id", "d1", "d2", "n").join(classes.filter("class_size > 1"), ["d1", "d2", "n"]).filter("doc_id != rep").select("doc_id", "d1", "d2")
     heads = full.join(copies, ["doc_id", "d1", "d2"], "left_anti")
     postings = heads.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "token"))
-    w = Window.partitionBy("token").orderBy("id")
-    postings = postings.select("token", "id", "n", "pos", F.row_number().over(w).alias("rn"), F.lead("id").over(w).alias("more"))
-    postings = written(postings.filter((F.col("rn") > 1) | F.col("more").isNotNull()).drop("more"), "postings")
+    postings = ranked(postings)
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        return written(candidate_sets(rows, id_filter(ids), sketch, "doc_id", "text", words, percent), "sets")
+    def sets(ids: DataFrame) -> DataFrame:
+        return written(candidate_sets(rows, ids, sketch, "doc_id", "text", words, percent), "sets")
 
-    comps = link_components(postings, fetch, percent)
+    comps = link_components(postings, sets, percent, lambda ids: candidate_bits(rows, ids, "doc_id", "text", words))
     names = classes
     if comps is not None:
         names = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

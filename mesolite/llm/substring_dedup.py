@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from mesolite.llm import _words as W
 from mesolite.llm._spark import documents, written
-from mesolite.llm.jaccard_join import id_filter, link_components, maybe_in
+from mesolite.llm.jaccard_join import id_filter, link_components, maybe_in, ranked
 
 LEAST = 15
 BANDS = 4
@@ -164,11 +164,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = units.filter("line").dropDuplicates(["u"])
     copies = own.groupBy(F.xxhash64("own").alias("d")).agg(F.min("u").alias("rep"))
     names = written(own.select("u", F.xxhash64("own").alias("d"), F.size("own").cast("int").alias("size")).join(copies, "d").select("u", "rep", "size"), "lines")
-    ranked = bucket.join(names.filter("u = rep"), "u").select(F.col("key").alias("token"), F.col("u").alias("id"), F.col("size").alias("n"), F.lit(0).alias("pos")).distinct()
-    ranked = written(ranked.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy("id"))), "bands")
+    held = bucket.join(names.filter("u = rep"), "u").select(F.col("key").alias("token"), F.col("u").alias("id"), F.col("size").alias("n"), F.lit(0).alias("pos")).distinct()
     sets = own.join(names.filter("u = rep").select("u"), "u").select(F.col("u").alias("id"), "own", F.col("own").alias("head"), F.lit(0).alias("l"))
     sets = written(sets, "sets")
-    comps = link_components(ranked, lambda ids: sets, PERCENT)
+    comps = link_components(ranked(held), lambda ids: sets, PERCENT)
     named = names.select("u", "rep")
     if comps is not None:
         named = named.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("u", F.coalesce("component", "rep").alias("c"))
