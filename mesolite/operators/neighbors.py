@@ -119,12 +119,12 @@ def nearest(points: DataFrame, cell: Cell, k: int, others: DataFrame | None = No
 
 
 def closest_site(points: DataFrame, sites: DataFrame, cell: Cell) -> DataFrame:
-    """(frame, i, site, d2): the nearest site of each point, the first by index of equal ones; distance zero counts."""
+    """(frame, i, site, d2): the nearest site of each point, the first by index of equal ones (to nine digits); distance zero counts."""
     radius = (3 / (4 * math.pi * max(sites.count(), 1) / cell.volume)) ** (1 / 3) * 2
     most = 2.0 * float(np.abs(cell.array).sum())
     left, found = points.select("frame", "idx", "position"), None
     while True:
-        best = neighbors(left, cell, radius, others=sites).groupBy("frame", "i").agg(F.min(F.struct("d2", "j")).alias("b"))
+        best = neighbors(left, cell, radius, others=sites).groupBy("frame", "i").agg(F.min(F.struct(F.round("d2", 9).alias("near"), "j", "d2")).alias("b"))
         best = written(best.select("frame", "i", F.col("b.j").alias("site"), F.col("b.d2").alias("d2")), "sites")
         found = best if found is None else found.unionByName(best)
         left = written(left.join(best.select("frame", F.col("i").alias("idx")), ["frame", "idx"], "left_anti"), "unsatisfied")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mesolite.cell import Cell
 from mesolite.operators.neighbors import nearest, neighbors
+from mesolite.storage import written
 
 OTHER, FCC, HCP, BCC, ICO = range(5)
 CRYSTALS = {OTHER: "OTHER", FCC: "FCC", HCP: "HCP", BCC: "BCC", ICO: "ICO"}
@@ -261,7 +262,7 @@ def identify_diamond(df: DataFrame, cell: Cell) -> DataFrame:
     takes the label of the one with the lowest index.
     """
     near = nearest(df, cell, 4).select("frame", "i", "j", "dx", "dy", "dz")
-    step = near.withColumnsRenamed({"i": "j", "j": "k", "dx": "ex", "dy": "ey", "dz": "ez"})
+    step = near.select("frame", F.col("i").alias("j"), F.col("dx").alias("ex"), F.col("dy").alias("ey"), F.col("dz").alias("ez"))
     two = near.join(step, ["frame", "j"]).select("frame", "i", (F.col("dx") + F.col("ex")).alias("dx"), (F.col("dy") + F.col("ey")).alias("dy"), (F.col("dz") + F.col("ez")).alias("dz"))
     two = two.filter(F.greatest(F.abs("dx"), F.abs("dy"), F.abs("dz")) > 1e-2)
     lists = two.groupBy("frame", F.col("i").alias("idx")).agg(F.collect_list(F.struct("dx", "dy", "dz")).alias("near")).filter(F.size("near") == 12)
@@ -274,8 +275,6 @@ def identify_diamond(df: DataFrame, cell: Cell) -> DataFrame:
             yield pd.DataFrame({"frame": b["frame"], "idx": b["idx"], "kind": np.select([kind == FCC, kind == HCP], [1, 4], 0).astype("int32")})
 
     core = lists.mapInPandas(run, "frame int, idx long, kind int").filter("kind > 0")
-    from mesolite.storage import written
-
     labelled = written(core, "diamond")
     for shell in (1, 2):
         last = labelled.filter((F.col("kind") == shell) | (F.col("kind") == shell + 3))
