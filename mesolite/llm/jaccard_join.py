@@ -15,7 +15,7 @@ the candidates that its shingles' frequencies give.
 3. Prefix postings are dealt by shingle; shingles of one document drop out.
 4. Links only matter between different components.  Within a shingle's list
    the first document is compared with all later ones, links are merged into
-   components, and the next, up to the eighth, then the 64th and so on, are
+   components, and the next, up to the 16th, then the 256th and so on, are
    compared only with documents of other components.  Bitmaps of the sets rule
    out most pairs that are not similar before whole sets are read.  A list of near copies is thus one
    component after a few comparisons each, and no list is expanded into all
@@ -46,7 +46,7 @@ from mesolite.llm.components import components
 SKETCH_BITS = 20
 MOST_MATCHES = 4
 VERIFY_COST = 20.0
-PIVOT_GROWTH = 8
+PIVOT_GROWTH = 16
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
