@@ -311,21 +311,21 @@ def wigner_seitz(spark, sf):
     return R.wigner_seitz(orders(spark, sf), parts(spark, sf), BOX)[1].select("vacancy_count", "interstitial_count")
 
 
-@query(f"""{NB}, c AS (SELECT least(58, trunc(sqrt(d2) / 0.05)::INT) AS bin, count(*) AS n FROM nb WHERE i < j AND sqrt(d2) <= 2.95 GROUP BY 1)
-SELECT cast(range AS INTEGER) AS bin, cast(coalesce(n, 0) AS BIGINT) AS count FROM range(59) LEFT JOIN c ON bin = range""")
+@query(f"""{NB}, c AS (SELECT least(52, trunc(sqrt(d2) / (2.95::DOUBLE / 53))::INT) AS bin, count(*) AS n FROM nb WHERE i < j AND sqrt(d2) <= 2.95 GROUP BY 1)
+SELECT cast(range AS INTEGER) AS bin, cast(coalesce(n, 0) AS BIGINT) AS count FROM range(53) LEFT JOIN c ON bin = range""")
 def bond_length_hist(spark, sf):
     p = orders(spark, sf)
     bonds = B.create_bonds(p, BOX, CUTOFF).withColumn("bond_idx", F.xxhash64("a", "b"))
-    return A.bond_length_histogram(bonds, p, BOX, CUTOFF, 59).select("bin", "count")
+    return A.bond_length_histogram(bonds, p, BOX, CUTOFF, 53).select("bin", "count")
 
 
 @query(f"""{NB}, a AS (SELECT u.i AS center, round((u.dx * w.dx + u.dy * w.dy + u.dz * w.dz) / (sqrt(u.d2) * sqrt(w.d2)), 6) AS cosine FROM nb u JOIN nb w ON u.i = w.i AND u.j < w.j WHERE u.d2 > 0 AND w.d2 > 0)
-SELECT center, count(*) AS angles, round(sum(cosine), 4) AS total FROM a GROUP BY 1""")
+SELECT center, count(*) AS angles, round(sum(cosine), 6) + 0.0 AS total FROM a GROUP BY 1""")
 def bond_angles(spark, sf):
     p = orders(spark, sf)
     bonds = B.create_bonds(p, BOX, CUTOFF).withColumn("bond_idx", F.xxhash64("a", "b"))
     a = A.bond_angle_cosines(bonds, p, BOX).withColumn("cosine", F.round("cosine", 6))
-    return a.groupBy("center").agg(F.count("*").alias("angles"), F.round(F.sum("cosine"), 4).alias("total"))
+    return a.groupBy("center").agg(F.count("*").alias("angles"), r6(F.sum("cosine")).alias("total"))
 
 
 @query(f"""WITH {PARTS_SQL}, d AS (SELECT a.idx AS i, b.idx AS j, b.x - a.x - 100 * round((b.x - a.x) / 100) AS dx, b.y - a.y - 100 * round((b.y - a.y) / 100) AS dy, b.z - a.z - 100 * round((b.z - a.z) / 100) AS dz FROM pp a, pp b WHERE a.idx <> b.idx),
