@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mesolite.cell import Cell
 from mesolite.operators import trajectory
 from mesolite.plans.tables import TRACK, events
-from mesolite.sources import dump, sinks, text
+from mesolite.sources import data_file, dump, sinks, text
 from mesolite.streaming import live
 from tests.oracle import SF_DIR
 
@@ -78,6 +78,82 @@ def test_fixed_columns_and_meshes(spark, tmp_path):
     assert [tuple(r.position) for r in text.stl(spark, str(tmp_path / "a.stl")).orderBy("corner").collect()] == [(0, 0, 0), (1, 0, 0), (0, 1, 0)]
 
 
+DATA = """chain
+
+3 atoms
+2 bonds
+1 angles
+2 atom types
+1 bond types
+1 angle types
+
+0 10 xlo xhi
+-1 9.5 ylo yhi
+0 20 zlo zhi
+1.5 0 -2 xy xz yz
+
+Masses
+
+1 12.011  # C
+2 1.008
+
+Pair Coeffs # lj/cut
+
+1 0.1 3.4
+
+Atoms # full
+
+2 7 2 0.5 1 2 3 0 1 -1
+1 7 1 -0.5 4 5 6 0 0 0
+
+3 8 2 0 7 8 9 1 0 0
+
+Velocities
+
+3 0.1 0.2 0.3
+1 -1 -2 -3
+
+Bonds
+
+1 1 1 2
+2 1 1 3
+
+Angles
+
+1 1 2 1 3
+"""
+
+
+def test_data_file(spark, tmp_path):
+    (tmp_path / "a.data").write_text(DATA)
+    got = data_file.read(spark, str(tmp_path / "a.data"))
+    h = got["header"].first()
+    assert (h.atoms, h.bonds, h.angles, h.dihedrals, h.atom_types, h.bond_types) == (3, 2, 1, 0, 2, 1)
+    assert (h.xlo, h.xhi, h.ylo, h.yhi, h.zlo, h.zhi, h.xy, h.xz, h.yz) == (0, 10, -1, 9.5, 0, 20, 1.5, 0, -2)
+    rows = data_file.particles(got).orderBy("particle_identifier").collect()
+    assert [(r.particle_identifier, r.particle_type, r.molecule_identifier, r.charge, tuple(r.position), tuple(r.image), r.velocity and tuple(r.velocity), r.mass) for r in rows] == [
+        (1, 1, 7, -0.5, (4, 5, 6), (0, 0, 0), (-1, -2, -3), 12.011),
+        (2, 2, 7, 0.5, (1, 2, 3), (0, 1, -1), None, 1.008),
+        (3, 2, 8, 0.0, (7, 8, 9), (1, 0, 0), (0.1, 0.2, 0.3), 1.008),
+    ]
+    assert [(r.id, r.type, r.members) for r in got["bonds"].orderBy("id").collect()] == [(1, 1, [1, 2]), (2, 1, [1, 3])]
+    assert got["angles"].first().members == [2, 1, 3] and got["impropers"].count() == 0
+
+
+def test_data_file_styles(spark, tmp_path):
+    head = "t\n\n1 atoms\n2 atom types\n\n0 1 xlo xhi\n0 1 ylo yhi\n0 1 zlo zhi\n\nAtoms"
+    for name, rest in {"a": "\n\n5 2 1 2 3\n", "c": "\n\n5 2 -0.25 1 2 3\n", "b": "\n\n5 9 2 1 2 3\n", "s": " # sphere\n\n5 2 3.0 1.1 1 2 3\n"}.items():
+        (tmp_path / name).write_text(head + rest)
+    read = lambda n: data_file.read(spark, str(tmp_path / n))["atoms"].first()
+    assert all((read(n).particle_type, tuple(read(n).position), read(n).image) == (2, (1, 2, 3), None) for n in "acbs")
+    assert (read("c").charge, read("b").molecule_identifier, read("s").radius) == (-0.25, 9, 1.5)
+    (tmp_path / "w").write_text(head + "\n\n5 3 1 2 3\n")
+    with pytest.raises(Exception, match="out of range"):
+        read("w")
+    with pytest.raises(ValueError):
+        data_file.read(spark, str(tmp_path / "a"), "no such style")
+
+
 def drain(df, name, mode):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
