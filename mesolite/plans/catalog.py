@@ -10,6 +10,7 @@ from mesolite.operators import aggregates as A
 from mesolite.operators import bonds as B
 from mesolite.operators import clusters as C
 from mesolite.operators import combine as M
+from mesolite.operators import fields as D
 from mesolite.operators import neighbors as N
 from mesolite.operators import properties as P
 from mesolite.operators import reference as R
@@ -426,3 +427,25 @@ def time_average(spark, sf):
 def correlation_moments(spark, sf):
     m = A.correlation_moments(orders(spark, sf), F.col("total_price"), F.col("position.x"))
     return m.select(F.round("mean1", 3).alias("mean1"), r6("mean2").alias("mean2"), F.round(F.col("variance1") / 1e6, 3).alias("square"), F.round("covariance", 1).alias("product"))
+
+
+@query(f"""WITH {PARTS_SQL}, d AS (SELECT a.range AS vx, b.range AS vy, c.range AS vz, x - 5 * a.range AS ex, y - 5 * b.range AS ey, z - 5 * c.range AS ez FROM range(20) a, range(20) b, range(20) c, pp),
+m AS (SELECT vx, vy, vz, power(ex - 100 * round(ex / 100), 2) + power(ey - 100 * round(ey / 100), 2) + power(ez - 100 * round(ez / 100), 2) AS d2 FROM d)
+SELECT cast(vx AS INTEGER) AS vx, cast(vy AS INTEGER) AS vy, cast(vz AS INTEGER) AS vz, round(coalesce(sum(exp(-d2 / (2 * 1.95::DOUBLE * 1.95))) FILTER (d2 <= 5.85::DOUBLE * 5.85), 0), 6) AS density FROM m GROUP BY 1, 2, 3""")
+def gaussian_density(spark, sf):
+    return D.gaussian_density(parts(spark, sf), BOX, (20, 20, 20), 1.95).select("vx", "vy", "vz", r6("density").alias("density"))
+
+
+@query(f"""{NB}, c AS (SELECT least(49, trunc(sqrt(d2) / 0.059)::INT) AS bin, count(*) AS n, avg(a.v / 1000 * b.x) AS m FROM nb JOIN p a ON a.idx = i JOIN p b ON b.idx = j GROUP BY 1)
+SELECT cast(range AS INTEGER) AS bin, cast(coalesce(n, 0) AS BIGINT) AS count, round(m, 4) AS correlation FROM range(50) LEFT JOIN c ON bin = range""")
+def radial_correlation(spark, sf):
+    c = D.radial_correlation(orders(spark, sf), BOX, F.col("total_price") / 1000, F.col("position.x"), CUTOFF, 50)
+    return c.select("bin", "count", F.round("correlation", 4).alias("correlation"))
+
+
+@query(f"""{PW}, h AS (SELECT a.range - 1 AS hx, b.range - 1 AS hy, c.range - 1 AS hz FROM range(3) a, range(3) b, range(3) c),
+s AS (SELECT hx, hy, hz, sum(v / 1000 * cos(2 * pi() * (hx * x + hy * y + hz * z) / 100)) AS re, sum(v / 1000 * sin(2 * pi() * (hx * x + hy * y + hz * z) / 100)) AS im, count(*) AS n FROM p, h WHERE (hx, hy, hz) > (0, 0, 0) GROUP BY 1, 2, 3)
+SELECT cast(hx AS INTEGER) AS hx, cast(hy AS INTEGER) AS hy, cast(hz AS INTEGER) AS hz, round(2 * pi() / 100 * sqrt(hx * hx + hy * hy + hz * hz), 6) AS q, round((re * re + im * im) / n, 4) AS power FROM s""")
+def power_spectrum(spark, sf):
+    s = D.power_spectrum(orders(spark, sf), BOX, F.col("total_price") / 1000, 1)
+    return s.select("hx", "hy", "hz", r6("q").alias("q"), F.round("power", 4).alias("power"))
