@@ -36,8 +36,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; no document goes."""
-    return secret_scan.mask(docs)
+    """Base matches and live owned values of the whole input's scan are masked in the text; no document goes."""
+    return secret_scan.mask_found(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,17 +38,19 @@ def base_spans(text: str = "text") -> F.Column:
     return F.concat(assign, S.spans(1, text, ACCESS), S.spans(2, text, HEX))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: (row, doc_id, base, added, n_live, n_example); spans are (kind, s, e, h).
-
-    ``row`` numbers the rows of the written scan.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = rows.select("doc_id", "owner", base_spans().alias("base"), S.spans(3, "text", TOKEN).alias("tokens"))
+def _found(docs: DataFrame, id_col: str, text_col: str, owner_col: str, *carry: F.Column) -> DataFrame:
+    """The written scan: (row, doc_id, owner, base, tokens) and ``carry``; ``row`` numbers its rows, ``tokens`` are those that no base match covers."""
+    rows = docs.select(*carry, F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kept = [c for c in rows.columns if c not in ("doc_id", "owner", "text")]
+    found = rows.select(*kept, "doc_id", "owner", base_spans().alias("base"), S.spans(3, "text", TOKEN).alias("tokens"))
     free = "filter(tokens, t -> not exists(base, b -> b.s < t.e and t.s < b.e))"
     mark = "x -> struct(x.kind AS kind, x.s AS s, x.e AS e, xxhash64(x.value) AS h, size(array_distinct(split(x.value, ''))) AS variety)"
-    found = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", F.expr(f"transform(base, {mark})").alias("base"), F.expr(f"transform({free}, {mark})").alias("tokens"))
-    found = written(found, "secrets")
+    found = found.select(F.monotonically_increasing_id().alias("row"), *kept, "doc_id", "owner", F.expr(f"transform(base, {mark})").alias("base"), F.expr(f"transform({free}, {mark})").alias("tokens"))
+    return written(found, "secrets")
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    """(row, added, n_live, n_example) of the rows of the written scan that have spans."""
     each = found.filter((F.size("base") > 0) | (F.size("tokens") > 0)).select("row", "doc_id", "owner", F.explode(F.concat("base", "tokens")).alias("x"))
 
     held = each.groupBy(F.col("x.h").alias("h"), "owner", "doc_id").agg(F.lit(1).alias("one"))
@@ -56,10 +58,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)
     judged = each.join(held.select("h", live.alias("rare")), F.col("x.h") == F.col("h"))
     judged = judged.withColumn("live", F.col("rare") & (F.col("x.variety") >= LIVE_CHARACTERS))
-    per_row = judged.groupBy("row").agg(
+    return judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("x.kind") == 3) & F.col("live"), F.col("x"))).alias("added"), F.count_if("live").alias("n_live"), F.count_if(~F.col("rare")).alias("n_example")
     )
-    out = found.join(per_row, "row", "left")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
+    """One row for each row of ``docs``: (row, doc_id, base, added, n_live, n_example); spans are (kind, s, e, h).
+
+    ``row`` numbers the rows of the written scan.
+    """
+    found = _found(docs, id_col, text_col, owner_col)
+    out = found.join(_judged(found), "row", "left")
     none = F.expr("cast(array() AS array<struct<kind: int, s: int, e: int, h: bigint, variety: int>>)")
     return out.select("row", "doc_id", "base", F.coalesce("added", none).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
@@ -77,17 +87,41 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
+def _cut(name: str) -> F.Column:
+    """``text__`` with its ``spans__`` (ordered by start) replaced by ``name``; spans that overlap are one."""
+    return F.expr(f"""aggregate(spans__, struct(0 AS at, cast(array() AS array<string>) AS out),
+        (a, x) -> if(x.s < a.at, struct(greatest(a.at, x.e) AS at, a.out AS out), struct(x.e AS at, concat(a.out, array(substr(text__, a.at + 1, x.s - a.at), {S.quoted(name)})) AS out)),
+        a -> concat(array_join(a.out, ''), substr(text__, a.at + 1)))""")
+
+
+def _places(spans: F.Column) -> F.Column:
+    return F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+
+
 def mask(docs: DataFrame, text_col: str = "text", name: str = "<SECRET>") -> DataFrame:
     """``docs`` with each base match in the text replaced by ``name``; other columns as they are.
 
     Spans that overlap are masked as one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumn("text__", text).withColumn("spans__", F.array_sort(F.transform(base_spans("text__"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))))
-    cut = f"""aggregate(spans__, struct(0 AS at, cast(array() AS array<string>) AS out),
-        (a, x) -> if(x.s < a.at, struct(greatest(a.at, x.e) AS at, a.out AS out), struct(x.e AS at, concat(a.out, array(substr(text__, a.at + 1, x.s - a.at), {S.quoted(name)})) AS out)),
-        a -> concat(array_join(a.out, ''), substr(text__, a.at + 1)))"""
-    return marked.withColumn(text_col, F.when(F.size("spans__") == 0, F.col(text_col)).otherwise(F.expr(cut))).select(docs.columns)
+    marked = docs.withColumn("text__", text).withColumn("spans__", _places(base_spans("text__")))
+    return marked.withColumn(text_col, F.when(F.size("spans__") == 0, F.col(text_col)).otherwise(_cut(name))).select(docs.columns)
+
+
+def mask_found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", name: str = "<SECRET>") -> DataFrame:
+    """``docs`` with what ``scan`` finds, base matches and live owned values, replaced in the text by ``name``.
+
+    The texts are written with the scan.  Only the texts of rows with candidates are joined with what was judged.
+    """
+    found = _found(docs, id_col, text_col, owner_col, F.struct(*docs.columns).alias("doc"))
+    added = _judged(found).filter(F.size("added") > 0).select("row", "added")
+    some = found.filter(F.size("tokens") > 0).join(added, "row", "left").select("doc", "base", "added")
+    none = F.expr("cast(array() AS array<struct<kind: int, s: int, e: int, h: bigint, variety: int>>)")
+    rest = found.filter(F.size("tokens") == 0).select("doc", "base", none.alias("added"))
+    every = some.withColumn("added", F.coalesce("added", none)).unionByName(rest)
+    marked = every.select("doc", F.coalesce(F.col("doc")[text_col].cast("string"), F.lit("")).alias("text__"), _places(F.concat("base", "added")).alias("spans__"))
+    text = F.when(F.size("spans__") == 0, F.col("doc")[text_col]).otherwise(_cut(name))
+    return marked.select(*((text if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

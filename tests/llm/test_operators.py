@@ -139,6 +139,15 @@ def test_masked_text(spark):
     assert [r.text for r in got] == ['a <SECRET>", <SECRET> é <SECRET> end', None, "clean"]
 
 
+def test_pipeline_masks_what_only_the_ownership_frequency_finds(spark):
+    copied, own = "Zx9" + "Qw3rTy7UiOp5AsDfG1", "Lm8" + "Nb6vCx4zAs2dFg0hJk"
+    rows = [(k, f"owner{k % 5}", f"see {copied} here") for k in range(30)] + [(100, "owner1", f"my {own} and password: hunter22x é"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.secret_stage(spark, docs, "").collect()}
+    assert got[100].text == "my <SECRET> and <SECRET> é" and got[100].source == "owner1" and got[None].text is None
+    assert len(got) == 32 and all(got[k].text == rows[k][2] for k in range(30))
+
+
 def test_mixture(spark):
     """Drawn copies add up to what is taken, shards are exact, and a rerun over other partitions agrees."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
