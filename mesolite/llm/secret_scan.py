@@ -2,17 +2,18 @@
 
 Base matches are found by three fixed patterns.  Beside them every long token
 of mixed letters and digits is a candidate.  The hashes of all candidates'
-values are counted over the corpus by distinct repositories (documents) and
-owners (sources): a value that many owners hold is a copied example, one that
-few repositories of one or two owners hold looks live.  A candidate that no
+values are counted over the corpus by distinct owners (sources): a value that
+many owners hold is a copied example, one of one or two owners looks live, in
+however many of their documents it stands, so copies of a document do not
+change what is found in it while they stay with their owner.  A candidate that no
 base match covers becomes a span of kind ``owned`` if it looks live.
 
 DataFrame functions only.  Values leave the scan as hashes.  A value held by a
-large part of all rows is pre-aggregated by owner and repository.
+large part of all rows is pre-aggregated by owner.
 
-Defined cases: null text is empty; null source is one owner, a null id one
-repository; repeated rows are scanned each and count as one repository; an
-empty table gives no rows.
+Defined cases: null text is empty; null source is one owner; repeated rows are
+scanned each; equal texts of different owners count for each owner; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[^0-9\s]{0,40}[0-9])(?=[^A-Za-z\s]{0,40}[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
 
-#: A value of at most so many owners and repositories looks live, if it has so many different characters.
-LIVE_OWNERS, LIVE_REPOSITORIES, LIVE_CHARACTERS = 2, 8, 8
+#: A value of at most so many owners looks live, if it has so many different characters.
+LIVE_OWNERS, LIVE_CHARACTERS = 2, 8
 
 
 def base_spans(text: str = "text") -> F.Column:
@@ -51,11 +52,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str, owner_col: str, *carry:
 
 def _judged(found: DataFrame) -> DataFrame:
     """(row, added, n_live, n_example) of the rows of the written scan that have spans."""
-    each = found.filter((F.size("base") > 0) | (F.size("tokens") > 0)).select("row", "doc_id", "owner", F.explode(F.concat("base", "tokens")).alias("x"))
+    each = found.filter((F.size("base") > 0) | (F.size("tokens") > 0)).select("row", "owner", F.explode(F.concat("base", "tokens")).alias("x"))
 
-    held = each.groupBy(F.col("x.h").alias("h"), "owner", "doc_id").agg(F.lit(1).alias("one"))
-    held = held.groupBy("h", "owner").agg(F.count("*").alias("repositories")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)
+    held = each.select(F.col("x.h").alias("h"), "owner").distinct().groupBy("h").agg(F.count("*").alias("owners"))
+    live = F.col("owners") <= LIVE_OWNERS
     judged = each.join(held.select("h", live.alias("rare")), F.col("x.h") == F.col("h"))
     judged = judged.withColumn("live", F.col("rare") & (F.col("x.variety") >= LIVE_CHARACTERS))
     return judged.groupBy("row").agg(
