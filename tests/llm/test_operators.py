@@ -126,6 +126,15 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert [(x.s, x.e) for x in got[100].added] == [(9, 18)] and not got[101].added
 
 
+def test_bootstrap_induces_patterns_from_plain_words(spark):
+    long = "a1" * 60
+    rows = [(k, f"{passage(k, 3)} reach me at user{k}@site.example or so") for k in range(20)]
+    rows += [(100, "please reach me  at 555-123-4567."), (101, f"reach me at {long} ok"), (102, "the year 12345 me at"), (103, "you\nreach\nme\nat 555 123 4567")]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {k: [dict(rows)[k][x.s : x.e] for x in r.added] for k, r in got.items()}
+    assert {k: v for k, v in found.items() if v} == {100: ["555-123-4567"], 101: [long], 103: ["555 123 4567"]}
+
+
 def test_ownership_frequency(spark):
     copied, own = "Zx9" + "Qw3rTy7UiOp5AsDfG1", "Lm8" + "Nb6vCx4zAs2dFg0hJk"
     rows = [(k, f"owner{k % 5}", f"see {copied} here") for k in range(30)] + [(100, "owner1", f"my {own} here")]
