@@ -41,6 +41,11 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: one row for each drawn copy, with its output shard, pass and words."""
+    return mixing.mix(docs)
+
+
+def plan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with the words that the mix takes of it and the output shards of its copies."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "source", "key", "size", "source_size", "target", "taken", "copies"))
     return mixing.plan(docs, carry=rest).drop("key")
@@ -58,8 +63,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _through(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in stages:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query ``pipeline``: all stages, to the drawn copies."""
+    return _through(spark, sf_dir, STAGES)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of the mixture over the cleaned documents, one row for each, which op4's SQL can be held against."""
+    return _through(spark, sf_dir, [*STAGES[:-1], ("plan", plan_stage)])

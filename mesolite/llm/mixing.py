@@ -144,17 +144,19 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, shards: int = SHARDS) -> DataFrame:
-    """The mixture itself: one row per drawn copy (doc_id, source, shard, pass, words, text), shuffled within each shard.
+    """The mixture itself: one row per drawn copy, the columns of ``docs`` and (shard, pass, words), shuffled within each shard.
 
     The text of a copy that is taken in part is cut after its last taken word.
-    Rows are joined on the id, so ids have to be unique here.
+    The rows come along, so ids need not be unique.
     """
-    drawn = plan(docs, id_col, text_col, source_col, seed, shards).select("doc_id", "source", "key", "size", F.explode("copies").alias("c"))
-    texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"))
-    out = drawn.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
-    cut = F.expr(r"if(c.words < size, regexp_substr(text, concat('^[\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){', c.words, '}')), text)")
-    out = out.select("doc_id", "source", F.col("c.shard").alias("shard"), F.col("c.pass").alias("pass"), F.col("c.words").alias("words"), cut.alias("text"), F.md5(F.concat("key", F.col("c.pass").cast("string")).cast("binary")).alias("k"))
-    return out.repartition("shard", F.substring("k", 1, 2)).sortWithinPartitions("shard", "k").drop("k")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id__"), F.col(source_col).alias("source__"), F.col(text_col).cast("string").alias("text"))
+    drawn = plan(whole, "id__", "text", "source__", seed, shards, carry=("doc", "text")).select("doc", "text", "key", "size", F.explode("copies").alias("c"))
+    word = "'" + WORD.replace("\\", "\\\\") + "'"
+    cut = F.expr(f"if(c.words < size, array_join(zip_with(slice(split(text, {word}, -1), 1, int(c.words)), slice(regexp_extract_all(text, {word}, 0), 1, int(c.words)), (g, w) -> concat(g, w)), ''), text)")
+    named = {"shard": F.col("c.shard"), "pass": F.col("c.pass"), "words": F.col("c.words")}
+    kept = [(cut if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns if c not in named]
+    out = drawn.select(*kept, *(v.alias(k) for k, v in named.items()), F.md5(F.concat("key", F.col("c.pass").cast("string")).cast("binary")).alias("k__"))
+    return out.repartition("shard", F.substring("k__", 1, 2)).sortWithinPartitions("shard", "k__").drop("k__")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

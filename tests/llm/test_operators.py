@@ -272,3 +272,19 @@ def test_pipeline_stages_keep_columns(spark, edge_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, edge_dir).columns == docs.columns
     assert corpus_pipeline.run(spark, edge_dir).count() > 0
+
+
+def test_pipeline_emits_the_drawn_copies(spark):
+    rows = [(k, f"src{k % 3}", " \n".join(passage(k, 10 + k % 4).split()), k) for k in range(300)]
+    rows += [(1, "src0", passage(999, 12), -1)]  # another row with an id that is taken
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mark int")
+    want = {(r.doc_id, r.mark): r for r in corpus_pipeline.plan_stage(spark, docs, "").collect()}
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    texts = {(r[0], r[3]): r[2] for r in rows}
+    words = defaultdict(int)
+    for r in got:
+        whole = texts[r.doc_id, r.mark]
+        assert whole.startswith(r.text) and len(r.text.split()) == r.words > 0
+        words[r.doc_id, r.mark] += r.words
+    assert dict(words) == {k: r.taken for k, r in want.items() if r.taken} and any(r.taken == 0 for r in want.values())
+    assert sorted((r.shard, r["pass"], r.words) for r in got) == sorted((c.shard, c["pass"], c.words) for r in want.values() for c in r.copies)
