@@ -14,19 +14,20 @@ from mesolite.llm._spark import documents, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, which no language fits, go."""
+    """Documents without a letter, which no language fits, go; without any labelled row to learn from, no other does."""
     machines = language_id.learn(docs)
+    if not machines:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return language_id.identify(docs, machines).filter(F.col("lang_pred") != language_id.UND).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
-    found = written(jaccard_join.jaccard_components(docs), "components")
-    heads = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(heads.select("doc_id"), "doc_id", "left_semi")
-    if not heads.filter("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each group of linked rows the one with the smallest id stays (a null id is the last); an id may stand in several rows."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+    found = jaccard_join.jaccard_components(rows.select("row", F.col("doc.text").alias("text")), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
+    kept = rows.select("row", order.alias("order")).join(found, "row").groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

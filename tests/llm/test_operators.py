@@ -288,3 +288,11 @@ def test_pipeline_emits_the_drawn_copies(spark):
         words[r.doc_id, r.mark] += r.words
     assert dict(words) == {k: r.taken for k, r in want.items() if r.taken} and any(r.taken == 0 for r in want.values())
     assert sorted((r.shard, r["pass"], r.words) for r in got) == sorted((c.shard, c["pass"], c.words) for r in want.values() for c in r.copies)
+
+
+def test_pipeline_keeps_clean_documents_without_labels_and_with_shared_ids(spark):
+    rows = [(1, passage(1, 60)), (1, passage(2, 60)), (None, passage(3, 60)), (None, passage(3, 60)), (7, passage(4, 60)), (None, passage(4, 60)), (5, passage(4, 60)), (9, "5 6 7"), (None, None)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string")
+    assert ordered(corpus_pipeline.language_stage(spark, docs, "").collect()) == ordered([(i, t, None) for i, t in rows[:7]])
+    got = corpus_pipeline.near_duplicate_stage(spark, docs.limit(7), "").collect()
+    assert ordered(got) == ordered([(*rows[k], None) for k in (0, 1, 2, 6)])
