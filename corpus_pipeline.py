@@ -27,7 +27,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard_join.jaccard_components(rows.select("row", F.col("doc.text").alias("text")), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
     kept = rows.select("row", order.alias("order")).join(found, "row").groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    # as many rows are kept as there are groups, so both sides are shuffled at every size
+    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select("doc.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

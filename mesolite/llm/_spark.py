@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where ``spark.checkpoint.dir`` is unset."""
+    """The folder that driver and executors share, as the session names it; where it names none, a temporary one in local mode only."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="mesolite-")
         sc.setCheckpointDir(known)
     return known

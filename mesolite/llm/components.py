@@ -1,4 +1,4 @@
-"""Connected components of a table of links, as a loop of joins."""
+"""Connected components of a table of links, by contracting it round after round."""
 
 from __future__ import annotations
 
@@ -11,20 +11,36 @@ from mesolite.llm._spark import written
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of ``links``; a component's name is its smallest node.
 
-    Each round gives a node the smallest label among its neighbours, then the
-    label of that label, so long chains halve.  Labels are written each round;
-    the loop ends when none changes.
+    Each round orders the nodes by a hash, afresh, hooks every node to the least
+    of itself and its neighbours and replaces the nodes of all links by what
+    they are hooked to.  Links inside a node drop out, so a round's table is a
+    fraction of the last one's, whatever the shape of the graph.  The hooks of
+    all rounds are then followed from the last to the first, and each root's
+    group is named by its smallest node.
+
+    A node with very many links is one key of a join and of partial minima, so
+    Spark splits it; no round collects its neighbours.
     """
-    both = links.select(F.col(a).alias("node"), F.col(b).alias("other")).filter(F.col("node") != F.col("other"))
-    both = written(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
-    labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component"))
-    labels = written(labels, "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        step = step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("next", "component")).alias("component"))
-        step = written(step, "labels")
-        if step.filter(F.col("old") != F.col("component")).isEmpty():
-            return step.select("node", "component")
-        labels = step.select("node", "component")
+    edges = written(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != b").distinct(), "links")
+    hooks = []
+    while not edges.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(hooks))).alias("h"), F.col(c).alias("id"))
+        both = edges.select(F.col("a").alias("node"), order("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), order("a").alias("to")))
+        hook = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("to", order("node"))["id"].alias("parent"))
+        hook = written(hook, "hooks")
+        hooks.append(hook)
+        moved = hook.filter("node != parent")
+        at = lambda c: moved.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}"))
+        edges = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("pa", "a").alias("x"), F.coalesce("pb", "b").alias("y"))
+        edges = written(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct(), "links")
+    if not hooks:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = hooks[-1].select("node", F.col("parent").alias("root"))
+    for k, hook in enumerate(reversed(hooks[:-1])):
+        up = roots.withColumnRenamed("node", "parent")
+        roots = hook.join(up, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+        if k % 4 == 3:
+            roots = written(roots, "roots")
+    roots = written(roots, "roots")
+    names = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return written(roots.join(names, "root").select("node", "component"), "components")

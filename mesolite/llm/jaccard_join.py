@@ -12,30 +12,35 @@ the candidates that its shingles' frequencies give.
    candidates).
 2. Documents with one and the same shingle set become a class with its
    smallest id as representative; only representatives are joined.
-3. Prefix postings are dealt by shingle; shingles of one document drop out.
-4. Links only matter between different components.  Within a shingle's list
-   the first document is compared with all later ones, links are merged into
-   components, and the next, up to the 16th, then the 256th and so on, are
-   compared only with documents of other components.  Bitmaps of the sets rule
-   out most pairs that are not similar before whole sets are read.  A list of near copies is thus one
-   component after a few comparisons each, and no list is expanded into all
-   its pairs; each pair that shares a prefix shingle is verified unless its
-   documents are linked already.
+3. Prefix shingles of one class drop out; the others' postings make lists.
+4. Links only matter between different components, so a list is not expanded
+   into its pairs.  A round takes the smallest id of each list as its pivot
+   (later ones the smallest of each of 16, 256, ... slots of ids), pairs it
+   with the list's documents of other components, and joins the components
+   that the links found put together.  Pivots leave their lists, lists of one
+   component are closed.  Pivots are partial minima and lists are joined with
+   them, so a list of any length is split over tasks.
+5. A pair is verified in full only if its prefixes share min(l, l') shingles
+   and the bitmaps of its sets do not rule the similarity out; whole sets are
+   read for what is left.
 
 Shingles are 64-bit hashes of five words' hashes; sizes and overlaps are
-counted on them, within one pair of documents.
+counted on them, within one pair of documents.  Filters over ids and shingles
+are sized by what they hold, up to ``MOST_FILTER_BITS``; they only thin out
+what joins decide.
 
 Defined cases: null, empty or blank text has no shingles and links with
 nothing; a text of fewer than five words is one shingle; repeated rows are one
 class; rows of one id with different texts are one node; rows without an id
-keep their size and have no component; an empty table gives no rows.
+keep their size and have no component; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mesolite.llm import _words as W
@@ -47,6 +52,7 @@ SKETCH_BITS = 20
 MOST_MATCHES = 4
 VERIFY_COST = 20.0
 PIVOT_GROWTH = 16
+MOST_FILTER_BITS = 1 << 28
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +110,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, l, d1, d2, head): set size, matches asked for, digest of the set, prefix."""
+    """(doc_id, n, d1, d2, l, head, bits): set size, digest of the set, matches asked for, prefix, bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -116,18 +122,23 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str, wo
             sizes = np.diff(bounds)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(flat + np.uint64(s)))]) for s in (1, 0x51ED270B)]
             d1, d2 = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
-            heads, asks = [], np.zeros(len(sizes), np.int32)
+            heads, bits, asks = [], [], np.zeros(len(sizes), np.int32)
             for i in range(len(sizes)):
-                head, asks[i] = prefix_of(flat[bounds[i] : bounds[i + 1]], counters, noise, percent)
+                own = flat[bounds[i] : bounds[i + 1]]
+                head, asks[i] = prefix_of(own, counters, noise, percent)
                 heads.append(head)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(asks, pa.int32()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _lists(heads)], names=["doc_id", "n", "l", "d1", "d2", "head"])
+                bits.append(bitmap(own) if len(own) else b"")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(asks, pa.int32()), _lists(heads), pa.array(bits, pa.binary())], names=["doc_id", "n", "d1", "d2", "l", "head", "bits"]
+            )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, l int, d1 long, d2 long, head array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, l int, head array<long>, bits binary")
 
 
-def id_filter(ids: DataFrame, bits: int = 23) -> np.ndarray:
-    """A Bloom filter of fixed size over the ids; it only thins out what is read again."""
+def id_filter(ids: DataFrame, held: int) -> np.ndarray:
+    """A Bloom filter over about ``held`` ids, sixteen bits for each up to ``MOST_FILTER_BITS``; it only thins out what is read."""
+    bits = min(MOST_FILTER_BITS.bit_length() - 1, max(16, int(16 * held).bit_length()))
 
     def run(batches):
         seen = np.zeros(1 << (bits - 3), np.uint8)
@@ -169,56 +180,61 @@ def most_common(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
     return min(n_x - int(np.bitwise_count(u & ~v).sum()), n_y - int(np.bitwise_count(v & ~u).sum()))
 
 
-def _kept_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int, make, schema: str) -> DataFrame:
-    """What ``make`` gives for the (ids, sets) of the documents that the filter over ``ids`` keeps, ``ids`` and a few more."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+def candidate_sets(docs: DataFrame, ids: DataFrame, held: int, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, own): the sets of (at least) ``ids``, of which there are ``held``."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, held))
 
     def run(batches):
         seen = shared.value
-        for batch in W.pieces(batches, 1):
-            batch = batch.filter(pa.array(maybe_in(batch.column(0).to_numpy(), seen)))
-            flat, bounds = shingle_sets(batch.column(1), words)
-            yield make(batch.column(0), [flat[bounds[i] : bounds[i + 1]] for i in range(batch.num_rows)])
-
-    return docs.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInArrow(run, schema)
-
-
-def candidate_bits(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n, bits) of (at least) ``ids``."""
+        for batch in batches:
+            some = batch.filter(pa.array(maybe_in(batch.column(0).to_numpy(), seen)))
+            for piece in W.pieces([some], 1):
+                flat, bounds = shingle_sets(piece.column(1), words)
+                yield pa.RecordBatch.from_arrays([piece.column(0), _lists([flat[bounds[i] : bounds[i + 1]] for i in range(piece.num_rows)])], names=["id", "own"])
 
-    def make(names, sets):
-        return pa.RecordBatch.from_arrays([names, pa.array([len(x) for x in sets], pa.int32()), pa.array([bitmap(x) for x in sets], pa.binary())], names=["id", "n", "bits"])
+    found = docs.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInArrow(run, "id long, own array<long>")
+    return found.groupBy("id", F.xxhash64("own").alias("d")).agg(F.first("own").alias("own")).select("id", "own")  # repeated rows once
 
-    return _kept_rows(docs, ids, id_col, text_col, words, make, "id long, n int, bits binary")
 
+def thinned(table: DataFrame, seen: np.ndarray) -> DataFrame:
+    """The rows of ``table`` whose first column, a long, the filter ``seen`` lets through."""
+    shared = table.sparkSession.sparkContext.broadcast(seen)
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, sketch: np.ndarray, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, own, head, l) of (at least) ``ids``: set, sorted prefix and the matches it asks for."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(batch.column(0).to_numpy(), shared.value)))
 
-    def make(names, sets):
-        counters = shared.value
-        noise = counters.mean() + 4 * np.sqrt(counters.mean())
-        heads = [prefix_of(s, counters, noise, percent) for s in sets]
-        return pa.RecordBatch.from_arrays([names, _lists(sets), _lists([np.sort(h) for h, _ in heads]), pa.array([ask for _, ask in heads], pa.int32())], names=["id", "own", "head", "l"])
+    return table.mapInArrow(run, table.schema)
 
-    return _kept_rows(docs, ids, id_col, text_col, words, make, "id long, own array<long>, head array<long>, l int")
 
+def sieve(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share the prefix shingles asked for and whose bitmaps do not rule out the similarity.
 
-def sieve(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose bitmaps do not rule out the similarity."""
-    side = lambda c: bits.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    ``info`` holds (id, n, l, head, bits).
+    """
+    side = lambda c: info.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", "l", "head", "bits")))
 
     def run(batches):
         for batch in batches:
-            x, nx, y, ny = (batch.column(c).to_pylist() for c in ("bitsa", "na", "bitsb", "nb"))
-            most = [most_common(*row) for row in zip(x, nx, y, ny, strict=True)]
-            keep = [100 * m >= percent * (i + j - m) for m, i, j in zip(most, nx, ny, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            part = _parts(batch, ("heada", "headb"))
+            ask = np.minimum(batch.column("la").to_numpy(), batch.column("lb").to_numpy())
+            x, y = batch.column("bitsa"), batch.column("bitsb")
+            nx, ny = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                if _common(part("heada", i), part("headb", i)) >= ask[i]:
+                    most = most_common(x[i].as_py(), int(nx[i]), y[i].as_py(), int(ny[i]))
+                    keep[i] = 100 * most >= percent * (int(nx[i]) + int(ny[i]) - most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def _parts(batch: pa.RecordBatch, names: tuple[str, ...]):
+    got = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in names}
+    return lambda name, i: got[name][1][got[name][0][i] : got[name][0][i + 1]]
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate([a, b])
     both.sort()
@@ -226,39 +242,42 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity: enough shared prefix shingles first, then the whole sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("own").alias("sa"), F.col("head").alias("ha"), F.col("l").alias("la"))
-    right = sets.select(F.col("id").alias("b"), F.col("own").alias("sb"), F.col("head").alias("hb"), F.col("l").alias("lb"))
+    """The pairs (a, b) whose whole sets (id, own) reach the similarity."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("own").alias(f"own{c}"))
 
     def run(batches):
         for batch in batches:
-            get = {}
-            for name in ("sa", "ha", "sb", "hb"):
-                c = batch.column(name)
-                get[name] = (c.offsets.to_numpy(), c.values.to_numpy())
-            part = lambda name, i: get[name][1][get[name][0][i] : get[name][0][i + 1]]
-            la, lb = batch.column("la").to_numpy(), batch.column("lb").to_numpy()
+            part = _parts(batch, ("owna", "ownb"))
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                if _common(part("ha", i), part("hb", i)) >= min(la[i], lb[i]):
-                    x, y = part("sa", i), part("sb", i)
-                    both = _common(x, y)
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                x, y = part("owna", i), part("ownb", i)
+                both = _common(x, y)
+                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ha", "la", "sb", "hb", "lb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def ranked(postings: DataFrame) -> DataFrame:
-    """The postings (token, id, n, pos) with their place ``rn`` in the shingle's list, without the first of each list.
+def shared_postings(heads: DataFrame) -> DataFrame:
+    """(token, id, n, pos) of the prefix shingles that more than one row of ``heads`` (id, n, head) holds."""
+    tokens = heads.select("id", F.explode("head").alias("token")).groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y"))
+    tokens = written(tokens.filter("x != y").select("token"), "tokens")
+    shared = heads.sparkSession.sparkContext.broadcast(id_filter(tokens, tokens.count()))
 
-    Each row carries its list's first document (``id_``, ``n_``, ``pos_``),
-    its first pivot, so the first round takes no join; ``more`` tells whether
-    the list goes on.
-    """
-    w = Window.partitionBy("token").orderBy("id")
-    rows = postings.select("token", "id", "n", "pos", F.row_number().over(w).alias("rn"), F.lead("id").over(w).isNotNull().alias("more"), *(F.first(c).over(w).alias(f"{c}_") for c in ("id", "n", "pos")))
-    return written(rows.filter("rn > 1"), "postings")
+    def run(batches):
+        seen = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            token = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            keep = np.flatnonzero(maybe_in(token, seen))
+            row = np.searchsorted(offsets, keep, side="right") - 1
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array((keep - offsets[row]).astype(np.int32))], names=["token", "id", "n", "pos"])
+
+    some = heads.select("id", F.col("n").cast("int").alias("n"), "head").mapInArrow(run, "token long, id long, n int, pos int")
+    return written(some.join(tokens, "token"), "postings")
 
 
 def could_link(percent: int) -> F.Column:
@@ -267,57 +286,34 @@ def could_link(percent: int) -> F.Column:
     return (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= least)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def link_components(rows: DataFrame, check, percent: int) -> DataFrame | None:
+    """(node, component) over all verified links among the lists (token, id, n, pos) of ``rows``; None without links.
 
-
-def link_components(postings: DataFrame, fetch, percent: int, fetch_bits=None) -> DataFrame | None:
-    """(node, component) over all verified links among ``ranked`` postings; None without links.
-
-    ``fetch`` gives the sets of (at least) the ids of a table, ``fetch_bits``,
-    where given, their bitmaps, which rule out most pairs that are not similar
-    before sets are read.  A pair is let
-    through where it could still reach the similarity if this shingle is its
-    first common one; the first common one of a similar pair always is.  A
-    round leaves to the next one only lists that still hold documents of more
-    than one component.
+    ``check`` gives the pairs of a written table (a, b) that reach the
+    similarity.  A pair is let through where it could still reach it if this
+    token is its first common one; the first common one of a similar pair
+    always is.  Each round takes pivots out of all open lists, so it ends.
     """
-    longest = postings.agg(F.max("rn")).first()[0]
-    if longest is None:
-        return None
-    comps, tested, bits, rows, hi = None, None, None, postings, 1
-    pair = [F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")]
-    while True:
-        if hi == 1:
-            pairs = rows.filter((F.col("id") != F.col("id_")) & could_link(percent)).select(*pair).distinct()
-        else:
-            one = rows.filter(F.col("rn") <= hi).select("token", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "rn", "component")))
-            near = (F.col("rn") > F.col("rn_")) & (F.col("component") != F.col("component_")) & (F.col("id") != F.col("id_"))
-            pairs = one.join(rows, "token").filter(near & could_link(percent)).select(*pair).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if fetch_bits is not None and not pairs.isEmpty():
-            ids = _ends(pairs) if bits is None else written(_ends(pairs).join(bits.select("id"), "id", "left_anti"), "wanted")
-            if bits is None or not ids.isEmpty():
-                more = written(fetch_bits(ids), "bits")
-                bits = more if bits is None else bits.unionByName(more.join(bits.select("id"), "id", "left_anti"))
-            pairs = written(sieve(pairs, bits, percent), "sieved")
+    comps, slots = None, 1
+    rows = rows.withColumn("component", F.col("id"))
+    while not rows.isEmpty():
+        slot = F.pmod(F.xxhash64("id"), F.lit(slots))
+        pivots = rows.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("id", "n", "pos", "component")).alias("p"))
+        pivots = written(pivots.select("token", *(F.col(f"p.{c}").alias(f"{c}_") for c in ("id", "n", "pos", "component"))), "pivots")
+        apart = (F.col("component") != F.col("component_")) & (F.col("id") != F.col("id_"))
+        pairs = rows.join(pivots, "token").filter(apart & could_link(percent))
+        pairs = written(pairs.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
-            comps = merged(comps, verify(pairs, fetch(_ends(pairs)), percent))
-        if longest <= hi + 1:
-            return comps
-        rows = rows.filter((F.col("rn") > hi) & ((F.col("rn") > hi + 1) | F.col("more"))).select("token", "id", "n", "pos", "rn", "more")
+            comps = merged(comps, check(pairs))
+        rows = rows.select("token", "id", "n", "pos").join(pivots.select("token", F.col("id_").alias("id")), ["token", "id"], "left_anti")
         if comps is None:
             rows = rows.withColumn("component", F.col("id"))
         else:
             rows = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
         rows = written(rows.join(mixed.select("token"), "token", "left_semi"), "open")
-        longest = rows.agg(F.max("rn")).first()[0]
-        if longest is None:
-            return comps
-        hi = hi * PIVOT_GROWTH
+        slots *= PIVOT_GROWTH
+    return comps
 
 
 def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -341,27 +337,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = frequency_sketch(rows, "text", words)
     table = written(prefixes(rows, sketch, "doc_id", "text", words, percent), "prefixes")
-    full = table.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = written(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
-    copies = full.select("doc_id", "d1", "d2", "n").join(classes.filter("class_size > 1"), ["d1", "d2", "n"]).filter("doc_id != rep").select("doc_id", "d1", "d2")
-    heads = full.join(copies, ["doc_id", "d1", "d2"], "left_anti")
-    postings = heads.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "token"))
-    postings = ranked(postings)
-
-    def sets(ids: DataFrame) -> DataFrame:
-        return written(candidate_sets(rows, ids, sketch, "doc_id", "text", words, percent), "sets")
-
-    comps = link_components(postings, sets, percent, lambda ids: candidate_bits(rows, ids, "doc_id", "text", words))
-    names = classes
+    full = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    # equal sets have equal prefixes and bitmaps, so a class takes any member's
+    classes = table.filter(full).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), *(F.first(c).alias(c) for c in ("l", "head", "bits")))
+    classes = written(classes, "classes")
+    info = classes.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), "l", "head", "bits")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ids = written(_ends(pairs), "ids")
+        seen = id_filter(ids, ids.count())
+        left = written(sieve(pairs, thinned(info, seen), percent), "sieved")
+        ids = written(_ends(left), "ids")
+        return verify(left, written(candidate_sets(rows, ids, ids.count(), "doc_id", "text", words), "sets"), percent)
+
+    comps = link_components(shared_postings(info.select("id", "n", "head")), check, percent)
+    # an id of several texts belongs to several classes, which it links
+    texts = table.filter(full).groupBy("doc_id").agg(*(f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("d1", "d2")))
+    texts = written(texts.filter("mind1 != maxd1 OR mind2 != maxd2").select("doc_id"), "several")
+    if not texts.isEmpty():
+        own = table.filter(full).join(texts, "doc_id", "left_semi").select("doc_id", "d1", "d2", "n").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"])
+        comps = merged(comps, own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b").distinct())
+    names = classes.select("d1", "d2", "n", "rep", "class_size")
     if comps is not None:
-        names = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        names = names.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     else:
-        names = classes.withColumn("component", F.col("rep"))
+        names = names.withColumn("component", F.col("rep"))
     names = names.filter((F.col("class_size") > 1) | (F.col("component") != F.col("rep")))
-    out = table.select("doc_id", "n", "d1", "d2").join(names, ["d1", "d2", "n"], "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")
-    )
+    some = table.filter(full).select("doc_id", "n", "d1", "d2").join(names, ["d1", "d2", "n"], "left")
+    some = some.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    none = table.filter(~full).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
+    return some.unionByName(none)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

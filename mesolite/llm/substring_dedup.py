@@ -2,14 +2,16 @@
 
 Two kinds of paragraphs of a document are compared:
 
-* lines of at least ``LEAST`` words, as sets of five-word shingles; each has
-  ``BANDS`` one-row MinHash bands, so a pair of Jaccard similarity 0.75 meets in
-  some band with probability 1 - 0.25 ** BANDS (0.996).  Lines that collide
-  are verified by exact Jaccard similarity;
+* lines of at least ``LINE`` words, as sets of five-word shingles; each has
+  ``BANDS`` MinHash bands of ``ROWS`` rows, so a pair of Jaccard similarity 0.75
+  meets in some band with probability 1 - (1 - 0.75 ** ROWS) ** BANDS (0.987,
+  0.9996 at 0.85), one of 0.3 with 0.2.  Lines that collide are verified by exact Jaccard similarity;
 * passages between anchors, words whose hash is the least among ``REACH`` words
   to either side.  Anchors depend on the words near them only, so a passage
   that is copied into the middle of other text is cut alike there.  Passages
-  have one band, the hash of all their words, which is exact.
+  have one band, the hash of all their words, which is exact; where a passage
+  repeats, the match is extended word by word into the text around it, up to
+  ``AROUND`` words to either side.
 
 Linked paragraphs form components.  A component's first occurrence stays, the
 others are removed where they lie in another document; touching removals of a
@@ -17,12 +19,13 @@ document are joined, and those of fewer than ``LEAST`` words are left alone,
 which are set phrases, not passages.
 
 A first pass over the texts counts band keys, with partial sums; keys of one
-paragraph drop out through a filter of fixed size before the second pass, so
-only paragraphs that may repeat are shuffled.
+document drop out through a filter sized by the keys that are left before the
+second pass, so only paragraphs that may repeat are shuffled.
 
-Defined cases: null or empty text has no paragraphs; rows without an id are
-left alone; repeated rows (one id) are one document; an empty table gives no
-rows.
+Defined cases: null or empty text has no paragraphs; a text of any length is
+cut into paragraphs as a whole; rows without an id are left alone; repeated
+rows (one id) are one document; of equal paragraphs the one with the smallest
+id stays; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,17 +37,20 @@ from pyspark.sql import functions as F
 
 from mesolite.llm import _words as W
 from mesolite.llm._spark import documents, written
-from mesolite.llm.jaccard_join import id_filter, link_components, maybe_in, ranked
+from mesolite.llm.jaccard_join import id_filter, link_components, maybe_in, verify
 
-LEAST = 15
-BANDS = 4
+LEAST = 51
+LINE = 15
+BANDS, ROWS = 8, 3
 REACH = 4
+AROUND = 20
 SHINGLE, PERCENT = 5, 75
 _U = np.uint64
+_NONE = np.uint16(0xFFFF)
 
 
 def paragraphs(column: pa.Array) -> dict[str, np.ndarray]:
-    """Lines and passages of the rows of a batch: row, first and last word (of the row), keys, and the lines' shingles."""
+    """Lines and passages of the rows of a batch: row, first and last word (of the row), keys, the lines' shingles and short hashes of all words."""
     raw, offsets = W.utf8_buffer(column)
     raw = W.FOLD[raw]
     starts, ends, first = W.split_words(raw, offsets)
@@ -60,12 +66,14 @@ def paragraphs(column: pa.Array) -> dict[str, np.ndarray]:
     new = begins[:n].copy()
     new[1:] |= at[1:] != at[:-1]
     line = np.append(np.flatnonzero(new), n)
-    long = np.diff(line) >= LEAST
+    long = np.flatnonzero(np.diff(line) >= LINE)
     line_row, shingles = W.shingle_hashes(words, line, SHINGLE)
     bounds = np.searchsorted(line_row, np.arange(len(line)))
     keys = np.zeros((len(line) - 1, BANDS), _U)
     for b in range(BANDS if len(shingles) else 0):
-        keys[:, b] = np.minimum.reduceat(W.mix(shingles ^ W.mix(np.array([b + 1], _U))), bounds[:-1]) ^ _U(b)
+        for r in range(ROWS):
+            least = np.minimum.reduceat(W.mix(shingles ^ W.mix(np.array([b * ROWS + r + 1], _U))), bounds[:-1])
+            keys[:, b] = W.mix(keys[:, b] + W.mix(least ^ _U(b)))
     # passages
     pair = words.copy()
     if n > 1:
@@ -78,6 +86,10 @@ def paragraphs(column: pa.Array) -> dict[str, np.ndarray]:
         low &= (pair[cand] < pair[cand - k]) & (pair[cand] <= pair[cand + k])
     cut = begins[:n].copy()
     cut[cand[low]] = True
+    anchor = np.flatnonzero(cut)
+    if n:  # runs of equal words have no anchor: they are cut at fixed places after the last one
+        since = place - np.repeat(anchor, np.diff(np.append(anchor, n)))
+        cut |= (since > 0) & (since % (16 * REACH) == 0)
     cuts = np.append(np.flatnonzero(cut), n)
     if n:
         inside = place - np.repeat(cuts[:-1], np.diff(cuts))
@@ -85,17 +97,17 @@ def paragraphs(column: pa.Array) -> dict[str, np.ndarray]:
         digest = W.mix(digest + np.diff(cuts).astype(_U))
     else:
         digest = np.zeros(0, _U)
-    enough = np.diff(cuts) > REACH
-    base = first[row] if n else np.zeros(0, np.int64)
+    enough = np.flatnonzero(np.diff(cuts) > REACH)
     return {
-        "line_row": row[line[:-1][long]] if n else np.zeros(0, np.int64),
-        "line_s": (line[:-1] - base[line[:-1]])[long] if n else np.zeros(0, np.int64),
+        "words": words,
+        "first": first,
+        "row": row,
+        "line_at": line[:-1][long],
         "line_n": np.diff(line)[long],
         "line_keys": keys[long],
-        "line_bounds": np.stack([bounds[:-1], bounds[1:]], 1)[long],
+        "line_bounds": np.stack([bounds[:-1], bounds[1:]], 1)[long] if len(long) else np.zeros((0, 2), np.int64),
         "shingles": shingles,
-        "cut_row": row[cuts[:-1][enough]] if n else np.zeros(0, np.int64),
-        "cut_s": (cuts[:-1] - base[cuts[:-1]])[enough] if n else np.zeros(0, np.int64),
+        "cut_at": cuts[:-1][enough],
         "cut_n": np.diff(cuts)[enough],
         "cut_key": digest[enough],
     }
@@ -107,7 +119,7 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in W.pieces(batches, 1):
             p = paragraphs(batch.column(1))
-            rows = np.concatenate([np.repeat(p["line_row"], BANDS), p["cut_row"]])
+            rows = p["row"][np.concatenate([np.repeat(p["line_at"], BANDS), p["cut_at"]])]
             key = np.concatenate([p["line_keys"].ravel(), p["cut_key"]])
             order = np.lexsort((rows, key))  # the keys of this batch, once for each document
             key, rows = key[order], rows[order]
@@ -120,8 +132,28 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, n byte").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
 
 
+def _around(p: dict[str, np.ndarray], at: np.ndarray, step: int) -> pa.Array:
+    """Short hashes of the ``AROUND`` words from ``at`` on in a direction, nearest first, as fixed bytes; ``_NONE`` beyond the text."""
+    short = (p["words"] >> _U(48)).astype(np.uint16)
+    short[short == _NONE] = 0
+    row = p["row"][at - (step > 0)]
+    place = at[:, None] + (np.arange(AROUND) if step > 0 else -1 - np.arange(AROUND))
+    ok = (place >= p["first"][row][:, None]) & (place < p["first"][row + 1][:, None])
+    got = np.where(ok, short[np.clip(place, 0, len(short) - 1)], _NONE) if len(short) else np.zeros((0, AROUND), np.uint16)
+    return pa.Array.from_buffers(pa.binary(), len(got), [None, pa.py_buffer((np.arange(len(got) + 1) * 2 * AROUND).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(got).tobytes())])
+
+
+def _line_ids(doc: np.ndarray, s: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    return W.mix(W.mix(doc.view(_U)) + s.astype(_U) + W.mix(digest))
+
+
+def _digests(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    sets = [np.unique(shingles[a:b]) for a, b in bounds]
+    return np.array([W.mix(x).sum(dtype=_U) + _U(len(x)) for x in sets], _U), sets
+
+
 def repeated_paragraphs(docs: DataFrame, keys: np.ndarray) -> DataFrame:
-    """(u, doc_id, s, n, line, keys, own) of the paragraphs that hold a key of the filter."""
+    """(u, doc_id, s, n, line, size, d, keys, left, right) of the paragraphs that hold a key of the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches):
@@ -132,58 +164,118 @@ def repeated_paragraphs(docs: DataFrame, keys: np.ndarray) -> DataFrame:
             lk = maybe_in(p["line_keys"].ravel().view(np.int64), seen).reshape(-1, BANDS)
             some = np.flatnonzero(lk.any(axis=1))
             ck = np.flatnonzero(maybe_in(p["cut_key"].view(np.int64), seen))
-            row = np.concatenate([p["line_row"][some], p["cut_row"][ck]]).astype(np.int64)
-            s = np.concatenate([p["line_s"][some], p["cut_s"][ck]]).astype(np.int64)
+            at = np.concatenate([p["line_at"][some], p["cut_at"][ck]]).astype(np.int64)
             n = np.concatenate([p["line_n"][some], p["cut_n"][ck]]).astype(np.int64)
-            line = np.concatenate([np.ones(len(some), bool), np.zeros(len(ck), bool)])
+            row = p["row"][at]
+            doc, s = ids[row] if len(row) else np.zeros(0, np.int64), at - p["first"][row]
+            digest, sets = _digests(p["shingles"], p["line_bounds"][some])
+            k = len(some)
+            u = np.concatenate([_line_ids(doc[:k], s[:k], digest), np.zeros(len(ck), _U)])
             held = [p["line_keys"][i][lk[i]].view(np.int64) for i in some] + [p["cut_key"][i : i + 1].view(np.int64) for i in ck]
-            own = [np.unique(p["shingles"][a:b]).view(np.int64) for a, b in p["line_bounds"][some]] + [np.zeros(0, np.int64)] * len(ck)
-            doc = ids[row] if len(row) else np.zeros(0, np.int64)
-            u = W.mix(W.mix(doc.view(_U)) + s.astype(_U) * _U(2) + line.astype(_U))
+            none = pa.nulls(k, pa.binary())
+            cut_at, cut_n = p["cut_at"][ck], p["cut_n"][ck]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u.view(np.int64)), pa.array(doc), pa.array(s), pa.array(n), pa.array(line), pa.array(held, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64()))],
-                names=["u", "doc_id", "s", "n", "line", "keys", "own"],
+                [
+                    pa.array(u.view(np.int64)),
+                    pa.array(doc),
+                    pa.array(s),
+                    pa.array(n),
+                    pa.array(np.arange(len(at)) < k),
+                    pa.array([len(x) for x in sets] + [0] * len(ck), pa.int32()),
+                    pa.array(np.concatenate([digest, np.zeros(len(ck), _U)]).view(np.int64)),
+                    pa.array(held, pa.list_(pa.int64())),
+                    pa.concat_arrays([none, _around(p, cut_at, -1)]),
+                    pa.concat_arrays([none, _around(p, cut_at + cut_n, 1)]),
+                ],
+                names=["u", "doc_id", "s", "n", "line", "size", "d", "keys", "left", "right"],
             )
 
-    return docs.mapInArrow(run, "u long, doc_id long, s long, n long, line boolean, keys array<long>, own array<long>")
+    return docs.mapInArrow(run, "u long, doc_id long, s long, n long, line boolean, size int, d long, keys array<long>, left binary, right binary")
+
+
+def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, own): the shingle sets of (at least) the lines ``wanted`` (id, doc_id), read again from their documents."""
+    held = wanted.count()
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast((id_filter(wanted.select("doc_id"), held), id_filter(wanted.select("id"), held)))
+
+    def run(batches):
+        of_docs, of_lines = shared.value
+        for batch in batches:
+            some = batch.filter(pa.array(maybe_in(batch.column(0).to_numpy().astype(np.int64), of_docs)))
+            for piece in W.pieces([some], 1):
+                p = paragraphs(piece.column(1))
+                row = p["row"][p["line_at"]]
+                ids = piece.column(0).to_numpy().astype(np.int64)
+                digest, sets = _digests(p["shingles"], p["line_bounds"])
+                u = _line_ids(ids[row] if len(row) else np.zeros(0, np.int64), p["line_at"] - p["first"][row], digest).view(np.int64)
+                keep = np.flatnonzero(maybe_in(u, of_lines))
+                yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["id", "own"])
 
+    return docs.mapInArrow(run, "id long, own array<long>").groupBy("id").agg(F.first("own").alias("own"))
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def extended(found: DataFrame) -> DataFrame:
+    """(doc_id, s, n, keep) with the words around a passage that the kept copy has as well."""
+
+    def run(batches):
+        for batch in batches:
+            n, s = batch.column("n").to_numpy().copy(), batch.column("s").to_numpy().copy()
+            for own, kept, moves in (("left", "kleft", True), ("right", "kright", False)):
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, AROUND) for c in (own, kept))
+                same = np.logical_and.accumulate((x == y) & (x != _NONE), axis=1).sum(axis=1)
+                n += same
+                if moves:
+                    s -= same
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(n), batch.column("keep")], names=["doc_id", "s", "n", "keep"])
+
+    return found.mapInArrow(run, "doc_id long, s long, n long, keep long")
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, keep_doc_id): word spans to remove and the first document that keeps their text."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    units = written(repeated_paragraphs(rows, id_filter(shared_keys(rows), bits=24)), "paragraphs")
-    each = units.select("u", "doc_id", "s", "n", "line", F.explode("keys").alias("key"))
+    keys = written(shared_keys(rows), "keys")
+    units = written(repeated_paragraphs(rows, id_filter(keys, keys.count())), "paragraphs")
 
     # passages: one key, exact
-    firsts = each.filter(~F.col("line")).groupBy("key").agg(F.min(F.struct("doc_id", "s")).alias("k"), F.max("doc_id").alias("last")).filter(F.col("k.doc_id") != F.col("last"))
-    passages = each.filter(~F.col("line")).join(firsts.select("key", F.col("k.doc_id").alias("keep")), "key").filter("doc_id != keep").select("doc_id", "s", "n", "keep")
-
-    # lines: collisions, exact similarity, components
-    several = each.filter("line").groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    bucket = each.filter("line").join(several, "key")
-    own = units.filter("line").dropDuplicates(["u"])
-    copies = own.groupBy(F.xxhash64("own").alias("d")).agg(F.min("u").alias("rep"))
-    names = written(own.select("u", F.xxhash64("own").alias("d"), F.size("own").cast("int").alias("size")).join(copies, "d").select("u", "rep", "size"), "lines")
-    held = bucket.join(names.filter("u = rep"), "u").select(F.col("key").alias("token"), F.col("u").alias("id"), F.col("size").alias("n"), F.lit(0).alias("pos")).distinct()
-    sets = own.join(names.filter("u = rep").select("u"), "u").select(F.col("u").alias("id"), "own", F.col("own").alias("head"), F.lit(0).alias("l"))
-    sets = written(sets, "sets")
-    comps = link_components(ranked(held), lambda ids: sets, PERCENT)
-    named = names.select("u", "rep")
+    cuts = units.filter(~F.col("line")).select(F.col("keys")[0].alias("key"), "doc_id", "s", "n", "left", "right")
+    firsts = cuts.groupBy("key").agg(F.min(F.struct("doc_id", "s", "left", "right")).alias("k"), F.max("doc_id").alias("last")).filter(F.col("k.doc_id") != F.col("last"))
+    firsts = firsts.select("key", F.col("k.doc_id").alias("keep"), F.col("k.left").alias("kleft"), F.col("k.right").alias("kright"))
+    passages = extended(cuts.join(firsts, "key").filter("doc_id != keep"))
+
+    # lines: classes of equal sets, collisions of classes, exact similarity, components
+    lines = units.filter("line").groupBy("u").agg(*(F.first(c).alias(c) for c in ("doc_id", "s", "n", "size", "d", "keys")))
+    lines = written(lines, "lines")
+    classes = lines.groupBy("d", "size").agg(F.min("u").alias("rep"))
+    named = written(lines.select("u", "d", "size").join(classes, ["d", "size"]).select("u", "rep"), "classes")
+    reps = lines.join(named.filter("u = rep").select("u"), "u", "left_semi")
+    held = reps.select(F.explode("keys").alias("token"), F.col("u").alias("id"), F.col("size").alias("n"), F.lit(0).alias("pos")).distinct()
+    several = held.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x != y").select("token")
+    held = written(held.join(several, "token", "left_semi"), "bands")
+    of = reps.select(F.col("u").alias("id"), "doc_id")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = written(of.join(ids, "id", "left_semi"), "wanted")
+        return verify(pairs, written(line_sets(rows, wanted), "sets"), PERCENT)
+
+    comps = link_components(held, check, PERCENT)
     if comps is not None:
         named = named.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("u", F.coalesce("component", "rep").alias("c"))
     else:
         named = named.select("u", F.col("rep").alias("c"))
-    lines = own.select("u", "doc_id", "s", "n").join(named, "u")
-    keeper = lines.groupBy("c").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep != last").select("c", "keep")
-    lines = lines.join(keeper, "c").filter("doc_id != keep").select("doc_id", "s", "n", "keep")
+    named = lines.select("u", "doc_id", "s", "n").join(named, "u")
+    keeper = named.groupBy("c").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep != last").select("c", "keep")
+    alike = named.join(keeper, "c").filter("doc_id != keep").select("doc_id", "s", "n", "keep")
 
-    spans = lines.unionByName(passages).groupBy("doc_id", "s", "n").agg(F.min("keep").alias("keep"))
+    spans = alike.unionByName(passages).groupBy("doc_id", "s", "n").agg(F.min("keep").alias("keep"))
     order = Window.partitionBy("doc_id").orderBy("s", "n")
     upto = F.max(F.col("s") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = spans.withColumn("new", F.when(F.col("s") <= upto, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = island.groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max(F.col("s") + F.col("n")).alias("end_word"), F.min("keep").alias("keep_doc_id"))
     out = out.withColumn("n_words", F.col("end_word") - F.col("start_word"))
-    return out.filter(F.col("n_words") >= LEAST).select("doc_id", "start_word", "end_word", "n_words", "keep_doc_id")
+    return out.filter(F.col("n_words") >= least).select("doc_id", "start_word", "end_word", "n_words", "keep_doc_id")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

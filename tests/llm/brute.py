@@ -122,3 +122,16 @@ def contaminated(docs: list[tuple[int, str | None]], items: list[tuple]) -> dict
                     hit |= set(range(k, k + n))
         out[i] = bool(hit) and 20 * len(hit) >= len(w)
     return out
+
+
+def repeats(docs: list[tuple[int, str | None]], least: int) -> set[tuple[int, int, int]]:
+    """(doc_id, start, end) of the longest spans of words covered by runs of ``least`` words that a smaller doc_id holds as well."""
+    seen, out = {}, set()
+    for i, t in sorted(docs):
+        w, hit = words(t), set()
+        for k in range(len(w) - least + 1):
+            if seen.setdefault(tuple(w[k : k + least]), i) != i:
+                hit |= set(range(k, k + least))
+        starts = sorted(x for x in hit if x - 1 not in hit)
+        out |= {(i, s, next(e for e in range(s, len(w) + 1) if e not in hit)) for s in starts}
+    return out

@@ -95,6 +95,12 @@ def test_jaccard_near_copies_in_chains(spark):
     assert got == brute.components(rows)
 
 
+def test_jaccard_ids_with_several_texts(spark):
+    rows = [(5, passage(1, 40)), (5, passage(2, 40)), (3, passage(2, 40)), (8, passage(1, 40)), (8, passage(1, 40)), (9, passage(3, 40)), (9, passage(4, 40))]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(brute.components(rows).items()) == {(3, 3), (5, 3), (8, 3), (9, 9)}
+
+
 def test_bitmaps_never_rule_out_a_similar_pair():
     r = np.random.default_rng(1)
     for _ in range(300):
@@ -244,13 +250,25 @@ def test_repeated_passages_are_removed(spark):
     rows = [(k, f"{passage(1000 + k, 200)} {shared} {passage(2000 + k, 150)}") for k in range(8)] + [(100 + k, passage(3000 + k, 300)) for k in range(20)]
     near = LINE.split()
     rows += [(200, LINE + "\n" + passage(1, 50)), (201, passage(2, 50) + "\n" + " ".join([*near[:-1], "sound"]))]
-    got = substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string"), least=15).collect()
     texts = {i: t.split() for i, t in rows}
     spans = {r.doc_id: texts[r.doc_id][r.start_word : r.end_word] for r in got}
     assert set(spans) == {*range(1, 8), 201} and {r.keep_doc_id for r in got} == {0, 200}
     assert all(set(spans[k]) <= set(shared.split()) and len(spans[k]) >= 50 for k in range(1, 8))
 
 
+def test_exact_passages_against_brute_force(spark, edge_dir):
+    """Copied passages of 51 and more words are found to the word, shorter ones are left alone."""
+    cut = {k: passage(5000 + k, n) for k, n in enumerate((51, 50, 49, 52, 64, 90, 51, 51))}
+    rows = [(10 * k + j, f"{passage(100 * k + j, 37 + j)} {c}" + ("\n" if j else " ") + passage(7000 + 100 * k + j, 55)) for k, c in cut.items() for j in range(3)]
+    rows += [(200, None), (201, ""), (202, cut[0]), (203, f"{passage(4321, 20)} {cut[6]} {cut[7]}"), (202, cut[0]), (None, cut[0]), (300, passage(3, 9000)), (301, " ".join(passage(3, 9000).split()[4000:4060]))]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.repeats([(i, t) for i, t in dict(r for r in rows if r[0] is not None).items()], 51)
+    assert {r[0] for r in got} == {1, 2, 31, 32, 41, 42, 51, 52, 61, 62, 71, 72, 202, 203, 301}
+    edge = substring_dedup.op10_substring_dedup(spark, edge_dir).collect()
+    assert {(r.doc_id, r.keep_doc_id) for r in edge} >= {(7, 6), (8, 6), (100, 6)} and None not in {r.doc_id for r in edge}
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     benchmark = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
