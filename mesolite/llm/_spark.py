@@ -36,7 +36,10 @@ def with_text(df: DataFrame, *needed: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table; one that is stored in fewer parts than half the cores is dealt out, larger ones are read as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def crc_fold(column: str, modulus: int) -> F.Column:
