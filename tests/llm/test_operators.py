@@ -217,12 +217,45 @@ def test_model_beats_unigrams_on_held_out_text(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_class_model_is_a_distribution(spark):
-    docs = spark.createDataFrame([(1, "a b a b c a b"), (2, "b a c")], "doc_id long, text string")
-    model, _ = lm_score.learn(docs)
-    z = model.weights[0][3] + model.bias
-    p = np.exp(z - z.max())
-    assert (p / p.sum()).sum() == pytest.approx(1) and model.n == 12 and model.v == 4
+def test_score_against_brute_force(spark, monkeypatch):
+    """Scores from the model's weights in plain Python, the same over 2 and 7 partitions; classes of a context add up to one."""
+    monkeypatch.setattr(lm_score, "LEAST_BUCKET_BITS", 4)
+    rows = [(k, f"{passage(k % 7, 20)} The the A b\t{passage(k % 3, 5)}" if k else None) for k in range(40)] + [(50, "unseen words only"), (51, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.filter("doc_id < 40")
+    first, second = (lm_score.learn(train.repartition(n)) for n in (2, 7))
+    assert np.array_equal(first[0].weights, second[0].weights) and np.abs(first[0].weights).max() > 0.1
+    got = [{r.doc_id: r for r in lm_score.score(docs.repartition(n), *m).collect()} for n, m in ((2, first), (7, second))]
+    assert got[0] == got[1]
+    m, counts = first
+    known = {int(np.int64(r.h).view(np.uint64)): r.c for r in counts.collect()}
+    one = lambda w: int(lm_score.W.fold_words(lm_score.pa.array([w]))[0][0])
+    mix = lambda x: int(lm_score.W.mix(np.array([x % 2**64], np.uint64))[0])
+
+    def softmax(level, bias, contexts):
+        z = [float(b) + sum(float(m.weights[level][f][x % m.weights.shape[2]][c]) for f, x in enumerate(contexts)) for c, b in enumerate(bias)]
+        return [np.exp(v) / sum(np.exp(u) for u in z) for v in z]
+
+    def leaf(h, cls):
+        part = mix(h) % lm_score.PARTS
+        return part, (known.get(h, 0) + 1) / (m.part_n[cls, part] + m.part_v[cls, part] + 1)
+
+    own = {int(h): int(c) for h, c in zip(m.own, m.own_class, strict=True)}
+    for i, text in rows:
+        seq, score = [(one(w), int(lm_score.tokens(lm_score.pa.array([w]))[1][0])) for w in brute.words(text)], 0.0
+        hashes = [int(lm_score.START)] * 2 + [h for h, _ in seq]
+        for k, (h, kind) in enumerate([*seq, (None, None)]):
+            x, y = hashes[k + 1], hashes[k]
+            contexts = [mix(x), mix(mix(x) + y), mix(y ^ 0xA5A5)]
+            cls = lm_score.END_CLASS if h is None else own.get(h, kind)
+            p = softmax(0, m.bias, contexts)
+            assert sum(p) == pytest.approx(1)
+            score += np.log10(p[cls])
+            if cls > lm_score.END_CLASS:
+                part, inside = leaf(h, cls)
+                score += np.log10(softmax(1, m.part_bias[cls], [mix(c ^ mix(cls + 1)) for c in contexts])[part] * inside)
+        assert got[0][i].score == pytest.approx(score, abs=1e-3)
+    assert m.part_n.sum() + sum(known[h] for h in own) + 40 == m.n
 
 
 @pytest.mark.parametrize("text", ["", " ", "plain", "### User: x </turn>\n", "\\", "\\### Assistant: </turn> ok", "a </turn", "##", "###", " </turn>\n### ", "é\\n#"])
