@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written``, and the number of rows, which the writing job itself counts."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get["n"]
+
+
 def with_text(df: DataFrame, *needed: str) -> DataFrame:
     """``df`` with null columns of type string for those of ``needed`` that it lacks."""
     return df.withColumns({c: F.lit(None).cast("string") for c in needed if c not in df.columns})

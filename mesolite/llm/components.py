@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mesolite.llm._spark import written
+from mesolite.llm._spark import counted, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,9 +21,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A node with very many links is one key of a join and of partial minima, so
     Spark splits it; no round collects its neighbours.
     """
-    edges = written(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != b").distinct(), "links")
+    return contracted(*counted(links_of(links, a, b), "links"))
+
+
+def links_of(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != b").distinct()
+
+
+def contracted(edges: DataFrame, n: int) -> DataFrame:
+    """``components`` of a written table of ``n`` distinct links (a, b), a < b."""
     hooks = []
-    while not edges.isEmpty():
+    while n:
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(hooks))).alias("h"), F.col(c).alias("id"))
         both = edges.select(F.col("a").alias("node"), order("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), order("a").alias("to")))
         hook = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("to", order("node"))["id"].alias("parent"))
@@ -32,7 +40,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = hook.filter("node != parent")
         at = lambda c: moved.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}"))
         edges = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("pa", "a").alias("x"), F.coalesce("pb", "b").alias("y"))
-        edges = written(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct(), "links")
+        edges, n = counted(links_of(edges, "x", "y"), "links")
     if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = hooks[-1].select("node", F.col("parent").alias("root"))
@@ -41,6 +49,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         roots = hook.join(up, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
         if k % 4 == 3:
             roots = written(roots, "roots")
-    roots = written(roots, "roots")
     names = roots.groupBy("root").agg(F.min("node").alias("component"))
     return written(roots.join(names, "root").select("node", "component"), "components")

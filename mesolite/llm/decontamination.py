@@ -13,8 +13,9 @@ what a task holds is bounded for a benchmark of any size; each block is one
 pass over the documents and the hits of former blocks travel with the rows.
 
 Defined cases: null or empty text has no words and is clean; items without
-words or with a null id never occur; equal items are each reported; items with
-one id count once; repeated rows are kept; an input column called like an
+words never occur; windows of items with a null id hit words, but such items
+are not reported; equal items are each reported; items with one id count once;
+very long texts and items are read whole; repeated rows are kept; an input column called like an
 output is replaced.
 """
 
@@ -52,19 +53,19 @@ class Windows:
         self.sieve[self.keys & np.uint64(0xFFFF)] = True
 
 
-def item_windows(texts: list[str], ids: list[str]) -> dict[tuple, set[str]]:
+def item_windows(texts: list[str], ids: list[str | None]) -> dict[tuple, set[str]]:
     words, first = W.fold_words(pa.array(texts, pa.string()), W.ALNUM)
     found: dict[tuple, set[str]] = {}
     for i, item in enumerate(ids):
         own = words[first[i] : first[i + 1]].tolist()
         for k in range(max(1, len(own) - WINDOW + 1) if own else 0):
-            found.setdefault(tuple(own[k : k + WINDOW]), set()).add(item)
+            found.setdefault(tuple(own[k : k + WINDOW]), set()).update(() if item is None else (item,))
     return found
 
 
 def blocks_of(benchmark: DataFrame, text_col: str, id_col: str):
     """The benchmark's windows, block by block; the driver holds one block at a time."""
-    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), text_col)
+    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), text_col)
     texts, ids, room = [], [], WINDOWS_PER_BLOCK
     for item, text in rows.toLocalIterator(prefetchPartitions=False):
         texts.append(text)
@@ -216,7 +217,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH item AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+  FROM benchmark WHERE text IS NOT NULL
 ), win AS (
   SELECT DISTINCT item_id, list_slice(w, k, k + 12) AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM item WHERE len(w) > 0)
@@ -232,7 +233,7 @@ WITH item AS (
 ), covered AS (
   SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM hit) GROUP BY rid
 ), named AS (
-  SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT cast(item_id AS VARCHAR))), ',') AS names FROM hit GROUP BY rid
+  SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT cast(item_id AS VARCHAR))), ',') AS names FROM hit WHERE item_id IS NOT NULL GROUP BY rid
 )
 SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_hit, 0) AS BIGINT) AS n_hit, cast(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

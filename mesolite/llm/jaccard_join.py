@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 
 from mesolite.llm import _words as W
 from mesolite.llm._fold import emit_chunks, fold_fixed
-from mesolite.llm._spark import documents, written
-from mesolite.llm.components import components
+from mesolite.llm._spark import counted, documents, written
+from mesolite.llm.components import contracted, links_of
 
 SKETCH_BITS = 20
 MOST_MATCHES = 4
@@ -258,11 +258,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def shared_postings(heads: DataFrame) -> DataFrame:
-    """(token, id, n, pos) of the prefix shingles that more than one row of ``heads`` (id, n, head) holds."""
+def shared_postings(heads: DataFrame) -> tuple[DataFrame, int]:
+    """(token, id, n, pos) of the prefix shingles that more than one row of ``heads`` (id, n, head) holds, and their number."""
     tokens = heads.select("id", F.explode("head").alias("token")).groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y"))
-    tokens = written(tokens.filter("x != y").select("token"), "tokens")
-    shared = heads.sparkSession.sparkContext.broadcast(id_filter(tokens, tokens.count()))
+    tokens, n = counted(tokens.filter("x != y").select("token"), "tokens")
+    shared = heads.sparkSession.sparkContext.broadcast(id_filter(tokens, n))
 
     def run(batches):
         seen = shared.value
@@ -277,7 +277,7 @@ def shared_postings(heads: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array((keep - offsets[row]).astype(np.int32))], names=["token", "id", "n", "pos"])
 
     some = heads.select("id", F.col("n").cast("int").alias("n"), "head").mapInArrow(run, "token long, id long, n int, pos int")
-    return written(some.join(tokens, "token"), "postings")
+    return counted(some.join(tokens, "token"), "postings")
 
 
 def could_link(percent: int) -> F.Column:
@@ -286,8 +286,8 @@ def could_link(percent: int) -> F.Column:
     return (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= least)
 
 
-def link_components(rows: DataFrame, check, percent: int) -> DataFrame | None:
-    """(node, component) over all verified links among the lists (token, id, n, pos) of ``rows``; None without links.
+def link_components(rows: DataFrame, held: int, check, percent: int) -> DataFrame | None:
+    """(node, component) over all verified links among the lists (token, id, n, pos) of the ``held`` ``rows``; None without links.
 
     ``check`` gives the pairs of a written table (a, b) that reach the
     similarity.  A pair is let through where it could still reach it if this
@@ -296,14 +296,14 @@ def link_components(rows: DataFrame, check, percent: int) -> DataFrame | None:
     """
     comps, slots = None, 1
     rows = rows.withColumn("component", F.col("id"))
-    while not rows.isEmpty():
+    while held:
         slot = F.pmod(F.xxhash64("id"), F.lit(slots))
         pivots = rows.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("id", "n", "pos", "component")).alias("p"))
         pivots = written(pivots.select("token", *(F.col(f"p.{c}").alias(f"{c}_") for c in ("id", "n", "pos", "component"))), "pivots")
         apart = (F.col("component") != F.col("component_")) & (F.col("id") != F.col("id_"))
         pairs = rows.join(pivots, "token").filter(apart & could_link(percent))
-        pairs = written(pairs.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct(), "pairs")
-        if not pairs.isEmpty():
+        pairs, n = counted(links_of(pairs, "id", "id_"), "pairs")
+        if n:
             comps = merged(comps, check(pairs))
         rows = rows.select("token", "id", "n", "pos").join(pivots.select("token", F.col("id_").alias("id")), ["token", "id"], "left_anti")
         if comps is None:
@@ -311,7 +311,7 @@ def link_components(rows: DataFrame, check, percent: int) -> DataFrame | None:
         else:
             rows = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-        rows = written(rows.join(mixed.select("token"), "token", "left_semi"), "open")
+        rows, held = counted(rows.join(mixed.select("token"), "token", "left_semi"), "open")
         slots *= PIVOT_GROWTH
     return comps
 
@@ -320,11 +320,11 @@ def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """``comps`` (node, component) with the components that ``links`` (a, b) join put together."""
     if comps is not None:
         name = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-        links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct()
-    links = written(links, "verified")
-    if links.isEmpty():
+        links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    links, n = counted(links_of(links, "a", "b"), "verified")
+    if not n:
         return comps
-    found = components(links)
+    found = contracted(links, n)
     if comps is None:
         return found
     f = found.select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -344,17 +344,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     info = classes.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), "l", "head", "bits")
 
     def check(pairs: DataFrame) -> DataFrame:
-        ids = written(_ends(pairs), "ids")
-        seen = id_filter(ids, ids.count())
-        left = written(sieve(pairs, thinned(info, seen), percent), "sieved")
-        ids = written(_ends(left), "ids")
-        return verify(left, written(candidate_sets(rows, ids, ids.count(), "doc_id", "text", words), "sets"), percent)
-
-    comps = link_components(shared_postings(info.select("id", "n", "head")), check, percent)
+        ids, n = counted(_ends(pairs), "ids")
+        left, n = counted(sieve(pairs, thinned(info, id_filter(ids, n)), percent), "sieved")
+        if not n:
+            return left
+        ids, n = counted(_ends(left), "ids")
+        return verify(left, written(candidate_sets(rows, ids, n, "doc_id", "text", words), "sets"), percent)
+
+    comps = link_components(*shared_postings(info.select("id", "n", "head")), check, percent)
     # an id of several texts belongs to several classes, which it links
     texts = table.filter(full).groupBy("doc_id").agg(*(f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("d1", "d2")))
-    texts = written(texts.filter("mind1 != maxd1 OR mind2 != maxd2").select("doc_id"), "several")
-    if not texts.isEmpty():
+    texts, n = counted(texts.filter("mind1 != maxd1 OR mind2 != maxd2").select("doc_id"), "several")
+    if n:
         own = table.filter(full).join(texts, "doc_id", "left_semi").select("doc_id", "d1", "d2", "n").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"])
         comps = merged(comps, own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b").distinct())
     names = classes.select("d1", "d2", "n", "rep", "class_size")

@@ -13,9 +13,11 @@ high confidence are new spans, of kind ``context``.
 
 DataFrame functions only.
 
-Defined cases: null text is empty and has no spans; repeated rows are scanned
-each, but equal values count once for a pattern; nulls in other columns do not
-matter; an empty table gives no rows.
+Defined cases: null text is empty and has no spans; texts and values of any
+length are scanned whole; repeated rows are scanned each, but equal values
+count once for a pattern; patterns of equal confidence are all taken; other
+columns, nulls and names like an output's among them, are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,9 +11,11 @@ base match covers becomes a span of kind ``owned`` if it looks live.
 DataFrame functions only.  Values leave the scan as hashes.  A value held by a
 large part of all rows is pre-aggregated by owner.
 
-Defined cases: null text is empty; null source is one owner; repeated rows are
-scanned each; equal texts of different owners count for each owner; an empty
-table gives no rows.
+Defined cases: null text is empty; null source is one owner; texts and tokens
+of any length are scanned whole; repeated rows are scanned each; equal texts of
+different owners count for each owner; spans with one start are ordered by
+kind; columns called like an output are not read (``mask_found`` keeps them);
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ KINDS = ["assign", "access", "hex", "owned"]
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[^0-9\s]{0,40}[0-9])(?=[^A-Za-z\s]{0,40}[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 #: A value of at most so many owners looks live, if it has so many different characters.
 LIVE_OWNERS, LIVE_CHARACTERS = 2, 8
@@ -43,7 +45,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, owner_col: str, *carry:
     """The written scan: (row, doc_id, owner, base, tokens) and ``carry``; ``row`` numbers its rows, ``tokens`` are those that no base match covers."""
     rows = docs.select(*carry, F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kept = [c for c in rows.columns if c not in ("doc_id", "owner", "text")]
-    found = rows.select(*kept, "doc_id", "owner", base_spans().alias("base"), S.spans(3, "text", TOKEN).alias("tokens"))
+    found = rows.select(*kept, "doc_id", "owner", base_spans().alias("base"), F.filter(S.spans(3, "text", TOKEN), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")).alias("tokens"))
     free = "filter(tokens, t -> not exists(base, b -> b.s < t.e and t.s < b.e))"
     mark = "x -> struct(x.kind AS kind, x.s AS s, x.e AS e, xxhash64(x.value) AS h, size(array_distinct(split(x.value, ''))) AS variety)"
     found = found.select(F.monotonically_increasing_id().alias("row"), *kept, "doc_id", "owner", F.expr(f"transform(base, {mark})").alias("base"), F.expr(f"transform({free}, {mark})").alias("tokens"))

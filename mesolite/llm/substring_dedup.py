@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesolite.llm import _words as W
-from mesolite.llm._spark import documents, written
+from mesolite.llm._spark import counted, documents, written
 from mesolite.llm.jaccard_join import id_filter, link_components, maybe_in, verify
 
 LEAST = 51
@@ -193,9 +193,8 @@ def repeated_paragraphs(docs: DataFrame, keys: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "u long, doc_id long, s long, n long, line boolean, size int, d long, keys array<long>, left binary, right binary")
 
 
-def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, own): the shingle sets of (at least) the lines ``wanted`` (id, doc_id), read again from their documents."""
-    held = wanted.count()
+def line_sets(docs: DataFrame, wanted: DataFrame, held: int) -> DataFrame:
+    """(id, own): the shingle sets of (at least) the ``held`` lines ``wanted`` (id, doc_id), read again from their documents."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((id_filter(wanted.select("doc_id"), held), id_filter(wanted.select("id"), held)))
 
@@ -235,8 +234,7 @@ def extended(found: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, keep_doc_id): word spans to remove and the first document that keeps their text."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = written(shared_keys(rows), "keys")
-    units = written(repeated_paragraphs(rows, id_filter(keys, keys.count())), "paragraphs")
+    units = written(repeated_paragraphs(rows, id_filter(*counted(shared_keys(rows), "keys"))), "paragraphs")
 
     # passages: one key, exact
     cuts = units.filter(~F.col("line")).select(F.col("keys")[0].alias("key"), "doc_id", "s", "n", "left", "right")
@@ -252,15 +250,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     reps = lines.join(named.filter("u = rep").select("u"), "u", "left_semi")
     held = reps.select(F.explode("keys").alias("token"), F.col("u").alias("id"), F.col("size").alias("n"), F.lit(0).alias("pos")).distinct()
     several = held.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x != y").select("token")
-    held = written(held.join(several, "token", "left_semi"), "bands")
+    held, n = counted(held.join(several, "token", "left_semi"), "bands")
     of = reps.select(F.col("u").alias("id"), "doc_id")
 
     def check(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = written(of.join(ids, "id", "left_semi"), "wanted")
-        return verify(pairs, written(line_sets(rows, wanted), "sets"), PERCENT)
+        wanted, n = counted(of.join(ids, "id", "left_semi"), "wanted")
+        return verify(pairs, written(line_sets(rows, wanted, n), "sets"), PERCENT)
 
-    comps = link_components(held, check, PERCENT)
+    comps = link_components(held, n, check, PERCENT)
     if comps is not None:
         named = named.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("u", F.coalesce("component", "rep").alias("c"))
     else:

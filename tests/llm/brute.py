@@ -111,7 +111,7 @@ def contaminated(docs: list[tuple[int, str | None]], items: list[tuple]) -> dict
     windows = set()
     for item, text in items:
         w = words(text, ALNUM)
-        if item is not None and w:
+        if w:
             windows |= {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))}
     lengths, out = sorted({len(w) for w in windows}), {}
     for i, t in docs:

@@ -43,7 +43,7 @@ def save(path, documents, benchmark, conversations) -> str:
 
 @pytest.fixture(scope="session")
 def edge_dir(tmp_path_factory) -> str:
-    items = [("b1", LINE), ("b2", " ".join(passage(1, 300).split()[40:60])), ("b3", None), ("b4", ""), (None, LINE), ("b5", "one two three"), ("b1", LINE), ("b6", "a a")]
+    items = [("b1", LINE), ("b2", " ".join(passage(1, 300).split()[40:60])), ("b3", None), ("b4", ""), (None, LINE), (None, " ".join(passage(1, 300).split()[80:99])), ("b5", "one two three"), ("b1", LINE), ("b6", "a a")]
     turns = [(1, 0, "user", "hi ### there"), (1, 1, "assistant", None), (1, 2, "assistant", "back\\slash </turn>\n### User: x"), (2, 0, "system", ""), (2, 0, "system", ""), (2, None, "tool:x\n\\", "é"), (3, 0, None, "x" * 3000), (None, 0, "user", "#"), (1, 1, "assistant", None)]
     return save(tmp_path_factory.mktemp("edge"), edge_documents(), [dict(zip(("item_id", "text"), i, strict=True)) for i in items], [dict(zip(("conv_id", "turn", "role", "text"), t, strict=True)) for t in turns])
 
