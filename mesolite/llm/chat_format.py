@@ -10,8 +10,11 @@ Inside a body a backslash takes the next character literally; ``###`` and
 is rendered, parsed again and compared with its source; where the two differ
 its content is escaped and tried again until they are identical.
 
+The loss mask marks the bodies of assistants' turns in the formatted text; what
+lies under it is unescaped to give their texts.
+
 Rows are dealt by conversation, sorted by turn and read as a stream, so a task
-holds one turn at a time, however long a conversation is.
+holds one Arrow batch, however long a conversation is.
 
 Defined cases: null text is empty; a null role is the role "" ; a null turn
 comes first, equal turns are ordered by role and text; a null conversation id
@@ -22,6 +25,7 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +45,16 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("#", "\\#").replace("</turn>", "\\</turn>")
 
 
+def unescape(body: str) -> str:
+    return re.sub(r"\\(.)", r"\1", body, flags=re.DOTALL)
+
+
+def loss_span(role: str, formatted: str) -> tuple[int, int]:
+    """Where the loss mask lies in one formatted turn: the body of an assistant's, nothing of others."""
+    start = len(_header(role))
+    return start, len(formatted) - len(CLOSE) if role == "assistant" else start
+
+
 def escape_role(role: str) -> str:
     for c in ("\\", ":", "\n"):
         role = role.replace(c, "\\" + c)
@@ -114,10 +128,10 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
             text, lo, hi = [], [], []
             for role, t in zip(cols[2], cols[3], strict=True):
                 out, got, _ = render(role or "", t or "")
-                start = len(_header(role or ""))
+                start, end = loss_span(got, out)
                 text.append(out)
                 lo.append(start)
-                hi.append(len(out) - len(CLOSE) if got == "assistant" else start)
+                hi.append(end)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(text, pa.string()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["conv_id", "turn", "role", "formatted", "loss_start", "loss_end"])
 
     kinds = dict(turns.dtypes)
@@ -136,7 +150,8 @@ def digest(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
         open_ = None  # [id, turns, digest, loss characters, loss digest, characters]
         for b in batches:
             kind_, done = b.schema.field(0).type, []
-            for cid, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for i in range(b.num_rows):
+                cid, role, text = b.column(0)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_py()
                 if open_ is None or open_[0] != cid:
                     if open_ is not None:
                         done.append(open_)
@@ -144,9 +159,10 @@ def digest(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
                 out, got_role, got = render(role or "", text or "")
                 open_[1] += 1
                 open_[2].update(f"{got_role}\n{got}\n".encode())
-                if got_role == "assistant":
-                    open_[3] += len(got)
-                    open_[4].update(got.encode())
+                start, end = loss_span(got_role, out)
+                masked = unescape(out[start:end])
+                open_[3] += len(masked)
+                open_[4].update(masked.encode())
                 open_[5] += len(out)
             yield rows_of(done, kind_)
         if open_ is not None:

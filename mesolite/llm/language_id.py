@@ -8,12 +8,15 @@ normalised by the documents' length and the size of the training text, wins.
 
 The automaton's greedy parse is a finite-state machine, so a task holds one
 table per language and runs all blocks of an Arrow batch through it in step.
-Blocks are ``BLOCK`` bytes of one document; the parse restarts at each block,
-and every byte of every text is parsed.
+Blocks are ``BLOCK`` bytes of one document, read from the start state first.
+Then each block is read again from the state in which the one before ends, until both
+readings are in the same state, so a phrase goes on across blocks and the
+phrases are those of the whole text.
 
 Defined cases: null or empty text, or text without a letter, gives ``und`` with
 score 0; without any labelled training row every document gives ``und``.  Ties
 go to the language with more training bytes, then to the first by code point.
+Texts of any length are parsed whole.
 Repeated rows are kept, an input column called like an output is replaced.
 """
 
@@ -124,8 +127,9 @@ def learn(
 
     The bound: per language at most ``texts_per_lang`` rows, one for each
     residue of the row's hash, short rows (up to ``longest_text`` characters)
-    before longer ones, and at most ``bytes_per_lang`` bytes, or
-    ``total_bytes`` over the number of languages where that is less.
+    before longer ones, as many whole texts as fit in ``bytes_per_lang`` bytes,
+    or in ``total_bytes`` over the number of languages where that is less.  Only
+    where the first text alone is longer it is cut there.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
     h = F.xxhash64(F.col(id_col).cast("string"))
@@ -143,7 +147,9 @@ def learn(
     limit = max(256, min(bytes_per_lang, total_bytes // len(texts)))
     out = []
     for lang in sorted(texts):
-        data = b"\n".join(t.encode() for *_, t in sorted(texts[lang]))[:limit]
+        own = [t.encode() for *_, t in sorted(texts[lang])]
+        ends = np.cumsum([len(t) + 1 for t in own])
+        data = b"\n".join(own[: max(1, int(np.searchsorted(ends, limit + 1, side="right")))])[: max(limit, 1)]
         out.append(greedy_machine(lang, bytes(letters_only(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])))
     return out
 
@@ -161,25 +167,37 @@ def phrases(raw: np.ndarray, offsets: np.ndarray, machines: list[Automaton]) ->
     begin = offsets[owner] + nth * BLOCK
     length = np.minimum(sizes[owner] - nth * BLOCK, BLOCK)
     order = np.argsort(-length, kind="stable")
-    owner, begin, length = owner[order], begin[order], length[order]
-    live = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # blocks longer than t
-    for lo in range(0, total, 2048):
-        hi = min(total, lo + 2048)
-        steps = int(length[lo])
-        grid = np.zeros((hi - lo, steps), np.uint8)
-        at = np.arange(steps)
-        grid[:] = raw[np.minimum(begin[lo:hi, None] + at, len(raw) - 1)]
-        grid = np.ascontiguousarray(grid.T)
-        for m, machine in enumerate(machines):
-            kinds = machine.byte_class[grid]
-            state = np.zeros(hi - lo, np.int32)
-            count = np.zeros(hi - lo, np.int32)
-            for t in range(steps):
-                k = min(int(live[t]), hi) - lo
-                v = machine.table[state[:k] + kinds[t, :k]]
-                count[:k] += v & 1
+    live = np.searchsorted(-length[order], -np.arange(int(length[order[0]])), side="left")  # blocks longer than t
+    by_nth = np.argsort(nth, kind="stable")
+    rounds = np.searchsorted(nth[by_nth], np.arange(int(nth.max()) + 2))
+    went = np.zeros(len(raw), np.int32)
+    for m, machine in enumerate(machines):
+        kinds, count = machine.byte_class[raw], np.zeros(total, np.int64)
+        for lo in range(0, total, 2048):
+            own = order[lo : lo + 2048]
+            state, n, at = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32), begin[own]
+            for t in range(int(length[own[0]])):
+                k = min(int(live[t]), lo + len(own)) - lo
+                v = machine.table[state[:k] + kinds[at[:k] + t]]
+                went[at[:k] + t] = v
+                n[:k] += v & 1
                 state[:k] = v >> 1
-            np.add.at(out[:, m], owner[lo:hi], count)
+            count[own] = n
+        ends = went[begin + length - 1] >> 1
+        for r in range(1, len(rounds) - 1):  # the next block of each text, from where the one before ends
+            own = by_nth[rounds[r] : rounds[r + 1]]
+            state, t = ends[own - 1], 0
+            while len(own):
+                at = begin[own] + t
+                v, old = machine.table[state + kinds[at]], went[at]
+                count[own] += (v & 1) - (old & 1)
+                state = v >> 1
+                apart = state != old >> 1
+                t += 1
+                over = apart & (t == length[own])
+                ends[own[over]] = state[over]
+                own, state = own[apart & ~over], state[apart & ~over]
+        out[:, m] = np.bincount(owner, count, len(sizes))
     return out
 
 

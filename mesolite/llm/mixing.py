@@ -16,8 +16,10 @@ shuffles its own rows.
 
 Defined cases: null text has size 0; a null source is a source of its own, the
 last in order; a null id sorts as empty text; rows with one id are ordered by
-size; a source without words takes nothing.  Nothing depends on partitioning,
-so reruns agree.
+size; a source without words takes nothing; a text of any length is one
+document and its cut may lie anywhere in it; columns called like an output are
+not read (``mix`` replaces ``shard``, ``pass`` and ``words``).  Nothing depends
+on partitioning, so reruns agree.
 """
 
 from __future__ import annotations
@@ -160,9 +162,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """The plan, with each document's copies as pass:shard:words; the splitting tree gives their shards."""
+    copies = F.array_join(F.transform("copies", lambda c: F.concat_ws(":", c["pass"], c["shard"], c["words"])), ",")
+    return plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", copies.alias("copies"))
 
 
+#: All columns but ``copies``, whose shards are drawn; the tests hold them against the tree.
 ORACLE_SQL = r"""
 WITH doc AS (
   SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op4_mixing": mixing.ORACLE_SQL,
     "op5_bm25_search": bm25_search.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,

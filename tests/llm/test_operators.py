@@ -34,6 +34,33 @@ def test_sql_on_edge_cases(spark, edge_dir, name):
     assert difference(QUERIES[name](spark, edge_dir), ORACLE_SQL[name], edge_dir) == ""
 
 
+@pytest.mark.parametrize("where", ["sf", "edge"])
+def test_mixing_against_sql_and_the_tree(spark, edge_dir, where):
+    """All but the shards against SQL; the shards are those that the tree's draws give the copies' blocks, in order."""
+    sf = SF_DIR if where == "sf" else edge_dir
+    got = mixing.op4_mixing(spark, sf)
+    assert difference(got.drop("copies"), mixing.ORACLE_SQL, sf) == ""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.plan(docs).select("source", "key", "copies").collect()
+    assert ordered(",".join(f"{c['pass']}:{c.shard}:{c.words}" for c in r.copies) for r in rows) == ordered(r.copies for r in got.select("copies").collect())
+    at = defaultdict(set)
+    for r in rows:
+        for c in r.copies:
+            at[r.source].add((c["pass"] * mixing.BLOCKS + int(r.key[: mixing.HEX], 16), c.shard))
+    for s, places in at.items():
+        assert [x for _, x in sorted(places)] == sorted(x for _, x in places) and len({b for b, _ in places}) == len(places)
+    other = {(r.doc_id, r["size"]): r.copies for r in mixing.plan(docs, seed=2).select("doc_id", "size", "copies").collect()}
+    assert where == "edge" or any(other.get((r.doc_id, r["size"])) != r.copies for r in mixing.plan(docs).select("doc_id", "size", "copies").collect())
+
+
+def test_mixture_cuts_long_texts(spark):
+    rows = [(1, "a", passage(1, 50_000)), (2, "b", passage(2, 90_000)), (3, "c", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    texts = {i: t for i, _, t in rows}
+    assert any(20_000 < r.words < len(texts[r.doc_id].split()) for r in got)
+    assert all(texts[r.doc_id].startswith(r.text) and len(r.text.split()) == r.words for r in got)
+
+
 @pytest.mark.parametrize("name", [*QUERIES, "pipeline"])
 def test_empty_tables(spark, empty_dir, name):
     run = corpus_pipeline.run if name == "pipeline" else QUERIES[name]
@@ -73,6 +100,24 @@ def test_suffix_automaton_phrases():
     assert language_id.phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]), [machine])[0, 0] == count
 
 
+def test_phrases_of_whole_texts_against_longest_matches():
+    """Phrases go on across blocks: whole texts longer than a block against plain longest matches."""
+    data = passage(1, 400).encode()
+    machine = language_id.greedy_machine("x", data)
+    texts = [data * 3, passage(2, 900).encode(), (data[500:2000] + b" zz ") * 4, b"", data[:1024], data[:1025], b"e" * 5000]
+    want = []
+    for text in texts:
+        count, at = 0, 0
+        while at < len(text):
+            n = 0
+            while at + n < len(text) and text[at : at + n + 1] in data:
+                n += 1
+            at, count = at + max(1, n), count + 1
+        want.append(count)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert language_id.phrases(np.frombuffer(b"".join(texts), np.uint8), offsets, [machine, machine]).tolist() == [[n, n] for n in want]
+
+
 @pytest.mark.parametrize("where", ["sf", "edge"])
 def test_jaccard_components(spark, edge_dir, where):
     sf = SF_DIR if where == "sf" else edge_dir
