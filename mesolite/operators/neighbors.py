@@ -120,7 +120,8 @@ def nearest(points: DataFrame, cell: Cell, k: int, others: DataFrame | None = No
 
 def closest_site(points: DataFrame, sites: DataFrame, cell: Cell) -> DataFrame:
     """(frame, i, site, d2): the nearest site of each point, the first by index of equal ones (to nine digits); distance zero counts."""
-    radius = (3 / (4 * math.pi * max(sites.count(), 1) / cell.volume)) ** (1 / 3) * 2
+    total = sites.groupBy("frame").count().agg(F.max("count")).first()[0] or 1
+    radius = (3 / (4 * math.pi * total / cell.volume)) ** (1 / 3) * 2
     most = 2.0 * float(np.abs(cell.array).sum())
     left, found = points.select("frame", "idx", "position"), None
     while True:

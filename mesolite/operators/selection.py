@@ -106,8 +106,6 @@ def delete_selected(df: DataFrame, topology: dict[str, tuple[DataFrame, list[str
     """
     topology = topology or {}
     kept = df.filter(F.col("selection") == 0).drop("selection")
-    if not topology:
-        return kept, {}
     block = 1 << 16
     sizes = kept.groupBy("frame", F.floor(F.col("idx") / block).alias("part")).agg(F.count("*").alias("n"))
     before = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("frame").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")

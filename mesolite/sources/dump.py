@@ -37,7 +37,8 @@ def frames(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
         (F.instr("value", "ITEM: BOX BOUNDS xy xz yz") > 0).alias("tilted"),
         bounds.alias("bounds"),
         F.split(F.trim(F.regexp_extract("value", r"ITEM: ATOMS([^\n]*)\n", 1)), r"\s+").alias("columns"),
-        F.regexp_extract("value", r"ITEM: ATOMS[^\n]*\n([^I]*(?:I(?!TEM:)[^I]*)*)", 1).alias("atoms"),
+        # what follows the line of column names, up to the next section
+        F.substring_index(F.regexp_replace(F.expr("substr(value, instr(value, 'ITEM: ATOMS'))"), r"^[^\n]*\n", ""), "ITEM:", 1).alias("atoms"),
     )
     lines = F.filter(F.split("atoms", "\n"), lambda x: F.length(F.trim(x)) > 0)
     return t.withColumn("lines", lines).filter((F.size("lines") == F.col("n")) & F.col("n").isNotNull()).drop("atoms")
