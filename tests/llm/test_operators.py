@@ -243,6 +243,12 @@ def test_splitting_tree_shares_exactly(spark):
     assert len(sizes) == mixing.SHARDS and sizes.max() - sizes.min() <= 2 * round(np.log(mixing.SHARDS) / np.log(mixing.FAN))
 
 
+def test_search_over_many_shards(spark, monkeypatch):
+    """Some hundred shards in several steps give what SQL gives."""
+    monkeypatch.setattr(bm25_search, "SHARD_BYTES", 10_000)
+    assert difference(bm25_search.op5_bm25_search(spark, SF_DIR), ORACLE_SQL["op5_bm25_search"]) == ""
+
+
 def test_search_is_exact_with_ties(spark):
     rows = [(k, passage(k % 40, 30)) for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
