@@ -16,7 +16,8 @@ words' hashes.
   common weights, observed and expected counts of each weight, whose difference
   is the gradient; a step is scaled by the expected count and taken in the log
   domain (generalised iterative scaling).  At the first step the expected
-  counts follow from the observed ones, later ones take a pass.  Counts are
+  counts follow from the observed ones; later ones take a pass and are taken
+  for the classes' weights.  Counts are
   whole numbers, expected ones in ``2**-16``, so their sums, the model and the
   scores are the same however the texts are dealt to tasks.
 * P(token | part) is the maximum-entropy model of the word's own feature, which
@@ -172,24 +173,23 @@ def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     total[ids[heads]] += np.add.reduceat(values[by], heads, axis=0)
 
 
-def expected_counts(docs: DataFrame, text_col: str, own: np.ndarray, own_class: np.ndarray, bias: np.ndarray, part_bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The counts that the model of ``weights`` expects, in whole ``1 / FIXED``."""
-    shared = docs.sparkSession.sparkContext.broadcast((own, own_class, bias, part_bias, weights))
+def expected_counts(docs: DataFrame, text_col: str, own: np.ndarray, own_class: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The counts of classes that the model of ``weights`` (FEATURES x buckets x CLASSES) expects, in whole ``1 / FIXED``."""
+    shared = docs.sparkSession.sparkContext.broadcast((own, own_class, bias, weights))
 
     def run(batches):
-        words, classes, own_feature, part_feature, w = shared.value
+        words, classes, own_feature, w = shared.value
         total = np.zeros(w.shape, np.int64)
         for batch in W.pieces(batches, 0):
-            q = sequences(*tokens(batch.column(0)), words, classes, w.shape[2])
-            for level, buckets in ((0, q.buckets), (1, q.part_buckets)):
-                for lo in range(0, buckets.shape[1], STEP):
-                    some = buckets[:, lo : lo + STEP]
-                    z = log_softmax(w[level], own_feature if level == 0 else part_feature[q.cls[q.inner[lo : lo + STEP]]], some)
-                    np.exp(z, out=z)
-                    z *= FIXED
-                    z = np.rint(z, out=z).astype(np.int32)
-                    for k in range(FEATURES):
-                        _add_rows(total[level][k], some[k], z)
+            buckets = sequences(*tokens(batch.column(0)), words, classes, w.shape[1]).buckets
+            for lo in range(0, buckets.shape[1], STEP):
+                some = buckets[:, lo : lo + STEP]
+                z = log_softmax(w, own_feature, some)
+                np.exp(z, out=z)
+                z *= FIXED
+                z = np.rint(z, out=z).astype(np.int32)
+                for k in range(FEATURES):
+                    _add_rows(total[k], some[k], z)
         yield emit_chunks(total.ravel())
 
     got = fold_fixed(docs.select(text_col), run, "<i8", np.add)
@@ -247,7 +247,7 @@ def learn(docs: DataFrame, text_col: str = "text", updates: int = UPDATES) -> tu
         first = np.stack([observed[0].sum(axis=2, keepdims=True) * np.exp(bias.astype(np.float64)), observed[1].sum(axis=2, keepdims=True) * np.full(PARTS, 1 / PARTS)])
         weights = gradient_step(weights, observed, first)
         for _ in range(updates - 1):
-            weights = gradient_step(weights, observed, expected_counts(docs, text_col, names, classes, bias, part_bias, weights) / FIXED)
+            weights[0] = gradient_step(weights[0], observed[0], expected_counts(docs, text_col, names, classes, bias, weights[0]) / FIXED)
     model = Model(h[by_hash], c[by_hash], names, classes, n_tokens, int(total[1]) + (n_docs > 0), n_docs, part_n, part_v, bias, part_bias, weights)
     return model, counts
 
