@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mesolite.cell import vec
 
-SEPARATOR = "ITEM: TIMESTEP\n"
+SEPARATOR = "ITEM: TIMESTEP"  # lines may end in either way
 INTEGERS = {"id": "particle_identifier", "type": "particle_type", "mol": "molecule_identifier"}
 REALS = {"q": "charge", "mass": "mass", "radius": "radius"}
 POSITION = [("x", "y", "z"), ("xu", "yu", "zu"), ("xs", "ys", "zs"), ("xsu", "ysu", "zsu")]

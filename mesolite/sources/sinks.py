@@ -58,3 +58,52 @@ def write_table(df: DataFrame, path: str) -> None:
 def write_frames(df: DataFrame, path: str) -> None:
     """Parquet, partitioned by frame."""
     df.repartition("frame").sortWithinPartitions("frame", "idx").write.partitionBy("frame").parquet(path)
+
+
+def write_data(df: DataFrame, path: str, cell: Cell, bonds: DataFrame | None = None) -> None:
+    """Data files of atomic style (bond style with ``bonds``), one for each frame; the cell has to be lower triangular."""
+    m, o = cell.array, cell.origin
+    if m[1][0] or m[2][0] or m[2][1] or min(m[0][0], m[1][1], m[2][2]) <= 0:
+        raise ValueError("the cell has to be lower triangular with positive edges")
+    xy, xz, yz = float(m[0][1]), float(m[0][2]), float(m[1][2])
+    box = "\n".join(f"{float(o[d])!r} {float(o[d] + m[d][d])!r} {c}lo {c}hi" for d, c in enumerate("xyz"))
+    box += f"\n{xy!r} {xz!r} {yz!r} xy xz yz" if xy or xz or yz else ""
+    counts = df.groupBy("frame").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.max(F.coalesce("particle_type", F.lit(1)))).cast("string").alias("types"))
+    lines = [F.concat(F.col("n").cast("string"), F.lit(" atoms")), F.concat(F.col("types"), F.lit(" atom types"))]
+    style, molecule = "atomic", []
+    if bonds is not None:
+        style, molecule = "bond", [F.lit("0")]
+        listed = bonds.groupBy("frame").agg(F.count("*").alias("nb"), F.max(F.coalesce("bond_type", F.lit(1))).alias("tb"))
+        counts = counts.join(listed, "frame", "left").na.fill({"nb": 0, "tb": 1})
+        lines += [F.concat(F.col("nb").cast("string"), F.lit(" bonds")), F.concat(F.col("tb").cast("string"), F.lit(" bond types"))]
+    start = F.lit(-1).cast("long")
+    head = counts.select("frame", F.lit(0).alias("part"), start.alias("idx"), F.concat_ws("\n", F.lit("data file\n"), *lines, F.lit(f"{box}\n\nAtoms # {style}\n")).alias("value"))
+    body = F.concat_ws(" ", F.col("particle_identifier").cast("string"), *molecule, F.coalesce("particle_type", F.lit(1)).cast("int").cast("string"), *[_number(f"position.{c}") for c in "xyz"])
+    out = head.unionByName(df.select("frame", F.lit(1).alias("part"), "idx", body.alias("value")))
+    if bonds is not None:
+        ids = df.select("frame", F.col("idx").alias("k__"), F.col("particle_identifier").alias("id__"))
+        named = bonds.join(ids.withColumnsRenamed({"k__": "a", "id__": "ia"}), ["frame", "a"]).join(ids.withColumnsRenamed({"k__": "b", "id__": "ib"}), ["frame", "b"])
+        value = F.concat_ws(" ", (F.col("bond_idx") + 1).cast("string"), F.coalesce("bond_type", F.lit(1)).cast("string"), F.col("ia").cast("string"), F.col("ib").cast("string"))
+        out = out.unionByName(listed.select("frame", F.lit(2).alias("part"), start.alias("idx"), F.lit("\nBonds\n").alias("value")))
+        out = out.unionByName(named.select("frame", F.lit(3).alias("part"), F.col("bond_idx").cast("long").alias("idx"), value.alias("value")))
+    _write(out, path)
+
+
+def write_poscar(df: DataFrame, path: str, cell: Cell, names: dict[int, str], reduced: bool = False) -> None:
+    """Structure files, one for each frame, atoms by falling type order of ``names``; positions in the cell's vectors where ``reduced``."""
+    order = {k: i for i, k in enumerate(names)}
+    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("particle_type").cast("int")]
+    sides = "\n".join(" ".join(repr(float(x)) for x in cell.array[:, k]) for k in range(3))
+    rows = df.withColumn("place", place)
+    counts = rows.groupBy("frame").agg(*[F.count_if(F.col("place") == i).cast("string").alias(f"n{i}") for i in order.values()])
+    head = F.concat_ws("\n", F.lit(f"positions\n1.0\n{sides}\n{' '.join(names.values())}"), F.concat_ws(" ", *[f"n{i}" for i in order.values()]), F.lit("Direct" if reduced else "Cartesian"))
+    at = cell.reduced(F.col("position")) if reduced else [F.col(f"position.{c}") - float(cell.origin[d]) for d, c in enumerate("xyz")]
+    body = rows.filter("place IS NOT NULL").select("frame", (F.col("place") + 1).alias("part"), "idx", F.concat_ws(" ", *[_number(x) for x in at]).alias("value"))
+    _write(counts.select("frame", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("idx"), head.alias("value")).unionByName(body), path)
+
+
+def write_attributes(df: DataFrame, path: str, columns: tuple[str, ...]) -> None:
+    """A table of global attributes, one line for each frame in order, with a commented header of quoted names."""
+    head = df.sparkSession.createDataFrame([(-1, "# " + " ".join(f'"{c}"' for c in columns))], "frame long, value string")
+    body = df.select(F.col("frame").cast("long").alias("frame"), F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in columns]).alias("value"))
+    head.unionByName(body).repartitionByRange("frame").sortWithinPartitions("frame").select("value").write.text(path)

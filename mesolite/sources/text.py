@@ -7,7 +7,7 @@ their lines exploded; formats with fixed columns are cut by substring.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesolite.cell import vec
@@ -119,3 +119,59 @@ def stl(spark: SparkSession, path: str) -> DataFrame:
     facets = whole(spark, path).select("file", F.posexplode(F.regexp_extract_all("value", F.lit(r"outer loop([\s\S]*?)endloop"), 1)).alias("facet", "body"))
     rows = facets.select("file", "facet", F.posexplode(F.regexp_extract_all("body", F.lit(r"vertex\s+(\S+\s+\S+\s+\S+)"), 1)).alias("corner", "line")).withColumn("v", _words())
     return rows.select("file", "facet", "corner", vec(*[_at(k).cast("double") for k in (1, 2, 3)]).alias("position"))
+
+
+def dump_local(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (file, timestep, no, values by column name) of local dumps, such as bonds, and the entries announced by frame."""
+    t = spark.read.option("lineSep", "ITEM: TIMESTEP").text(path)
+    t = t.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("value")).filter(F.length("value") > 0)
+    body = F.regexp_replace(F.expr("substr(value, instr(value, 'ITEM: ENTRIES'))"), r"^[^\n]*\n", "")
+    t = t.select("file", F.regexp_extract("value", r"^\s*(\d+)", 1).cast("long").alias("timestep"), F.regexp_extract("value", r"ITEM: NUMBER OF ENTRIES\s*(\d+)", 1).try_cast("long").alias("n"), _words_of(F.regexp_extract("value", r"ITEM: ENTRIES([^\n]*)", 1)).alias("columns"), F.filter(F.split(F.substring_index(body, "ITEM:", 1), "\n"), lambda x: F.length(F.trim(x)) > 0).alias("lines"))
+    t = t.filter(F.size("lines") == F.col("n"))
+    rows = t.select("file", "timestep", "columns", F.posexplode("lines").alias("no", "line")).withColumn("v", F.transform(_words(), lambda x: x.try_cast("double")))
+    return rows.filter(F.size("v") == F.size("columns")).select("file", "timestep", F.col("no").cast("long").alias("no"), F.map_from_arrays("columns", "v").alias("values")), t.select("file", "timestep", "n", "columns")
+
+
+def cfg(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Atoms (file, idx, mass, species, position, rest) and header (file, n, unit, h: the cell's nine numbers by row, names of the auxiliary columns).
+
+    In the extended form a line of one number sets the mass and a line of one
+    word the species of the atoms after it; in the plain form they begin each line.  ``rest`` holds
+    the columns after the position: velocities, then auxiliary ones.
+    """
+    t = whole(spark, path)
+    number = r"([-+0-9.eE]+)"
+    h = F.array(*[F.regexp_extract("value", rf"H0\({a},{b}\)\s*=\s*{number}", 1).try_cast("double") for a in (1, 2, 3) for b in (1, 2, 3)])
+    unit = F.coalesce(F.regexp_extract("value", rf"(?m)^A\s*=\s*{number}", 1).try_cast("double"), F.lit(1.0))
+    head = t.select("file", F.regexp_extract("value", r"Number of particles\s*=\s*(\d+)", 1).try_cast("long").alias("n"), unit.alias("unit"), h.alias("h"), F.regexp_extract_all("value", F.lit(r"auxiliary\[\d+\]\s*=\s*(\S+)"), 1).alias("names"), F.regexp_like("value", F.lit(r"(?m)^entry_count")).alias("extended"))
+    rows = lines(spark, path).filter(~F.col("line").rlike(r"=|^\s*(#|\.NO_VELOCITY|$)")).withColumn("v", _words()).join(head, "file")
+    w = Window.partitionBy("file").orderBy("no")
+    rows = rows.withColumns({"mass": F.last(F.when(F.size("v") == 1, _at(1).try_cast("double")), True).over(w), "species": F.last(F.when((F.size("v") == 1) & _at(1).try_cast("double").isNull(), _at(1)), True).over(w)})
+    rows = rows.filter(F.size("v") > 2)
+    rows = rows.withColumns({"mass": F.when(F.col("extended"), F.col("mass")).otherwise(_at(1).try_cast("double")), "species": F.when(F.col("extended"), F.col("species")).otherwise(_at(2)), "p": F.when(F.col("extended"), F.col("v")).otherwise(F.slice("v", 3, 1_000))})
+    s = [_at(k, "p").try_cast("double") for k in (1, 2, 3)]
+    put = [F.col("unit") * sum((s[a] * F.element_at("h", 3 * a + d + 1) for a in range(3)), F.lit(0.0)) for d in range(3)]
+    rest = F.transform(F.slice("p", 4, 1_000), lambda x: x.try_cast("double"))
+    return rows.select("file", (F.row_number().over(w) - 1).cast("long").alias("idx"), "mass", "species", vec(*put).alias("position"), rest.alias("rest")), head.drop("extended")
+
+
+BOHR = 0.52917721067
+
+
+def cube(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Atoms (file, idx, atomic_number, position) and grid values (file, x, y, z, value) of volume files, lengths in Angstrom.
+
+    A positive number of voxels means lengths in Bohr, a negative one Angstrom.
+    """
+    t = lines(spark, path).withColumn("v", _words())
+    d = lambda k: _at(k).try_cast("double")
+    head = t.filter(F.col("no").between(2, 5)).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("no", d(1).alias("n"), F.array(d(2), d(3), d(4)).alias("side")))).alias("h"))
+    of = lambda k: F.col("h")[k]["n"]
+    head = head.select("file", F.abs(of(0)).cast("int").alias("atoms"), *[F.abs(of(k)).cast("int").alias(c) for k, c in ((1, "nx"), (2, "ny"), (3, "nz"))], F.when(of(1) < 0, 1.0).otherwise(BOHR).alias("unit"))
+    t = t.join(head, "file")
+    atoms = t.filter((F.col("no") >= 6) & (F.col("no") < 6 + F.col("atoms")))
+    atoms = atoms.select("file", (F.col("no") - 6).cast("long").alias("idx"), _at(1).try_cast("int").alias("atomic_number"), vec(*[d(k) * F.col("unit") for k in (3, 4, 5)]).alias("position"))
+    w = Window.partitionBy("file").orderBy("no")
+    flat = t.filter((F.col("no") >= 6 + F.col("atoms")) & (F.length(F.trim("line")) > 0)).select("file", "no", "v", "ny", "nz", (F.sum(F.size("v")).over(w) - F.size("v")).alias("before"))
+    values = flat.select("file", "ny", "nz", "before", F.posexplode("v").alias("k", "value")).withColumn("at", F.col("before") + F.col("k"))
+    return atoms, values.select("file", F.expr("int(at div (ny * nz))").alias("x"), F.expr("int((at div nz) % ny)").alias("y"), F.expr("int(at % nz)").alias("z"), F.col("value").try_cast("double").alias("value"))

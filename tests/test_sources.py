@@ -174,3 +174,76 @@ def test_unwrapped_stream_is_the_batch_result(spark, tmp_path):
     got = drain(live.unwrap_stream(stream, TRACK), "unwrapped", "append").select("particle_identifier", "frame", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
     want = trajectory.unwrap(rows, TRACK).select("particle_identifier", "frame", F.round("position.x", 6).alias("x"), F.round("position.y", 6).alias("y"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_frames_of_many_atoms_whose_names_begin_with_i(spark, tmp_path):
+    body = "\n".join(f"{k} 1 0.5 0.5 0.5 In" for k in range(20_000))
+    (tmp_path / "a.dump").write_text(f"ITEM: TIMESTEP\n7\nITEM: NUMBER OF ATOMS\n20000\nITEM: BOX BOUNDS pp pp pp\n0 1\n0 1\n0 1\nITEM: ATOMS id type xs ys zs element\n{body}\n" + FRAME.format(t=8))
+    got = dump.frames(spark, str(tmp_path / "a.dump")).select("timestep", F.size("lines").alias("n")).orderBy("timestep").collect()
+    assert [tuple(r) for r in got] == [(7, 20_000), (8, 3)]
+
+
+def test_frames_with_either_line_end(spark, tmp_path):
+    (tmp_path / "a.dump").write_bytes((FRAME.format(t=8) + FRAME.format(t=9)).replace("\n", "\r\n").encode())
+    got = dump.frames(spark, str(tmp_path / "a.dump")).select("timestep", F.size("lines").alias("n"), "bounds").orderBy("timestep").collect()
+    assert [tuple(r) for r in got] == [(t, 3, [0.0, 10.0, -5.0, 5.0, 0.0, 20.0]) for t in (8, 9)]
+
+
+def some_atoms(spark):
+    rows = [(0, k, 10 + k, 1 + k % 2, (k / 3, 1.0 + k, 1e-9 * k)) for k in range(5)]
+    return spark.createDataFrame(rows, "frame int, idx long, particle_identifier long, particle_type int, position struct<x: double, y: double, z: double>")
+
+
+def test_data_round_trip(spark, tmp_path):
+    rows = some_atoms(spark)
+    bonds = spark.createDataFrame([(0, 0, 0, 3, 2), (0, 1, 4, 1, 1)], "frame int, bond_idx long, a long, b long, bond_type int")
+    for name, some in (("plain", None), ("bonded", bonds)):
+        sinks.write_data(rows, str(tmp_path / name), Cell.box(3, 14, 5, origin=(-1.0, 0.0, 0.0)), some)
+        got = data_file.read(spark, str(tmp_path / name / "frame=0" / "*"))
+        head = got["header"].first()
+        assert (head.atoms, head.atom_types, head.xlo, head.xhi, head.bonds) == (5, 2, -1.0, 2.0, 2 * bool(some))
+        atoms = data_file.particles(got).orderBy("particle_identifier").collect()
+        assert [(r.particle_identifier, r.particle_type, tuple(r.position)) for r in atoms] == [(10 + k, 1 + k % 2, (k / 3, 1.0 + k, 1e-9 * k)) for k in range(5)]
+    assert got["bonds"].count() == 2
+
+
+@pytest.mark.parametrize("reduced", [False, True])
+def test_poscar_round_trip(spark, tmp_path, reduced):
+    sinks.write_poscar(some_atoms(spark), str(tmp_path / "o"), Cell.box(3, 14, 5), {2: "Si", 1: "H"}, reduced)
+    got = text.poscar(spark, str(tmp_path / "o" / "frame=0" / "*")).orderBy("idx").collect()
+    want = [(("Si", "H")[k % 2 == 0], (k / 3, 1.0 + k, 1e-9 * k)) for k in (1, 3, 0, 2, 4)]
+    assert [r.species for r in got] == [s for s, _ in want]
+    assert all(tuple(r.position) == pytest.approx(p, abs=1e-12) for r, (_, p) in zip(got, want, strict=True))
+
+
+def test_attribute_table(spark, tmp_path):
+    sinks.write_attributes(spark.createDataFrame([(2, 1.5, None), (0, 2.5, 7)], "frame int, energy double, n int"), str(tmp_path / "o"), ("frame", "energy", "n"))
+    got = [r.value for r in spark.read.text(str(tmp_path / "o")).collect()]
+    assert sorted(got) == sorted(['# "frame" "energy" "n"', "0 2.5 7", "2 1.5 0"])
+
+
+def test_local_dump(spark, tmp_path):
+    one = "ITEM: TIMESTEP\n{t}\nITEM: NUMBER OF ENTRIES\n2\nITEM: BOX BOUNDS pp pp pp\n0 1\n0 1\n0 1\nITEM: ENTRIES index c_d[1]\n1 0.5\n2 1e-3\n"
+    (tmp_path / "a").write_text(one.format(t=0) + one.format(t=50).replace("\n", "\r\n") + one.format(t=60)[:-7])
+    rows, frames = text.dump_local(spark, str(tmp_path / "a"))
+    assert sorted((r.timestep, r.no, r["values"]["c_d[1]"]) for r in rows.collect()) == [(0, 0, 0.5), (0, 1, 1e-3), (50, 0, 0.5), (50, 1, 1e-3)]
+    assert {r.timestep for r in frames.collect()} == {0, 50}
+
+
+def test_cfg(spark, tmp_path):
+    head = "Number of particles = 2\nA = 2.0 Angstrom\n" + "".join(f"H0({a},{b}) = {3.0 if a == b else 0.5 * (a > b)} A\n" for a in (1, 2, 3) for b in (1, 2, 3))
+    (tmp_path / "e").write_text(head + ".NO_VELOCITY.\nentry_count = 4\nauxiliary[0] = pe [eV]\n28.0\nSi\n0.5 0 0.5 -1.5\n1.0\nH\n0 1 0 2\n")
+    (tmp_path / "p").write_text(head + "28.0 Si 0.5 0 0.5 0 0 0\n1.0 H 0 1 0 1 2 3\n")
+    for name, rest in (("e", [[-1.5], [2.0]]), ("p", [[0.0] * 3, [1.0, 2.0, 3.0]])):
+        atoms, header = text.cfg(spark, str(tmp_path / name))
+        got = atoms.orderBy("idx").collect()
+        assert [(r.idx, r.mass, r.species, tuple(r.position), r.rest) for r in got] == [(0, 28.0, "Si", (3.5, 0.5, 3.0), rest[0]), (1, 1.0, "H", (1.0, 6.0, 0.0), rest[1])]
+        assert header.first().n == 2 and header.first().h == [3.0, 0, 0, 0.5, 3.0, 0, 0.5, 0.5, 3.0]
+
+
+def test_cube(spark, tmp_path):
+    (tmp_path / "a").write_text("c\nc\n 1 0 0 0\n 2 1 0 0\n 1 0 1 0\n 3 0 0 1\n 14 14.0 1.0 0 0\n 0 1 2\n 3\n 4 5\n")
+    atoms, grid = text.cube(spark, str(tmp_path / "a"))
+    r = atoms.first()
+    assert (r.atomic_number, r.position.x) == (14, pytest.approx(text.BOHR))
+    assert sorted((r.x, r.y, r.z, r.value) for r in grid.collect()) == [(a, 0, c, 3.0 * a + c) for a in (0, 1) for c in range(3)]

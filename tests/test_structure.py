@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mesolite.cell import Cell
-from mesolite.operators import aggregates, bonds, clusters, neighbors, structure
+from mesolite.operators import aggregates, bonds, clusters, neighbors, reference, structure
 
 BASES = {
     "sc": [(0, 0, 0)],
@@ -60,3 +60,22 @@ def test_clusters_across_a_boundary(spark):
     df = spark.createDataFrame(rows, "frame int, idx long, position struct<x: double, y: double, z: double>")
     got = clusters.cluster_analysis(df, Cell.box(10, 10, 10), 1.5).orderBy("idx").collect()
     assert [r.cluster for r in got] == [1, 1, 2]
+
+
+@pytest.mark.parametrize(("kind", "label"), [("fcc", structure.FCC), ("bcc", structure.BCC)])
+def test_bond_angles_of_perfect_crystals(spark, kind, label):
+    assert kinds(structure.ackland_jones(*crystal(spark, kind))) == {label}
+
+
+def test_strain_of_a_homogeneous_deformation(spark):
+    before, cell = crystal(spark, "fcc", 3)
+    f = (1.02, 1.0, 0.97)
+    after = before.withColumn("position", F.struct(*[(F.col(f"position.{c}") * f[k]).alias(c) for k, c in enumerate("xyz")]))
+    size = 12.0
+    got = reference.atomic_strain(after, before, Cell.box(*(size * x for x in f)), cell, 3.0).collect()
+    assert len(got) == 108 and all(r.valid for r in got)
+    for r in got[:20]:
+        g, e = r.deformation_gradient, r.strain_tensor
+        assert (g.xx, g.yy, g.zz, g.xy, g.yx) == pytest.approx((*f, 0, 0), abs=1e-9)
+        assert (e.xx, e.yy, e.zz) == pytest.approx([(x * x - 1) / 2 for x in f], abs=1e-9)
+        assert r.d2min == pytest.approx(0, abs=1e-9) and r.volumetric_strain == pytest.approx(sum((x * x - 1) / 2 for x in f) / 3, abs=1e-9)
