@@ -26,7 +26,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,6 +37,16 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return table, seen.get["n"]
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``written`` tables that nothing reads any more, so that they hold no disk while the job goes on."""
+    for table in tables:
+        spark = table.sparkSession
+        conf = spark._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def with_text(df: DataFrame, *needed: str) -> DataFrame:
     """``df`` with null columns of type string for those of ``needed`` that it lacks."""
     return df.withColumns({c: F.lit(None).cast("string") for c in needed if c not in df.columns})

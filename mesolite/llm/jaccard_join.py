@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from mesolite.llm import _words as W
 from mesolite.llm._fold import emit_chunks, fold_fixed
-from mesolite.llm._spark import counted, documents, written
+from mesolite.llm._spark import counted, discard, documents, written
 from mesolite.llm.components import contracted, links_of
 
 SKETCH_BITS = 20
@@ -336,11 +336,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each row of ``docs``: (doc_id, n_shingles, component_id, class_size)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = frequency_sketch(rows, "text", words)
-    table = written(prefixes(rows, sketch, "doc_id", "text", words, percent), "prefixes")
+    wide = written(prefixes(rows, sketch, "doc_id", "text", words, percent), "prefixes")
     full = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     # equal sets have equal prefixes and bitmaps, so a class takes any member's
-    classes = table.filter(full).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), *(F.first(c).alias(c) for c in ("l", "head", "bits")))
+    classes = wide.filter(full).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), *(F.first(c).alias(c) for c in ("l", "head", "bits")))
     classes = written(classes, "classes")
+    # the long columns are held once, by the classes, and by nothing once the links are found
+    table = written(wide.select("doc_id", "n", "d1", "d2"), "sets-of-rows")
+    discard(wide)
     info = classes.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), "l", "head", "bits")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -351,14 +354,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ids, n = counted(_ends(left), "ids")
         return verify(left, written(candidate_sets(rows, ids, n, "doc_id", "text", words), "sets"), percent)
 
-    comps = link_components(*shared_postings(info.select("id", "n", "head")), check, percent)
+    postings, held = shared_postings(info.select("id", "n", "head"))
+    comps = link_components(postings, held, check, percent)
+    names = written(classes.select("d1", "d2", "n", "rep", "class_size"), "names")
+    discard(classes, postings)
     # an id of several texts belongs to several classes, which it links
     texts = table.filter(full).groupBy("doc_id").agg(*(f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("d1", "d2")))
     texts, n = counted(texts.filter("mind1 != maxd1 OR mind2 != maxd2").select("doc_id"), "several")
     if n:
-        own = table.filter(full).join(texts, "doc_id", "left_semi").select("doc_id", "d1", "d2", "n").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"])
+        own = table.filter(full).join(texts, "doc_id", "left_semi").select("doc_id", "d1", "d2", "n").join(names.drop("class_size"), ["d1", "d2", "n"])
         comps = merged(comps, own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b").distinct())
-    names = classes.select("d1", "d2", "n", "rep", "class_size")
     if comps is not None:
         names = names.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     else:
