@@ -72,11 +72,11 @@ def _through(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
     return docs
 
 
-def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query ``pipeline``: all stages, to the drawn copies."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query ``pipeline``: all stages applied to ``documents``, to the drawn copies."""
     return _through(spark, sf_dir, STAGES)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of the mixture over the cleaned documents, one row for each, which op4's SQL can be held against."""
     return _through(spark, sf_dir, [*STAGES[:-1], ("plan", plan_stage)])
