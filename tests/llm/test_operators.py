@@ -369,10 +369,12 @@ def test_pipeline(spark, tmp_path):
     kept = {i for i, _ in rows if not dirty[i]}
     secret_scan.mask(docs.filter(F.col("doc_id").isin(list(kept)))).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     want = duckdb.connect().execute(f"WITH documents AS (SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')), {mixing.ORACLE_SQL.strip()[4:]}").fetchall()
-    got = corpus_pipeline.run(spark, SF_DIR)
+    got = corpus_pipeline.planned(spark, SF_DIR)
     shown = sorted((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got.collect())
     assert shown == sorted((*r[:3], round(r[3], 6), r[4]) for r in want)
     assert not [t for (t,) in got.select("text").collect() if t and brute.spans(t, brute.SECRET, True)[1]]
+    copies = sorted((r.doc_id, c.shard, c["pass"], c.words) for r in got.collect() for c in r.copies)
+    assert sorted((r.doc_id, r.shard, r["pass"], r.words) for r in corpus_pipeline.run(spark, SF_DIR).collect()) == copies
 
 
 def test_pipeline_stages_keep_columns(spark, edge_dir):
