@@ -17,6 +17,7 @@ from mesolite.operators import reference as R
 from mesolite.operators import selection as S
 from mesolite.operators import structure as X
 from mesolite.operators import trajectory as T
+from mesolite.operators import voronoi as V
 from mesolite.plans.tables import BOX, CUTOFF, EVENTS_SQL, ORDERS_SQL, PARTS_SQL, TRACK, events, neighbors_sql, orders, parts
 
 QUERIES: dict = {}
@@ -336,6 +337,32 @@ def k_nearest(spark, sf):
     return N.nearest(parts(spark, sf), BOX, 6).select("i", "rank", F.round("d2", 4).alias("d2"))
 
 
+def _sites(spark, sf):
+    """The places of parts, each once, as particles."""
+    return parts(spark, sf).groupBy("frame", "position").agg(F.min("idx").alias("idx"))
+
+
+SITES = f"WITH {PARTS_SQL}, u AS (SELECT x, y, z, min(idx) AS idx FROM pp GROUP BY 1, 2, 3)"
+
+
+@query(f"{SITES} SELECT count(*) AS cells, 1000000.0::DOUBLE AS volume, true AS both_sides FROM u")
+def voronoi_volume(spark, sf):
+    v = V.voronoi(_sites(spark, sf), BOX, face_threshold=1e-6)
+    faces = v.select(F.col("idx").alias("a"), F.inline("faces")).groupBy(F.least("a", "j"), F.greatest("a", "j")).agg(F.count("*").alias("n"))
+    return v.agg(F.count("*").alias("cells"), F.round(F.sum("volume"), 3).alias("volume")).crossJoin(faces.agg(F.every(F.col("n") % 2 == 0).alias("both_sides")))  # one row each
+
+
+@query(f"""{SITES}, d AS (SELECT a.idx AS idx, b.x - a.x - 100 * round((b.x - a.x) / 100) AS dx, b.y - a.y - 100 * round((b.y - a.y) / 100) AS dy, b.z - a.z - 100 * round((b.z - a.z) / 100) AS dz FROM u a, u b WHERE a.idx <> b.idx)
+SELECT idx, round(min(dx * dx + dy * dy + dz * dz), 4) AS d2 FROM d GROUP BY 1""")
+def voronoi_nearest(spark, sf):
+    p = _sites(spark, sf)
+    faces = V.voronoi(p, BOX).select("idx", F.explode("faces.j").alias("j"), "position")
+    both = faces.join(p.select(F.col("idx").alias("j"), F.col("position").alias("other")), "j")
+    part = {c: F.col(f"other.{c}") - F.col(f"position.{c}") for c in "xyz"}
+    part = {c: v - 100 * F.round(v / 100) for c, v in part.items()}
+    return both.groupBy("idx").agg(F.round(F.min(sum((v * v for v in part.values()), F.lit(0.0))), 4).alias("d2"))
+
+
 @query()
 def centrosymmetry(spark, sf):
     return X.centrosymmetry(parts(spark, sf), BOX).select("idx", F.round("centrosymmetry", 4).alias("csp"))
