@@ -11,6 +11,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from mesolite.operators.neighbors import nearest, neighbors
 from mesolite.storage import written
 
 OTHER, FCC, HCP, BCC, ICO = range(5)
+#: A matching of k neighbours is sought over 2^k subsets.
+MOST_MATCHED = 16
 CRYSTALS = {OTHER: "OTHER", FCC: "FCC", HCP: "HCP", BCC: "BCC", ICO: "ICO"}
 
 
@@ -33,14 +37,46 @@ def _pairs(array: str, value: str) -> str:
     return f"flatten(transform({array}, (p, i) -> transform(slice({array}, i + 2, size({array})), q -> {value})))"
 
 
-def centrosymmetry(df: DataFrame, cell: Cell, k: int = 12) -> DataFrame:
-    """Sum of the k/2 least squared lengths of sums of two neighbour vectors."""
+def centrosymmetry(df: DataFrame, cell: Cell, k: int = 12, matching: bool = False) -> DataFrame:
+    """Sum of the k/2 least squared lengths of sums of two neighbour vectors.
+
+    With ``matching`` each neighbour is in one pair, and the pairs are those of
+    the least total (k up to ``MOST_MATCHED``); with fewer neighbours the value is 0.
+    """
     if k % 2 or not 2 <= k <= 32:
         raise ValueError("k must be even and between 2 and 32")
+    if matching and k > MOST_MATCHED:
+        raise ValueError(f"matching is exact for k up to {MOST_MATCHED}")
     n = neighbor_arrays(df, cell, k)
-    sums = _pairs("near", "pow(p.dx + q.dx, 2) + pow(p.dy + q.dy, 2) + pow(p.dz + q.dz, 2)")
-    csp = F.expr(f"aggregate(slice(array_sort({sums}), 1, {k // 2}), 0D, (a, x) -> a + x)")
-    return df.drop("centrosymmetry").join(n.select("frame", "idx", F.coalesce(csp, F.lit(0.0)).alias("centrosymmetry")), ["frame", "idx"])
+    if matching:
+        got = n.mapInArrow(lambda batches: _each(batches, "centrosymmetry", lambda near: _matched(near, k)), "frame int, idx long, centrosymmetry double")
+    else:
+        sums = _pairs("near", "pow(p.dx + q.dx, 2) + pow(p.dy + q.dy, 2) + pow(p.dz + q.dz, 2)")
+        csp = F.expr(f"aggregate(slice(array_sort({sums}), 1, {k // 2}), 0D, (a, x) -> a + x)")
+        got = n.select("frame", "idx", F.coalesce(csp, F.lit(0.0)).alias("centrosymmetry"))
+    return df.drop("centrosymmetry").join(got, ["frame", "idx"])
+
+
+def least_matching(w: np.ndarray) -> np.ndarray:
+    """The least weight of a perfect matching for each symmetric matrix of (n, k, k), over subsets in which the first free member is paired."""
+    n, k, _ = w.shape
+    best = np.zeros((1 << k, n))
+    for subset in range(1, 1 << k):
+        if subset.bit_count() % 2 == 0:
+            first = (subset & -subset).bit_length() - 1
+            rest = subset & (subset - 1)
+            best[subset] = np.min([best[rest ^ (1 << j)] + w[:, first, j] for j in range(first + 1, k) if rest >> j & 1], axis=0)
+    return best[-1]
+
+
+def _matched(near, k: int) -> np.ndarray:
+    count, vectors = near
+    out, some = np.zeros(len(count)), np.flatnonzero(count >= k)
+    step = max(1, (1 << 21) >> k)  # 16 MB of subsets at a time
+    for lo in range(0, len(some), step):
+        v = vectors(some[lo : lo + step], k)
+        out[some[lo : lo + step]] = least_matching(((v[:, :, None] + v[:, None]) ** 2).sum(-1))
+    return out
 
 
 def ackland_jones(df: DataFrame, cell: Cell, identify: tuple[int, ...] = (FCC, HCP, BCC, ICO)) -> DataFrame:
@@ -108,21 +144,31 @@ def _is_bcc(sig14: np.ndarray) -> np.ndarray:
     return (is_(4, 4, 4) == 6) & (is_(6, 6, 6) == 8)
 
 
-def _vectors(lists: pd.Series, m: int) -> np.ndarray:
-    return np.array([[(x["dx"], x["dy"], x["dz"]) for x in row[:m]] for row in lists], float).reshape(-1, m, 3)
+def _near(lists: pa.ListArray):
+    """Lengths of the lists, and a function that gives the first m vectors of given rows."""
+    values, start = lists.values, lists.offsets.to_numpy()
+    xyz = np.stack([values.field(c).to_numpy(zero_copy_only=False) for c in ("dx", "dy", "dz")], 1)
+    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return count, lambda rows, m: xyz[start[rows][:, None] + np.arange(m)]
 
 
-def _adaptive(near: pd.Series) -> np.ndarray:
-    out = np.zeros(len(near), int)
-    count = near.map(lambda x: 0 if x is None else len(x)).to_numpy()
+def _each(batches, name: str, judge):
+    """(frame, idx, name) of the batches of (frame, idx, near)."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("frame"), b.column("idx"), pa.array(judge(_near(b.column("near"))))], names=["frame", "idx", name])
+
+
+def _adaptive(near) -> np.ndarray:
+    count, vectors = near
+    out = np.zeros(len(count), np.int32)
     some = np.flatnonzero(count >= 12)
     if len(some):
-        v = _vectors(near.iloc[some], 12)
+        v = vectors(some, 12)
         mean = np.sqrt((v**2).sum(2)).mean(1)
         out[some] = _crystal(signatures(v, (mean * (1 + math.sqrt(2)) / 2) ** 2))
     rest = np.flatnonzero((count >= 14) & (out == OTHER))
     if len(rest):
-        v = _vectors(near.iloc[rest], 14)
+        v = vectors(rest, 14)
         d = np.sqrt((v**2).sum(2))
         # the eight nearest are scaled to the lattice constant
         scale = (d[:, :8].sum(1) / math.sqrt(3.0 / 4.0) + d[:, 8:].sum(1)) / 14
@@ -131,14 +177,13 @@ def _adaptive(near: pd.Series) -> np.ndarray:
     return out
 
 
-def _fixed(near: pd.Series, cutoff: float) -> np.ndarray:
-    out = np.zeros(len(near), int)
-    count = near.map(lambda x: 0 if x is None else len(x)).to_numpy()
+def _fixed(near, cutoff: float) -> np.ndarray:
+    count, vectors = near
+    out = np.zeros(len(count), np.int32)
     for m, judge in ((12, _crystal), (14, lambda s: np.where(_is_bcc(s), BCC, OTHER))):
         own = np.flatnonzero(count == m)
         if len(own):
-            v = _vectors(near.iloc[own], m)
-            out[own] = judge(signatures(v, np.full(len(own), cutoff**2)))
+            out[own] = judge(signatures(vectors(own, m), np.full(len(own), cutoff**2)))
     return out
 
 
@@ -155,11 +200,7 @@ def common_neighbors(df: DataFrame, cell: Cell, mode: str = "adaptive", cutoff:
         def judge(near):
             return _fixed(near, cutoff)
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"frame": b["frame"], "idx": b["idx"], "structure_type": judge(b["near"]).astype("int32")})
-
-    got = lists.mapInPandas(run, "frame int, idx long, structure_type int")
+    got = lists.mapInArrow(lambda batches: _each(batches, "structure_type", judge), "frame int, idx long, structure_type int")
     return df.drop("structure_type").join(got, ["frame", "idx"])
 
 
@@ -267,14 +308,13 @@ def identify_diamond(df: DataFrame, cell: Cell) -> DataFrame:
     two = two.filter(F.greatest(F.abs("dx"), F.abs("dy"), F.abs("dz")) > 1e-2)
     lists = two.groupBy("frame", F.col("i").alias("idx")).agg(F.collect_list(F.struct("dx", "dy", "dz")).alias("near")).filter(F.size("near") == 12)
 
-    def run(batches):
-        for b in batches:
-            v = _vectors(b["near"], 12)
-            mean = np.sqrt((v**2).sum(2)).mean(1)
-            kind = _crystal(signatures(v, (mean * 1.2071068) ** 2))
-            yield pd.DataFrame({"frame": b["frame"], "idx": b["idx"], "kind": np.select([kind == FCC, kind == HCP], [1, 4], 0).astype("int32")})
+    def judge(near):
+        v = near[1](np.arange(len(near[0])), 12)
+        mean = np.sqrt((v**2).sum(2)).mean(1)
+        kind = _crystal(signatures(v, (mean * 1.2071068) ** 2))
+        return np.select([kind == FCC, kind == HCP], [1, 4], 0).astype(np.int32)
 
-    core = lists.mapInPandas(run, "frame int, idx long, kind int").filter("kind > 0")
+    core = lists.mapInArrow(lambda batches: _each(batches, "kind", judge), "frame int, idx long, kind int").filter("kind > 0")
     labelled = written(core, "diamond")
     for shell in (1, 2):
         last = labelled.filter((F.col("kind") == shell) | (F.col("kind") == shell + 3))

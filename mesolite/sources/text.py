@@ -175,3 +175,30 @@ def cube(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     flat = t.filter((F.col("no") >= 6 + F.col("atoms")) & (F.length(F.trim("line")) > 0)).select("file", "no", "v", "ny", "nz", (F.sum(F.size("v")).over(w) - F.size("v")).alias("before"))
     values = flat.select("file", "ny", "nz", "before", F.posexplode("v").alias("k", "value")).withColumn("at", F.col("before") + F.col("k"))
     return atoms, values.select("file", F.expr("int(at div (ny * nz))").alias("x"), F.expr("int((at div nz) % ny)").alias("y"), F.expr("int(at % nz)").alias("z"), F.col("value").try_cast("double").alias("value"))
+
+
+def xsf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Structure files with sections: atoms (file, frame, idx, species, position, force), cells (file, frame, vectors: nine numbers) and grids (file, name, x, y, z, value).
+
+    A section lasts until the next key word.  Species are names or atomic
+    numbers, as written; files of one frame have frame 0.
+    """
+    t = lines(spark, path).withColumn("v", _words()).filter(~F.col("line").rlike(r"^\s*(#|$)"))
+    word = F.upper(_at(1))
+    key = word.rlike(r"^(ATOMS|PRIMCOORD|PRIMVEC|CONVVEC|CONVCOORD|CRYSTAL|SLAB|POLYMER|MOLECULE|ANIMSTEPS|DIM-GROUP|(BEGIN_|END_)?(BLOCK_)?DATAGRID.*|(BEGIN|END)_.*)$")
+    w = Window.partitionBy("file").orderBy("no")
+    t = t.withColumn("s", F.last(F.when(key, F.struct(F.col("no").alias("no"), word.alias("word"), _at(1).alias("written"), F.coalesce(_at(2).try_cast("int") - 1, F.lit(0)).alias("frame"))), True).over(w))
+    # blank lines and comments do not count
+    t = t.withColumn("k", F.row_number().over(Window.partitionBy("file", "s.no").orderBy("no")) - 1).filter("s IS NOT NULL AND k > 0")
+    d = lambda k: _at(k).try_cast("double")
+    skipped = F.when(F.col("s.word") == "ATOMS", 1).when(F.col("s.word") == "PRIMCOORD", 2)
+    atoms = t.filter((F.col("k") >= skipped) & F.size("v").isin(4, 7))
+    atoms = atoms.select("file", "s.frame", (F.col("k") - skipped).cast("long").alias("idx"), _at(1).alias("species"), vec(d(2), d(3), d(4)).alias("position"), F.when(F.size("v") == 7, vec(d(5), d(6), d(7))).alias("force"))
+    sides = t.filter((F.col("s.word") == "PRIMVEC") & (F.col("k") <= 3)).groupBy("file", "s.frame").agg(F.array_sort(F.collect_list(F.struct("k", F.array(d(1), d(2), d(3)).alias("side")))).alias("h"))
+    cells = sides.select("file", "frame", F.flatten(F.col("h.side")).alias("vectors"))
+    grid = t.filter(F.col("s.word").rlike("^(BEGIN_)?DATAGRID_3D_")).withColumn("section", F.col("s.no"))
+    shape = grid.filter("k = 1").select("file", "section", _at(1).try_cast("int").alias("nx"), _at(2).try_cast("int").alias("ny"))
+    inner = Window.partitionBy("file", "section").orderBy("no")
+    flat = grid.filter("k > 5").withColumn("before", F.sum(F.size("v")).over(inner) - F.size("v"))
+    values = flat.select("file", "section", F.regexp_replace("s.written", "(?i)^(BEGIN_)?DATAGRID_3D_", "").alias("name"), "before", F.posexplode("v").alias("p", "value")).join(shape, ["file", "section"]).withColumn("at", F.col("before") + F.col("p"))
+    return atoms, cells, values.select("file", "name", F.expr("int(at % nx)").alias("x"), F.expr("int(at div nx % ny)").alias("y"), F.expr("int(at div (nx * ny))").alias("z"), F.col("value").try_cast("double").alias("value"))

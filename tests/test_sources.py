@@ -247,3 +247,17 @@ def test_cube(spark, tmp_path):
     r = atoms.first()
     assert (r.atomic_number, r.position.x) == (14, pytest.approx(text.BOHR))
     assert sorted((r.x, r.y, r.z, r.value) for r in grid.collect()) == [(a, 0, c, 3.0 * a + c) for a in (0, 1) for c in range(3)]
+
+
+def test_xsf(spark, tmp_path):
+    (tmp_path / "m").write_text("# animation\nANIMSTEPS 2\nATOMS 1\nSi 0 1 2\n 8 1 1 1 0.5 0 0\nATOMS 2\nSi 3 3 3\n")
+    atoms, cells, grid = text.xsf(spark, str(tmp_path / "m"))
+    got = [(r.frame, r.idx, r.species, tuple(r.position), r.force and tuple(r.force)) for r in atoms.orderBy("frame", "idx").collect()]
+    assert got == [(0, 0, "Si", (0, 1, 2), None), (0, 1, "8", (1, 1, 1), (0.5, 0, 0)), (1, 0, "Si", (3, 3, 3), None)]
+    assert cells.count() == grid.count() == 0
+    body = "\n".join(" ".join(str(x + 2 * y + 6 * z) for x in range(2)) for z in range(2) for y in range(3))
+    (tmp_path / "c").write_text(f"CRYSTAL\nPRIMVEC\n1 0 0\n0 2 0\n0 0 3\n\nPRIMCOORD\n 1 1\n14 0.5 0.5 0.5\nBEGIN_BLOCK_DATAGRID_3D\n any\nBEGIN_DATAGRID_3D_rho\n2 3 2\n0 0 0\n1 0 0\n0 2 0\n0 0 3\n{body}\nEND_DATAGRID_3D\nEND_BLOCK_DATAGRID_3D\n")
+    atoms, cells, grid = text.xsf(spark, str(tmp_path / "c"))
+    assert [(r.idx, r.species, tuple(r.position)) for r in atoms.collect()] == [(0, "14", (0.5, 0.5, 0.5))]
+    assert cells.first().vectors == [1, 0, 0, 0, 2, 0, 0, 0, 3]
+    assert sorted((r.name, r.z, r.y, r.x, r.value) for r in grid.collect()) == [("rho", z, y, x, float(x + 2 * y + 6 * z)) for z in range(2) for y in range(3) for x in range(2)]

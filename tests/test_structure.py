@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,33 @@ def test_centrosymmetry_of_a_perfect_crystal_is_zero(spark):
     assert structure.centrosymmetry(df, cell).agg(F.max("centrosymmetry")).first()[0] == pytest.approx(0, abs=1e-9)
 
 
+def test_least_matching_is_that_of_all_matchings():
+    rng = np.random.default_rng(3)
+    w = rng.random((20, 6, 6))
+    w = w + w.transpose(0, 2, 1)
+
+    def least(m, left):
+        return 0 if not left else min(m[left[0], j] + least(m, [x for x in left[1:] if x != j]) for j in left[1:])
+
+    assert structure.least_matching(w) == pytest.approx([least(m, list(range(6))) for m in w])
+
+
+def test_matching_mode_of_centrosymmetry(spark):
+    df, cell = crystal(spark, "fcc")
+    assert structure.centrosymmetry(df, cell, matching=True).agg(F.max("centrosymmetry")).first()[0] == pytest.approx(0, abs=1e-9)
+    one = structure.centrosymmetry(df.filter("idx != 0"), cell, matching=True)
+    plain = structure.centrosymmetry(df.filter("idx != 0"), cell).withColumnRenamed("centrosymmetry", "plain")
+    both = one.join(plain.select("idx", "plain"), "idx")
+    assert both.count() == 255 and both.filter("centrosymmetry < plain - 1e-9").count() == 0 and both.filter("centrosymmetry > 1").count() > 0
+    with pytest.raises(ValueError):
+        structure.centrosymmetry(df, cell, 18, matching=True)
+
+
+@pytest.mark.parametrize(("kind", "cutoff", "label"), [("fcc", 3.4, structure.FCC), ("bcc", 4.8, structure.BCC)])
+def test_common_neighbours_with_a_fixed_cutoff(spark, kind, cutoff, label):
+    assert kinds(structure.common_neighbors(*crystal(spark, kind), "fixed", cutoff)) == {label}
+
+
 def test_diamond(spark):
     assert kinds(structure.identify_diamond(*crystal(spark, "diamond", 3))) == {1}
 
