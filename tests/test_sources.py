@@ -261,3 +261,17 @@ def test_xsf(spark, tmp_path):
     assert [(r.idx, r.species, tuple(r.position)) for r in atoms.collect()] == [(0, "14", (0.5, 0.5, 0.5))]
     assert cells.first().vectors == [1, 0, 0, 0, 2, 0, 0, 0, 3]
     assert sorted((r.name, r.z, r.y, r.x, r.value) for r in grid.collect()) == [("rho", z, y, x, float(x + 2 * y + 6 * z)) for z in range(2) for y in range(3) for x in range(2)]
+
+
+def test_vtk_grid(spark, tmp_path):
+    rows = [(f, x, y, z, x + 0.5 * y + f, 10 * z + y if x or y else None) for f in (0, 1) for x in range(2) for y in range(3) for z in range(2)]
+    grid = spark.createDataFrame(rows, "frame int, vx int, vy int, vz int, a double, `b c` long").repartition(5)
+    sinks.write_vtk_grid(grid, str(tmp_path / "o"), Cell.box(2, 6, 1, origin=(1.0, 0.0, 0.0)), (2, 3, 2), ("a", "b c"))
+    for f in (0, 1):
+        file = next((tmp_path / "o" / f"frame={f}").glob("*.txt"))
+        got = file.read_text().splitlines()
+        assert got[:8] == ["# vtk DataFile Version 3.0", "Voxel grid", "ASCII", "DATASET STRUCTURED_POINTS", "DIMENSIONS 2 3 2", "ORIGIN 1.0 0.0 0.0", "SPACING 1.0 2.0 0.5", "POINT_DATA 12"]
+        assert got[8:11] == ["", "SCALARS a double 1", "LOOKUP_TABLE default"] and got[23:26] == ["", "SCALARS b_c long 1", "LOOKUP_TABLE default"]
+        order = [(x, y, z) for z in range(2) for y in range(3) for x in range(2)]
+        assert [float(v) for v in got[11:23]] == [x + 0.5 * y + f for x, y, z in order]
+        assert [int(v) for v in got[26:]] == [10 * z + y if x or y else 0 for x, y, z in order]
