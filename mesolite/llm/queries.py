@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mesolite.llm import bm25_search, chat_format, decontamination, jaccard_join, language_id, lm_score, mixing, pii, secret_scan, substring_dedup, virtual_slots, weighted_clustering
+from mesolite.llm import bm25_search, chat_format, decontamination, hard_negatives, jaccard_join, language_id, lm_score, mixing, pii, secret_scan, substring_dedup, virtual_slots, weighted_clustering
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_weighted_clustering": weighted_clustering.op12_weighted_clustering,
     "op13_virtual_slots": virtual_slots.op13_virtual_slots,
 }
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op5_bm25_search": bm25_search.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     "op12_weighted_clustering": weighted_clustering.ORACLE_SQL,
 }

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -32,9 +33,22 @@ def edge_documents() -> list[dict]:
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("score", pa.int64()), ("size", pa.string()), ("lang_pred", pa.string()), ("n_words", pa.int64()), ("row", pa.int64()), ("spans", pa.string()), ("key", pa.string()), ("component", pa.float64())])
 BENCHMARK = pa.schema([("item_id", pa.string()), ("text", pa.string()), ("n_hit", pa.int64())])
 CONVERSATIONS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("formatted", pa.string())])
+EMBEDDINGS = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("vector", pa.string()), ("cluster", pa.string()), ("row", pa.int64()), ("n", pa.float64()), ("distance", pa.string())])
 
 
-def save(path, documents, benchmark, conversations) -> str:
+def edge_embeddings() -> list[dict]:
+    """Nulls, components that aren't finite, other lengths, repeated rows and ids, ties, one vector many times, clashing extra columns."""
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 0.1, (4, 64))
+    rows = [(k, (centres[k % 4] + r.normal(0, 0.06, 64)).tolist(), int(k % 4) + 6) for k in range(320)]
+    common = rows[5][1]
+    rows += [(1000 + k, common, 7 + k % 2) for k in range(120)] + [rows[100]] * 2 + [(100, rows[3][1], 6), (7, None, 1), (14, [], 1), (None, rows[4][1], 6), (None, rows[4][1], 6), (200, rows[8][1], None)]
+    rows += [(400, [float("nan"), *common[1:]], 7), (401, [*common[1:], float("inf")], 7), (402, [None, *common[1:]], 7), (403, common[:63], 7), (404, [*common, 0.25], 7), (500, [0.0] * 64, 7), (600, [-x for x in common], 3)]
+    return [{"vec_id": i, "embedding": e, "label": n, "vector": "v", "cluster": "c", "row": 1, "n": 0.5, "distance": None} for i, e, n in rows]
+
+
+def save(path, documents, benchmark, conversations, embeddings) -> str:
+    pq.write_table(pa.Table.from_pylist(embeddings, EMBEDDINGS), path / "embeddings.parquet")
     pq.write_table(pa.Table.from_pylist(documents, DOCUMENTS), path / "documents.parquet")
     pq.write_table(pa.Table.from_pylist(benchmark, BENCHMARK), path / "benchmark.parquet")
     pq.write_table(pa.Table.from_pylist(conversations, CONVERSATIONS), path / "conversations.parquet")
@@ -45,9 +59,9 @@ def save(path, documents, benchmark, conversations) -> str:
 def edge_dir(tmp_path_factory) -> str:
     items = [("b1", LINE), ("b2", " ".join(passage(1, 300).split()[40:60])), ("b3", None), ("b4", ""), (None, LINE), (None, " ".join(passage(1, 300).split()[80:99])), ("b5", "one two three"), ("b1", LINE), ("b6", "a a")]
     turns = [(1, 0, "user", "hi ### there"), (1, 1, "assistant", None), (1, 2, "assistant", "back\\slash </turn>\n### User: x"), (2, 0, "system", ""), (2, 0, "system", ""), (2, None, "tool:x\n\\", "é"), (3, 0, None, "x" * 3000), (None, 0, "user", "#"), (1, 1, "assistant", None)]
-    return save(tmp_path_factory.mktemp("edge"), edge_documents(), [dict(zip(("item_id", "text"), i, strict=True)) for i in items], [dict(zip(("conv_id", "turn", "role", "text"), t, strict=True)) for t in turns])
+    return save(tmp_path_factory.mktemp("edge"), edge_documents(), [dict(zip(("item_id", "text"), i, strict=True)) for i in items], [dict(zip(("conv_id", "turn", "role", "text"), t, strict=True)) for t in turns], edge_embeddings())
 
 
 @pytest.fixture(scope="session")
 def empty_dir(tmp_path_factory) -> str:
-    return save(tmp_path_factory.mktemp("empty"), [], [], [])
+    return save(tmp_path_factory.mktemp("empty"), [], [], [], [])
