@@ -18,22 +18,9 @@ from mesolite.operators import selection as S
 from mesolite.operators import structure as X
 from mesolite.operators import trajectory as T
 from mesolite.operators import voronoi as V
+from mesolite.plans.registry import ORACLE_SQL, QUERIES, query
 from mesolite.plans.tables import BOX, CUTOFF, EVENTS_SQL, ORDERS_SQL, PARTS_SQL, TRACK, events, neighbors_sql, orders, parts
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def r6(c) -> F.Column:
     """Six digits, zero without a sign."""
     return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(0.0), 6) + F.lit(0.0)
@@ -476,3 +463,6 @@ SELECT cast(hx AS INTEGER) AS hx, cast(hy AS INTEGER) AS hy, cast(hz AS INTEGER)
 def power_spectrum(spark, sf):
     s = D.power_spectrum(orders(spark, sf), BOX, F.col("total_price") / 1000, 1)
     return s.select("hx", "hy", "hz", r6("q").alias("q"), F.round("power", 4).alias("power"))
+
+
+from mesolite.plans import solids  # noqa: E402, F401  registers its queries after these

@@ -60,6 +60,47 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Lattices as frames: sides of an orthogonal cell and its sites in parts of them, the first half of the sites of one type where an alloy is told apart.
+_R2, _R3, _R6 = 2**0.5, 3**0.5, 6**0.5
+_FCC = [(0, 0, 0), (0.5, 0.5, 0), (0.5, 0, 0.5), (0, 0.5, 0.5)]
+_HEX = [(0, 0, 0), (0.5, 0.5, 0), (0.5, 5 / 6, 0.5), (0, 1 / 3, 0.5)]
+LATTICES = [
+    ("fcc", (4.0, 4.0, 4.0), _FCC),
+    ("hcp", (2.8, 2.8 * _R3, 2.8 * 2 * _R6 / 3), _HEX),
+    ("bcc", (3.2, 3.2, 3.2), [(0, 0, 0), (0.5, 0.5, 0.5)]),
+    ("sc", (2.6, 2.6, 2.6), [(0, 0, 0)]),
+    ("cubic_diamond", (5.4, 5.4, 5.4), [*_FCC, *[(x + 0.25, y + 0.25, z + 0.25) for x, y, z in _FCC]]),
+    ("hex_diamond", (3.8, 3.8 * _R3, 3.8 * 2 * _R6 / 3), [*_HEX, *[(x, y, z + 0.375) for x, y, z in _HEX]]),
+    ("graphene", (2.46, 2.46 * _R3, 3.35), [(0, 0, 0), (0.5, 0.5, 0), (0, 1 / 3, 0), (0.5, 5 / 6, 0)]),
+]
+
+
+def crystals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Cell]:
+    """Parts as the sites of seven finite crystals, a frame for each lattice of ``LATTICES``, shaken by hashes of the key; and the open box around them.
+
+    The sizes of the crystals follow from the number of parts.
+    """
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    kinds = len(LATTICES)
+    each = -(-t.count() // kinds)
+    site = F.expr(f"p_partkey div {kinds}")
+    rows = t.select((F.col("p_partkey") % kinds).cast("int").alias("frame"), F.col("p_partkey").alias("idx"), site.alias("n"))
+    facts, most = [], [1.0, 1.0, 1.0]
+    for k, (_, sides, sites) in enumerate(LATTICES):
+        across, per = max(1, round((-(-each // len(sites))) ** (1 / 3))), len(sites)
+        deep = -(-each // (per * across * across)) + 1
+        most = [max(m, s * c) for m, s, c in zip(most, sides, (deep, across, across), strict=True)]
+        # fcc as L12, hcp and sc of one type, the others by sublattice
+        one = 1 if k == 0 else per if k in (1, 3) else per // 2
+        facts.append(f"struct({per} AS per, {across} AS across, {one} AS one, array({', '.join(f'{x}D' for x in sides)}) AS sides, array({', '.join('array(' + ', '.join(f'{x}D' for x in p) + ')' for p in sites)}) AS sites)")
+    rows = rows.withColumn("f", F.expr(f"array({', '.join(facts)})")[F.col("frame")])
+    rows = rows.withColumns({"s": F.expr("cast(n % f.per AS int)"), "c": F.expr("n div f.per")})
+    rows = rows.withColumn("at", F.expr("array(c div (f.across * f.across), c div f.across % f.across, c % f.across)"))
+    shaken = [F.expr(f"(at[{d}] + f.sites[s][{d}]) * f.sides[{d}] + (idx * {a} % {m} / {m}D - 0.5D) * 0.2D") for d, (a, m) in enumerate(((7919, 997), (104729, 1009), (15485863, 1013)))]
+    rows = rows.withColumn("particle_type", F.when(F.col("s") < F.col("f.one"), 1).otherwise(2))
+    return rows.select("frame", "idx", F.col("idx").alias("particle_identifier"), "particle_type", vec(*shaken).alias("position")), Cell.box(*[m + 1.0 for m in most], pbc=(False, False, False), origin=(-0.5, -0.5, -0.5))
+
+
 ORDERS_SQL = """p AS (
   SELECT o_orderkey AS idx, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS t, o_totalprice AS v, o_custkey AS mol,
          (o_orderkey * 7919 % 1000)::DOUBLE / 10 AS x, (o_orderkey * 104729 % 1000)::DOUBLE / 10 AS y, (o_custkey * 1299709 % 1000)::DOUBLE / 10 AS z
