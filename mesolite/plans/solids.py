@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mesolite.operators import fields as D
+from mesolite.operators import isosurface as I
+from mesolite.operators import mesh as M
 from mesolite.operators import templates as PT
 from mesolite.plans.registry import query
-from mesolite.plans.tables import crystals
+from mesolite.plans.tables import BOX, PARTS_SQL, crystals, orders, parts
+from mesolite.storage import written
 
 EVERY = tuple(PT.SIZES)
 
@@ -30,3 +34,37 @@ def template_order(spark, sf):
 @query()
 def template_rmsd_histogram(spark, sf):
     return PT.rmsd_histogram(_matched(spark, sf)).select("frame", "bin", F.round("rmsd", 6).alias("rmsd"), "count")
+
+
+DENSITY = f"""WITH {PARTS_SQL}, d AS (SELECT a.range AS vx, b.range AS vy, c.range AS vz, x - 5 * a.range AS ex, y - 5 * b.range AS ey, z - 5 * c.range AS ez FROM range(20) a, range(20) b, range(20) c, pp),
+m AS (SELECT vx, vy, vz, power(ex - 100 * round(ex / 100), 2) + power(ey - 100 * round(ey / 100), 2) + power(ez - 100 * round(ez / 100), 2) AS d2 FROM d),
+g AS (SELECT vx, vy, vz, coalesce(sum(exp(-d2 / (2 * 3.1::DOUBLE * 3.1))) FILTER (d2 <= 9.3::DOUBLE * 9.3), 0) >= 1.5 AS s FROM m GROUP BY 1, 2, 3)"""
+LEVEL = 1.5
+
+
+def _density(spark, sf):
+    return D.gaussian_density(parts(spark, sf), BOX, (20, 20, 20), 3.1)
+
+
+# every grid edge that the level passes carries a vertex
+@query(f"""{DENSITY}, e AS (SELECT a.vx, a.vy, a.vz, k AS axis FROM g a, (SELECT unnest([0, 1, 2]) AS k) JOIN g b ON b.vx = (a.vx + (k = 0)::INT) % 20 AND b.vy = (a.vy + (k = 1)::INT) % 20 AND b.vz = (a.vz + (k = 2)::INT) % 20 WHERE a.s <> b.s)
+SELECT cast(((vx * 20 + vy) * 20 + vz) * 3 + axis AS BIGINT) AS vertex FROM e""")
+def isosurface_vertices(spark, sf):
+    return M.vertices(I.isosurface(_density(spark, sf), BOX, (20, 20, 20), LEVEL, "density", centred=False), BOX).select("vertex")
+
+
+@query("SELECT true AS closed, true AS complete")
+def isosurface_closed(spark, sf):
+    """The mesh has no open edge, and what it bounds and what the same field upside down bounds fill the box."""
+    grid = written(_density(spark, sf), "density")
+    faces = I.isosurface(grid, BOX, (20, 20, 20), LEVEL, "density", centred=False)
+    above = I.volume_inside(grid, BOX, (20, 20, 20), LEVEL, "density", centred=False).select("volume")
+    below = I.volume_inside(grid.withColumn("density", -F.col("density")), BOX, (20, 20, 20), -LEVEL, "density", centred=False).select(F.col("volume").alias("below"))
+    n = M.open_edges(faces).agg(F.count("*").alias("open"))
+    return n.crossJoin(above).crossJoin(below).select((F.col("open") == 0).alias("closed"), (F.abs(F.col("volume") + F.col("below") - BOX.volume) < 1e-3).alias("complete"))  # one row each
+
+
+@query()
+def surface_distance(spark, sf):
+    faces = written(I.isosurface(_density(spark, sf), BOX, (20, 20, 20), LEVEL, "density", centred=False), "isosurface")
+    return M.surface_distance(orders(spark, sf), M.smooth(faces, BOX, 2), BOX).select("idx", F.round("surface_distance", 4).alias("surface_distance"))
