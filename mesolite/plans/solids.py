@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mesolite.operators import alpha as AS
+from mesolite.operators import correlation as CF
 from mesolite.operators import fields as D
 from mesolite.operators import isosurface as I
 from mesolite.operators import mesh as M
 from mesolite.operators import templates as PT
 from mesolite.plans.registry import query
-from mesolite.plans.tables import BOX, PARTS_SQL, crystals, orders, parts
+from mesolite.plans.tables import BOX, ORDERS_SQL, PARTS_SQL, crystals, orders, parts
 from mesolite.storage import written
 
 EVERY = tuple(PT.SIZES)
@@ -68,3 +70,45 @@ def isosurface_closed(spark, sf):
 def surface_distance(spark, sf):
     faces = written(I.isosurface(_density(spark, sf), BOX, (20, 20, 20), LEVEL, "density", centred=False), "isosurface")
     return M.surface_distance(orders(spark, sf), M.smooth(faces, BOX, 2), BOX).select("idx", F.round("surface_distance", 4).alias("surface_distance"))
+
+
+#: Sums of price and place over eight voxels a side.
+GRID = f"""WITH {ORDERS_SQL}, g AS (SELECT least(7, floor(x / 100 * 8))::INT AS gx, least(7, floor(y / 100 * 8))::INT AS gy, least(7, floor(z / 100 * 8))::INT AS gz, sum(v / 1000) AS one, sum(x) AS two, count(*) AS n FROM p GROUP BY 1, 2, 3),
+c AS (SELECT power(count(*), 2) AS n2 FROM p)"""
+
+
+def _correlated(spark, sf):
+    return CF.grid_correlation(orders(spark, sf), BOX, F.col("total_price") / 1000, F.col("position.x"), 12.0)
+
+
+@query(f"""{GRID}, k AS (SELECT a.range AS kx, b.range AS ky, c.range AS kz FROM range(8) a, range(8) b, range(8) c WHERE a.range + b.range + c.range > 0),
+f AS (SELECT kx, ky, kz, sum(one * cos(h)) AS r1, sum(one * sin(h)) AS i1, sum(two * cos(h)) AS r2, sum(two * sin(h)) AS i2 FROM (SELECT *, 2 * pi() * (kx * gx + ky * gy + kz * gz) / 8 AS h FROM g, k) GROUP BY 1, 2, 3),
+b AS (SELECT floor(sqrt(power((kx + 4) % 8 - 4, 2) + power((ky + 4) % 8 - 4, 2) + power((kz + 4) % 8 - 4, 2)))::INT AS bin, r1 * r2 + i1 * i2 AS s FROM f)
+SELECT bin, round(2 * pi() / 100 * (bin + 0.5), 6) AS q, round(avg(s) * 1e6::DOUBLE / any_value(n2), 3) AS correlation, count(*) AS count FROM b, c WHERE bin < 4 GROUP BY 1""")
+def grid_correlation_q(spark, sf):
+    return _correlated(spark, sf)[0].select("bin", F.round("q", 6).alias("q"), F.round("correlation", 3).alias("correlation"), "count")
+
+
+@query(f"""{GRID}, s AS (SELECT (a.gx - b.gx + 12) % 8 - 4 AS sx, (a.gy - b.gy + 12) % 8 - 4 AS sy, (a.gz - b.gz + 12) % 8 - 4 AS sz, sum(a.one * b.two) * 512 AS s, sum(a.n * b.n) * 512 AS d FROM g a, g b GROUP BY 1, 2, 3),
+b AS (SELECT floor(sqrt(sx * sx + sy * sy + sz * sz))::INT AS bin, s, d FROM s WHERE sx <> 0 OR sy <> 0 OR sz <> 0)
+SELECT bin, round((bin + 0.5) * 12.5, 6) AS r, round(avg(s) / any_value(n2), 2) AS correlation, round(avg(d) / any_value(n2), 6) AS rdf, count(*) AS count FROM b, c WHERE bin < 4 GROUP BY 1""")
+def grid_correlation_r(spark, sf):
+    return _correlated(spark, sf)[1].select("bin", F.round("r", 6).alias("r"), F.round("correlation", 2).alias("correlation"), F.round("rdf", 6).alias("rdf"), "count")
+
+
+@query()
+def alpha_totals(spark, sf):
+    p, box = crystals(spark, sf)
+    return AS.AlphaShape(p, box, 3.6).totals(2).select("frame", *[F.round(c, 4).alias(c) for c in ("surface_area", "solid_volume", "empty_volume")])
+
+
+@query()
+def alpha_regions(spark, sf):
+    p, box = crystals(spark, sf)
+    return AS.AlphaShape(p, box, 1.6).regions(0).select("frame", F.round("volume", 4).alias("volume"), F.round("surface_area", 4).alias("surface_area"), "tetrahedra")
+
+
+@query()
+def alpha_surface_particles(spark, sf):
+    p, box = crystals(spark, sf)
+    return AS.AlphaShape(p, box, 3.6).select_surface().select("frame", "idx", "selection")
