@@ -177,6 +177,52 @@ def _adaptive(near) -> np.ndarray:
     return out
 
 
+def _sweep(v: np.ndarray, limit: np.ndarray, ready, judge) -> tuple[np.ndarray, np.ndarray]:
+    """The widest interval of cutoffs, opened below ``limit``, in which a particle's neighbours ``v`` have a structure, and that structure.
+
+    Intervals lie between successive distances of pairs of neighbours; ``ready`` tells
+    from coordination numbers (n, steps, m) which of them are worth judging.
+    """
+    n, m, _ = v.shape
+    a, b = np.triu_indices(m, 1)
+    d = np.sqrt(((v[:, a] - v[:, b]) ** 2).sum(2))
+    order = d.argsort(1, kind="stable")
+    d = np.take_along_axis(d, order, 1)
+    ends = (a[order][:, :, None] == np.arange(m)) | (b[order][:, :, None] == np.arange(m))
+    width = np.diff(d, axis=1)
+    row, step = np.nonzero(ready(ends.cumsum(1)[:, :-1]) & (width > 0) & (d[:, :-1] < limit[:, None]))
+    best, kind = np.zeros(n), np.full(n, OTHER)
+    if len(row):
+        found = judge(signatures(v[row], ((d[row, step] + d[row, step + 1]) / 2) ** 2))
+        w = np.where(found != OTHER, width[row, step], 0.0)
+        np.maximum.at(best, row, w)
+        widest = (w == best[row]) & (w > 0)
+        kind[row[widest][::-1]] = found[widest][::-1]  # the narrowest cutoff of equal ones
+    return best, kind
+
+
+def _interval(near) -> np.ndarray:
+    """The structure that holds over the widest interval of cutoffs (Larsen 2020)."""
+    count, vectors = near
+    out = np.zeros(len(count), np.int32)
+    between = (1 + 2 * math.sqrt(2)) / 3  # two thirds of the way from the first to the second shell
+    some = np.flatnonzero(count >= 12)
+    for lo in range(0, len(some), 512):
+        rows = some[lo : lo + 512]
+        v = vectors(rows, 12)
+        best, kind = _sweep(v, between * np.sqrt((v**2).sum(2)).mean(1), lambda c: (c == 4).all(2) | (c == 5).all(2), _crystal)
+        out[rows] = kind
+        four = count[rows] >= 14
+        if four.any():
+            v = vectors(rows[four], 14)
+            d = np.sqrt((v**2).sum(2))
+            scale = (d[:, :8].sum(1) / math.sqrt(3.0 / 4.0) + d[:, 8:].sum(1)) / 14
+            wide, kind = _sweep(v, between * scale, lambda c: ((c == 4).sum(2) == 6) & ((c == 6).sum(2) == 8), lambda s: np.where(_is_bcc(s), BCC, OTHER))
+            better = wide > best[four]
+            out[rows[four][better]] = kind[better]
+    return out
+
+
 def _fixed(near, cutoff: float) -> np.ndarray:
     count, vectors = near
     out = np.zeros(len(count), np.int32)
@@ -188,9 +234,11 @@ def _fixed(near, cutoff: float) -> np.ndarray:
 
 
 def common_neighbors(df: DataFrame, cell: Cell, mode: str = "adaptive", cutoff: float = 3.2) -> DataFrame:
-    """Structure type by common-neighbour analysis with a fixed cutoff or one adapted to each particle."""
-    if mode == "adaptive":
-        lists, judge = neighbor_arrays(df, cell, 14), _adaptive
+    """Structure type by common-neighbour analysis with a fixed cutoff, one adapted to each particle, or the widest interval of cutoffs."""
+    if mode not in ("adaptive", "interval", "fixed"):
+        raise ValueError("mode is adaptive, interval or fixed")
+    if mode != "fixed":
+        lists, judge = neighbor_arrays(df, cell, 14), _adaptive if mode == "adaptive" else _interval
     else:
         n = neighbors(df, cell, cutoff).groupBy("frame", F.col("i").alias("idx")).agg(F.collect_list(F.struct("dx", "dy", "dz")).alias("near"))
         # only lists of 12 or 14 can be crystalline; longer ones don't travel

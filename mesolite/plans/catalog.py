@@ -19,7 +19,7 @@ from mesolite.operators import structure as X
 from mesolite.operators import trajectory as T
 from mesolite.operators import voronoi as V
 from mesolite.plans.registry import ORACLE_SQL, QUERIES, query
-from mesolite.plans.tables import BOX, CUTOFF, EVENTS_SQL, ORDERS_SQL, PARTS_SQL, TRACK, events, neighbors_sql, orders, parts
+from mesolite.plans.tables import BOX, CUTOFF, EVENTS_SQL, ORDERS_SQL, PARTS_SQL, TRACK, crystals, crystals_sql, events, neighbors_sql, orders, parts
 
 def r6(c) -> F.Column:
     """Six digits, zero without a sign."""
@@ -350,19 +350,28 @@ def voronoi_nearest(spark, sf):
     return both.groupBy("idx").agg(F.round(F.min(sum((v * v for v in part.values()), F.lit(0.0))), 4).alias("d2"))
 
 
-@query()
+@query(f"""WITH {crystals_sql()}, d AS (SELECT a.frame, a.idx AS i, b.idx AS j, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM cr a JOIN cr b ON a.frame = b.frame AND a.idx <> b.idx),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dx * dx + dy * dy + dz * dz, j) AS rank FROM d) WHERE rank <= 12),
+s AS (SELECT p.i, power(p.dx + q.dx, 2) + power(p.dy + q.dy, 2) + power(p.dz + q.dz, 2) AS s FROM k p JOIN k q ON p.i = q.i AND p.rank < q.rank),
+o AS (SELECT i, s, row_number() OVER (PARTITION BY i ORDER BY s) AS rank FROM s)
+SELECT cr.idx, round(coalesce(sum(s), 0), 4) AS csp FROM cr LEFT JOIN o ON o.i = cr.idx AND o.rank <= 6 GROUP BY 1""")
 def centrosymmetry(spark, sf):
-    return X.centrosymmetry(parts(spark, sf), BOX).select("idx", F.round("centrosymmetry", 4).alias("csp"))
+    return X.centrosymmetry(*crystals(spark, sf)).select("idx", F.round("centrosymmetry", 4).alias("csp"))
 
 
 @query()
 def ackland_jones(spark, sf):
-    return X.ackland_jones(parts(spark, sf), BOX).select("idx", "structure_type")
+    return X.ackland_jones(*crystals(spark, sf)).select("idx", "structure_type")
 
 
 @query()
 def cna_adaptive(spark, sf):
-    return X.common_neighbors(parts(spark, sf), BOX).select("idx", "structure_type")
+    return X.common_neighbors(*crystals(spark, sf)).select("idx", "structure_type")
+
+
+@query()
+def cna_interval(spark, sf):
+    return X.common_neighbors(*crystals(spark, sf), "interval").select("idx", "structure_type")
 
 
 @query(f"""{NB}, l AS (SELECT DISTINCT i, j FROM nb), c AS (SELECT b.i AS a, b.j AS b, u.j AS c FROM l b JOIN l u ON u.i = b.i JOIN l w ON w.i = b.j AND w.j = u.j WHERE b.i < b.j),
@@ -374,12 +383,12 @@ def cna_bond_indices(spark, sf):
 
 @query()
 def chill_plus(spark, sf):
-    return X.chill_plus(orders(spark, sf), BOX, CUTOFF).select("idx", "structure_type")
+    return X.chill_plus(*crystals(spark, sf), 3.0).select("idx", "structure_type")
 
 
 @query()
 def identify_diamond(spark, sf):
-    return X.identify_diamond(parts(spark, sf), BOX).select("idx", "structure_type")
+    return X.identify_diamond(*crystals(spark, sf)).select("idx", "structure_type")
 
 
 @query(f"""WITH RECURSIVE {ORDERS_SQL}, {neighbors_sql(1.95)}, l AS (SELECT i, j FROM nb), r(idx, root) AS (SELECT idx, idx FROM p UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.idx),

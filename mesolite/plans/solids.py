@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from mesolite.operators import alpha as AS
 from mesolite.operators import correlation as CF
 from mesolite.operators import fields as D
+from mesolite.operators import grains as GR
 from mesolite.operators import isosurface as I
 from mesolite.operators import mesh as M
+from mesolite.operators import neighbors as N
 from mesolite.operators import templates as PT
+from mesolite.operators import voronoi as V
 from mesolite.plans.registry import query
-from mesolite.plans.tables import BOX, ORDERS_SQL, PARTS_SQL, crystals, orders, parts
+from mesolite.plans.tables import BOX, ORDERS_SQL, PARTS_SQL, crystals, crystals_sql, orders, parts
 from mesolite.storage import written
 
 EVERY = tuple(PT.SIZES)
@@ -112,3 +115,36 @@ def alpha_regions(spark, sf):
 def alpha_surface_particles(spark, sf):
     p, box = crystals(spark, sf)
     return AS.AlphaShape(p, box, 3.6).select_surface().select("frame", "idx", "selection")
+
+
+def _grained(spark, sf):
+    p, box = crystals(spark, sf)
+    matched = written(PT.template_matching(p, box, EVERY), "matched")
+    return GR.grain_segmentation(matched, 10.0, 10, near=N.neighbors(p, box, 3.0))
+
+
+@query()
+def grain_segmentation(spark, sf):
+    return _grained(spark, sf).select("frame", "idx", "grain")
+
+
+@query()
+def grain_table(spark, sf):
+    o = F.col("orientation")
+    return GR.grain_table(_grained(spark, sf)).select("frame", "grain", "structure_type", "size", F.round(o["w"], 4).alias("qw"), F.round("spread", 3).alias("spread"))
+
+
+@query()
+def elastic_strain(spark, sf):
+    return GR.elastic_strain(_matched(spark, sf), PT.FCC, 4.0).select("frame", "idx", F.round("volumetric_strain", 6).alias("volumetric_strain"), F.round("strain.xy", 6).alias("strain_xy"))
+
+
+# the nearest other site is always across a face of the cell
+@query(f"""WITH {crystals_sql()}, d AS (SELECT a.idx, min(power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2)) AS d2 FROM cr a JOIN cr b ON a.frame = b.frame AND a.idx <> b.idx GROUP BY 1)
+SELECT idx, round(d2, 6) AS d2 FROM d""")
+def voronoi_nearest_crystals(spark, sf):
+    p, box = crystals(spark, sf)
+    faces = V.voronoi(p, box).select("frame", "idx", F.explode("faces.j").alias("j"), "position").filter("j >= 0")
+    both = faces.join(p.select("frame", F.col("idx").alias("j"), F.col("position").alias("other")), ["frame", "j"])
+    d2 = sum(((F.col(f"other.{c}") - F.col(f"position.{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    return both.groupBy("idx").agg(F.round(F.min(d2), 6).alias("d2"))

@@ -101,6 +101,20 @@ def crystals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Cell]:
     return rows.select("frame", "idx", F.col("idx").alias("particle_identifier"), "particle_type", vec(*shaken).alias("position")), Cell.box(*[m + 1.0 for m in most], pbc=(False, False, False), origin=(-0.5, -0.5, -0.5))
 
 
+def crystals_sql() -> str:
+    """CTE ``cr`` (frame, idx, t, x, y, z): the places of ``crystals``."""
+    ones = [1 if k == 0 else len(sites) if k in (1, 3) else len(sites) // 2 for k, (_, _, sites) in enumerate(LATTICES)]
+    rows = ", ".join(f"({k}, {len(sites)}, {ones[k]}, [{', '.join(f'{x}::DOUBLE' for x in sides)}], [{', '.join('[' + ', '.join(f'{x}::DOUBLE' for x in p) + ']' for p in sites)}])" for k, (_, sides, sites) in enumerate(LATTICES))
+    kinds = len(LATTICES)
+    shaken = ", ".join(f"(place[{d + 1}] + sites[s + 1][{d + 1}]) * sides[{d + 1}] + ((idx * {a} % {m}) / {m}::DOUBLE - 0.5::DOUBLE) * 0.2::DOUBLE AS {c}" for d, (c, a, m) in enumerate((("x", 7919, 997), ("y", 104729, 1009), ("z", 15485863, 1013))))
+    return f"""lt(frame, per, one, sides, sites) AS (VALUES {rows}),
+  ea AS (SELECT (count(*) + {kinds - 1}) // {kinds} AS each FROM part),
+  la AS (SELECT *, greatest(1, round(power((each + per - 1) // per, 1.0::DOUBLE / 3)))::BIGINT AS across FROM lt, ea),
+  si AS (SELECT frame, p_partkey AS idx, sides, sites, one, across, (p_partkey // {kinds}) % per AS s, p_partkey // {kinds} // per AS c FROM part JOIN la ON frame = p_partkey % {kinds}),
+  pl AS (SELECT *, [c // (across * across), c // across % across, c % across] AS place FROM si),
+  cr AS (SELECT frame, idx, CASE WHEN s < one THEN 1 ELSE 2 END AS t, {shaken} FROM pl)"""
+
+
 ORDERS_SQL = """p AS (
   SELECT o_orderkey AS idx, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS t, o_totalprice AS v, o_custkey AS mol,
          (o_orderkey * 7919 % 1000)::DOUBLE / 10 AS x, (o_orderkey * 104729 % 1000)::DOUBLE / 10 AS y, (o_custkey * 1299709 % 1000)::DOUBLE / 10 AS z
