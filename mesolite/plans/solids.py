@@ -148,3 +148,9 @@ def voronoi_nearest_crystals(spark, sf):
     both = faces.join(p.select("frame", F.col("idx").alias("j"), F.col("position").alias("other")), ["frame", "j"])
     d2 = sum(((F.col(f"other.{c}") - F.col(f"position.{c}")) ** 2 for c in "xyz"), F.lit(0.0))
     return both.groupBy("idx").agg(F.round(F.min(d2), 6).alias("d2"))
+
+
+@query()
+def voronoi_topology(spark, sf):
+    p, box = crystals(spark, sf)
+    return V.voronoi(p, box, topology=True).select("frame", "idx", "topology", "symmetry")
