@@ -8,6 +8,7 @@ from mesolite.operators import alpha as AS
 from mesolite.operators import correlation as CF
 from mesolite.operators import fields as D
 from mesolite.operators import grains as GR
+from mesolite.operators import hulls as H
 from mesolite.operators import isosurface as I
 from mesolite.operators import mesh as M
 from mesolite.operators import neighbors as N
@@ -154,3 +155,11 @@ def voronoi_nearest_crystals(spark, sf):
 def voronoi_topology(spark, sf):
     p, box = crystals(spark, sf)
     return V.voronoi(p, box, topology=True).select("frame", "idx", "topology", "symmetry")
+
+
+@query()
+def coordination_polyhedra(spark, sf):
+    p, box = crystals(spark, sf)
+    p = p.withColumn("selection", F.when(F.col("particle_type") == 1, 1).otherwise(0))
+    table = H.polyhedron_table(H.coordination_polyhedra(p, N.neighbors(p, box, 3.1)))
+    return table.select("frame", "center", "faces", F.round("area", 5).alias("area"), F.round("volume", 5).alias("volume"))
