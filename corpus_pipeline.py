@@ -13,16 +13,34 @@ from mesolite.llm import decontamination, jaccard_join, language_id, mixing, sec
 from mesolite.llm._spark import documents, written
 
 
+def _beside_text(docs: DataFrame) -> DataFrame:
+    """(doc, text): all other columns as a struct, so that an operator's own columns can't replace one of them."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text")
+
+
+def _as_before(carried: DataFrame, columns: list[str]) -> DataFrame:
+    return carried.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, which no language fits, go; without any labelled row to learn from, no other does."""
+    """Documents without a letter, which no language fits, go; without any labelled row to learn from, no other does.
+
+    A null or empty text has no letter.  Whole texts of any length are judged; repeated rows and
+    equal ids are judged one by one.  All columns keep their values, whatever they are called.
+    """
     machines = language_id.learn(docs)
     if not machines:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return language_id.identify(docs, machines).filter(F.col("lang_pred") != language_id.UND).select(docs.columns)
+    found = language_id.identify(_beside_text(docs), machines).filter(F.col("lang_pred") != language_id.UND)
+    return _as_before(found, docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows the one with the smallest id stays (a null id is the last); an id may stand in several rows."""
+    """Of each group of linked rows the one with the smallest id stays (a null id is the last); an id may stand in several rows.
+
+    Null and empty texts link with nothing and stay; of repeated rows one stays; whole texts of any
+    length are compared.  All columns keep their values, whatever they are called.
+    """
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
     found = jaccard_join.jaccard_components(rows.select("row", F.col("doc.text").alias("text")), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
@@ -32,18 +50,30 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go.
+
+    Null and empty texts have no words and stay; whole texts of any length are searched; repeated
+    rows are judged one by one.  All columns keep their values, whatever they are called.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.decontaminate(docs, benchmark).filter(~F.col("contaminated")).select(docs.columns)
+    return _as_before(decontamination.decontaminate(_beside_text(docs), benchmark).filter(~F.col("contaminated")), docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Base matches and live owned values of the whole input's scan are masked in the text; no document goes."""
+    """Base matches and live owned values of the whole input's scan are masked in the text; no document goes.
+
+    Null and empty texts stay as they are; texts of any length are scanned; repeated rows are masked
+    alike.  All other columns keep their values, whatever they are called.
+    """
     return secret_scan.mask_found(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: one row for each drawn copy, with its output shard, pass and words."""
+    """The mixture: one row for each drawn copy, with its output shard, pass and words (columns of these names are replaced).
+
+    Null and empty texts have no words and are never drawn; a long text may be drawn in part; rows
+    that tie in id and size are alike to the draw.
+    """
     return mixing.mix(docs)
 
 
