@@ -384,6 +384,21 @@ def test_pipeline_stages_keep_columns(spark, edge_dir):
     assert corpus_pipeline.run(spark, edge_dir).count() > 0
 
 
+def test_pipeline_stages_keep_the_values_of_clashing_columns(spark, edge_dir):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").withColumns({"n_hit": F.lit(-5), "contaminated": F.lit("no"), "hit_spans": F.lit("s"), "phrase_bytes": F.lit(3), "has_letter__": F.lit(9), "doc": F.lit("d"), "component_id": F.lit(8), "base": F.lit("b")})
+    rest = [c for c in docs.columns if c != "text"]
+    before = defaultdict(int)
+    for r in docs.select(*rest).collect():
+        before[repr(r)] += 1
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, edge_dir)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        got = defaultdict(int)
+        for r in out.select(*rest).collect():
+            got[repr(r)] += 1
+        assert got and all(before[k] >= n for k, n in got.items()), name
+
+
 def test_pipeline_emits_the_drawn_copies(spark):
     rows = [(k, f"src{k % 3}", " \n".join(passage(k, 10 + k % 4).split()), k) for k in range(300)]
     rows += [(1, "src0", passage(999, 12), -1)]  # another row with an id that is taken
