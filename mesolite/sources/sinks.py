@@ -6,8 +6,9 @@ formats ask, so a task holds no more than the sort's buffer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mesolite.cell import Cell
 
@@ -103,27 +104,43 @@ def write_poscar(df: DataFrame, path: str, cell: Cell, names: dict[int, str], re
 
 
 def write_attributes(df: DataFrame, path: str, columns: tuple[str, ...]) -> None:
-    """A table of global attributes, one line for each frame in order, with a commented header of quoted names."""
+    """A table of global attributes, one line for each frame in order, with a commented header of quoted names.
+
+    Values with a blank are quoted; a value that is missing in a frame is an error.
+    """
     head = df.sparkSession.createDataFrame([(-1, "# " + " ".join(f'"{c}"' for c in columns))], "frame long, value string")
-    body = df.select(F.col("frame").cast("long").alias("frame"), F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in columns]).alias("value"))
+
+    def shown(c: str) -> Column:
+        missing = F.raise_error(F.concat(F.lit(f"the attribute {c!r} is missing in frame "), F.col("frame").cast("string")))
+        text = F.coalesce(F.col(c).cast("string"), missing)
+        return F.when(F.contains(text, F.lit(" ")), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+
+    body = df.select(F.col("frame").cast("long").alias("frame"), F.concat_ws(" ", *[shown(c) for c in columns]).alias("value"))
     head.unionByName(body).repartitionByRange("frame").sortWithinPartitions("frame").select("value").write.text(path)
 
 
 def write_vtk_grid(df: DataFrame, path: str, cell: Cell, shape: tuple[int, int, int], fields: tuple[str, ...]) -> None:
     """Structured points of VTK, a file for each frame, from voxels (frame, vx, vy, vz, ``fields``); x runs fastest, a value in each line.
 
-    Fields are numbers, written as int, long or double; blanks in names become
-    underscores, nulls NaN or 0.
+    Fields are numbers or structs of up to four numbers, written as int, long or
+    double; three doubles are vectors, structs with more members are left out.  Blanks in
+    names go; nulls are NaN or 0.
     """
     kinds = {"int": "int", "bigint": "long"}
+    parts = {c: [f"{c}.{m.name}" for m in df.schema[c].dataType] if isinstance(df.schema[c].dataType, T.StructType) else [c] for c in fields}
+    fields = tuple(c for c in fields if len(parts[c]) <= 4)
+    member = lambda c: df.select(F.col(c)).dtypes[0][1]
     nx, ny, nz = shape
     spacing = [float((cell.array[:, d] ** 2).sum() ** 0.5) / n for d, n in enumerate(shape)]
     head = "\n".join(["# vtk DataFile Version 3.0", "Voxel grid", "ASCII", "DATASET STRUCTURED_POINTS", f"DIMENSIONS {nx} {ny} {nz}", f"ORIGIN {' '.join(map(repr, cell.origin))}", f"SPACING {' '.join(map(repr, spacing))}", f"POINT_DATA {nx * ny * nz}"])
     frames = df.select("frame").distinct()
     title = lambda part, text: F.struct(F.lit(part).alias("part"), F.lit(-1).cast("long").alias("idx"), F.lit(text).alias("value"))
-    types = {c: kinds.get(dict(df.dtypes)[c], "double") for c in fields}
-    heads = [title(0, head)] + [title(k, f"\nSCALARS {c.replace(' ', '_')} {types[c]} 1\nLOOKUP_TABLE default") for k, c in enumerate(fields, 1)]
-    value = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string") if types[c] != "double" else _number(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))))
+    named = {c: [f"`{c}`.`{p.split('.', 1)[1]}`" if len(parts[c]) > 1 or p != c else f"`{c}`" for p in parts[c]] for c in fields}
+    types = {c: kinds.get(member(named[c][0]), "double") if len({member(p) for p in named[c]}) == 1 else "double" for c in fields}
+    section = lambda c: f"\nVECTORS {c.replace(' ', '')} double" if len(named[c]) == 3 and types[c] == "double" else f"\nSCALARS {c.replace(' ', '')} {types[c]} {len(named[c])}\nLOOKUP_TABLE default"
+    heads = [title(0, head)] + [title(k, section(c)) for k, c in enumerate(fields, 1)]
+    one = lambda p, kind: F.coalesce(F.col(p), F.lit(0)).cast("string") if kind != "double" else _number(F.coalesce(F.col(p).cast("double"), F.lit(float("nan"))))
+    value = lambda c: F.concat_ws(" ", *[one(p, types[c]) for p in named[c]])
     place = F.col("vx").cast("long") + nx * (F.col("vy").cast("long") + ny * F.col("vz").cast("long"))
     each = F.array(*[F.struct(F.lit(k).alias("part"), place.alias("idx"), value(c).alias("value")) for k, c in enumerate(fields, 1)])
     _write(frames.select("frame", F.inline(F.array(*heads))).unionByName(df.select("frame", F.inline(each))), path)

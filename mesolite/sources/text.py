@@ -158,23 +158,43 @@ def cfg(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 BOHR = 0.52917721067
 
 
-def cube(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Atoms (file, idx, atomic_number, position) and grid values (file, x, y, z, value) of volume files, lengths in Angstrom.
-
-    A positive number of voxels means lengths in Bohr, a negative one Angstrom.
-    """
+def _cube_heads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     t = lines(spark, path).withColumn("v", _words())
     d = lambda k: _at(k).try_cast("double")
     head = t.filter(F.col("no").between(2, 5)).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("no", d(1).alias("n"), F.array(d(2), d(3), d(4)).alias("side")))).alias("h"))
     of = lambda k: F.col("h")[k]["n"]
-    head = head.select("file", F.abs(of(0)).cast("int").alias("atoms"), *[F.abs(of(k)).cast("int").alias(c) for k, c in ((1, "nx"), (2, "ny"), (3, "nz"))], F.when(of(1) < 0, 1.0).otherwise(BOHR).alias("unit"))
-    t = t.join(head, "file")
+    unit = F.when((of(1) < 0) | (of(2) < 0) | (of(3) < 0), 1.0).otherwise(BOHR)
+    return t, head.select("file", "h", F.abs(of(0)).cast("int").alias("atoms"), (of(0) < 0).alias("table"), *[F.abs(of(k)).cast("int").alias(c) for k, c in ((1, "nx"), (2, "ny"), (3, "nz"))], unit.alias("unit"))
+
+
+def cube(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Atoms (file, idx, atomic_number, position) and grid values (file, x, y, z, value, component, name) of volume files, lengths in Angstrom.
+
+    Positive numbers of voxels mean lengths in Bohr; one negative number is enough for
+    Angstrom.  A negative number of atoms announces a table of fields: their
+    number and labels, by which components are named; a single field has component 0 and no name.
+    """
+    t, head = _cube_heads(spark, path)
+    t = t.join(head.drop("h"), "file")
     atoms = t.filter((F.col("no") >= 6) & (F.col("no") < 6 + F.col("atoms")))
-    atoms = atoms.select("file", (F.col("no") - 6).cast("long").alias("idx"), _at(1).try_cast("int").alias("atomic_number"), vec(*[d(k) * F.col("unit") for k in (3, 4, 5)]).alias("position"))
+    atoms = atoms.select("file", (F.col("no") - 6).cast("long").alias("idx"), _at(1).try_cast("int").alias("atomic_number"), vec(*[_at(k).try_cast("double") * F.col("unit") for k in (3, 4, 5)]).alias("position"))
     w = Window.partitionBy("file").orderBy("no")
-    flat = t.filter((F.col("no") >= 6 + F.col("atoms")) & (F.length(F.trim("line")) > 0)).select("file", "no", "v", "ny", "nz", (F.sum(F.size("v")).over(w) - F.size("v")).alias("before"))
-    values = flat.select("file", "ny", "nz", "before", F.posexplode("v").alias("k", "value")).withColumn("at", F.col("before") + F.col("k"))
-    return atoms, values.select("file", F.expr("int(at div (ny * nz))").alias("x"), F.expr("int((at div nz) % ny)").alias("y"), F.expr("int(at % nz)").alias("z"), F.col("value").try_cast("double").alias("value"))
+    flat = t.filter((F.col("no") >= 6 + F.col("atoms")) & (F.length(F.trim("line")) > 0)).select("file", "no", "v", "ny", "nz", "table", (F.sum(F.size("v")).over(w) - F.size("v")).alias("before"))
+    words = flat.select("file", "ny", "nz", "table", "before", F.posexplode("v").alias("k", "word")).withColumn("at", F.col("before") + F.col("k"))
+    fields = words.filter("table AND at = 0").select("file", F.col("word").try_cast("int").alias("m"))
+    words = words.join(fields, "file", "left").withColumns({"m": F.coalesce("m", F.lit(1)), "skip": F.when(F.col("table"), F.coalesce("m", F.lit(1)) + 1).otherwise(0)})
+    names = words.filter((F.col("at") > 0) & (F.col("at") < F.col("skip"))).select("file", (F.col("at") - 1).cast("int").alias("component"), F.concat(F.lit("MO"), "word").alias("name"))
+    values = words.filter(F.col("at") >= F.col("skip")).withColumn("at", F.col("at") - F.col("skip")).withColumns({"component": F.expr("int(at % m)"), "cell": F.expr("at div m")})
+    grid = values.select("file", F.expr("int(cell div (ny * nz))").alias("x"), F.expr("int((cell div nz) % ny)").alias("y"), F.expr("int(cell % nz)").alias("z"), F.col("word").try_cast("double").alias("value"), "component")
+    return atoms, grid.join(names, ["file", "component"], "left").select("file", "x", "y", "z", "value", "component", "name")
+
+
+def cube_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(file, shape, origin, vectors) of volume files: the cell's origin and its three vectors (nine numbers), periodic in each direction."""
+    _, head = _cube_heads(spark, path)
+    scaled = lambda a, n: F.transform(a, lambda x: x * n * F.col("unit"))
+    side = [scaled(F.col("h")[k]["side"], F.abs(F.col("h")[k]["n"])) for k in (1, 2, 3)]
+    return head.select("file", F.array("nx", "ny", "nz").alias("shape"), scaled(F.col("h")[0]["side"], F.lit(1.0)).alias("origin"), F.concat(*side).alias("vectors"))
 
 
 def xsf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

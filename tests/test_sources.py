@@ -217,9 +217,11 @@ def test_poscar_round_trip(spark, tmp_path, reduced):
 
 
 def test_attribute_table(spark, tmp_path):
-    sinks.write_attributes(spark.createDataFrame([(2, 1.5, None), (0, 2.5, 7)], "frame int, energy double, n int"), str(tmp_path / "o"), ("frame", "energy", "n"))
+    sinks.write_attributes(spark.createDataFrame([(2, 1.5, "two words"), (0, 2.5, "one")], "frame int, energy double, n string"), str(tmp_path / "o"), ("frame", "energy", "n"))
     got = [r.value for r in spark.read.text(str(tmp_path / "o")).collect()]
-    assert sorted(got) == sorted(['# "frame" "energy" "n"', "0 2.5 7", "2 1.5 0"])
+    assert sorted(got) == sorted(['# "frame" "energy" "n"', "0 2.5 one", '2 1.5 "two words"'])
+    with pytest.raises(Exception, match="'n' is missing in frame 2"):  # a missing value is no 0
+        sinks.write_attributes(spark.createDataFrame([(2, 1.5, None), (0, 2.5, 7)], "frame int, energy double, n int"), str(tmp_path / "p"), ("frame", "energy", "n"))
 
 
 def test_local_dump(spark, tmp_path):
@@ -249,6 +251,23 @@ def test_cube(spark, tmp_path):
     assert sorted((r.x, r.y, r.z, r.value) for r in grid.collect()) == [(a, 0, c, 3.0 * a + c) for a in (0, 1) for c in range(3)]
 
 
+def test_cube_with_a_table_of_fields(spark, tmp_path):
+    (tmp_path / "a").write_text("c\nc\n -1 0.5 0 0\n 2 1 0 0\n -1 0 1 0\n 1 0 0 2\n 14 14.0 1.0 0 0\n 2 7\n 9 0.5 0.25\n 0.125 2\n")
+    atoms, grid = text.cube(spark, str(tmp_path / "a"))
+    assert (atoms.count(), atoms.first().position.x) == (1, 1.0)  # one negative number of voxels: Angstrom
+    assert sorted((r.x, r.y, r.z, r.component, r.name, r.value) for r in grid.collect()) == [(0, 0, 0, 0, "MO7", 0.5), (0, 0, 0, 1, "MO9", 0.25), (1, 0, 0, 0, "MO7", 0.125), (1, 0, 0, 1, "MO9", 2.0)]
+    cell = text.cube_cells(spark, str(tmp_path / "a")).first()
+    assert (cell.shape, cell.origin, cell.vectors) == ([2, 1, 1], [0.5, 0, 0], [2, 0, 0, 0, 1, 0, 0, 0, 2])
+
+
+def test_vtk_vectors(spark, tmp_path):
+    rows = [(0, x, 0, 0, (1.0 * x, 2.0, None), (x, 7), x) for x in range(2)]
+    grid = spark.createDataFrame(rows, "frame int, vx int, vy int, vz int, `the force` struct<x: double, y: double, z: double>, pair struct<a: int, b: int>, n int")
+    sinks.write_vtk_grid(grid, str(tmp_path / "o"), Cell.box(2, 1, 1), (2, 1, 1), ("the force", "pair", "n"))
+    got = next((tmp_path / "o" / "frame=0").glob("*.txt")).read_text().splitlines()[8:]
+    assert got == ["", "VECTORS theforce double", "0.0000000000000000 2.0000000000000000 NaN", "1.0000000000000000 2.0000000000000000 NaN", "", "SCALARS pair int 2", "LOOKUP_TABLE default", "0 7", "1 7", "", "SCALARS n int 1", "LOOKUP_TABLE default", "0", "1"]
+
+
 def test_xsf(spark, tmp_path):
     (tmp_path / "m").write_text("# animation\nANIMSTEPS 2\nATOMS 1\nSi 0 1 2\n 8 1 1 1 0.5 0 0\nATOMS 2\nSi 3 3 3\n")
     atoms, cells, grid = text.xsf(spark, str(tmp_path / "m"))
@@ -271,7 +290,7 @@ def test_vtk_grid(spark, tmp_path):
         file = next((tmp_path / "o" / f"frame={f}").glob("*.txt"))
         got = file.read_text().splitlines()
         assert got[:8] == ["# vtk DataFile Version 3.0", "Voxel grid", "ASCII", "DATASET STRUCTURED_POINTS", "DIMENSIONS 2 3 2", "ORIGIN 1.0 0.0 0.0", "SPACING 1.0 2.0 0.5", "POINT_DATA 12"]
-        assert got[8:11] == ["", "SCALARS a double 1", "LOOKUP_TABLE default"] and got[23:26] == ["", "SCALARS b_c long 1", "LOOKUP_TABLE default"]
+        assert got[8:11] == ["", "SCALARS a double 1", "LOOKUP_TABLE default"] and got[23:26] == ["", "SCALARS bc long 1", "LOOKUP_TABLE default"]
         order = [(x, y, z) for z in range(2) for y in range(3) for x in range(2)]
         assert [float(v) for v in got[11:23]] == [x + 0.5 * y + f for x, y, z in order]
         assert [int(v) for v in got[26:]] == [10 * z + y if x or y else 0 for x, y, z in order]
