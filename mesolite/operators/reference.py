@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mesolite.cell import Cell, vec
 from mesolite.operators.neighbors import closest_site, neighbors
+from mesolite.storage import written
 
 
 def match(current: DataFrame, reference: DataFrame, columns: list[str], frame: int | None = 0, offset: int | None = None, key: str = "particle_identifier", check: bool = True) -> DataFrame:
@@ -145,15 +146,22 @@ def wigner_seitz(current: DataFrame, sites: DataFrame, cell: Cell, type_col: str
     ``sites`` are reference rows (frame 0 of them); every particle belongs to
     its nearest site.
     """
-    frames = current.select("frame").distinct()
-    every = frames.crossJoin(sites.drop("frame"))  # every frame has all sites
-    near = closest_site(current, every.select("frame", "idx", "position"), cell)
-    counted = near.groupBy("frame", F.col("site").alias("idx")).agg(F.count("*").cast("int").alias("occupancy"))
-    out = every.join(counted, ["frame", "idx"], "left").withColumn("occupancy", F.coalesce("occupancy", F.lit(0)))
+    # one table of sites serves all frames: a particle is searched under its frame and index together
+    one = F.lit(0).alias("frame")
+    asked = current.select(one, F.struct("frame", "idx").alias("idx"), "position")
+    near = closest_site(asked, sites.select(one, "idx", "position"), cell).select("i.frame", F.col("i.idx").alias("i"), "site")
+    near = written(near, "nearest-sites")
+    counts = near.groupBy("frame", F.col("site").alias("idx")).agg(F.count("*").cast("int").alias("occupancy"))
+    every = current.select("frame").distinct().crossJoin(sites.drop("frame"))  # the result has each site in each frame
+    out = every.join(counts, ["frame", "idx"], "left").withColumn("occupancy", F.coalesce("occupancy", F.lit(0)))
     if type_col:
         types = current.select("frame", F.col("idx").alias("i"), F.col(type_col).alias("t"))
         by = near.join(types, ["frame", "i"]).groupBy("frame", "site", "t").agg(F.count("*").cast("int").alias("n"))
         by = by.groupBy("frame", F.col("site").alias("idx")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "n")))).alias("occupancy_by_type"))
         out = out.join(by, ["frame", "idx"], "left")
-    defects = out.groupBy("frame").agg(F.count_if(F.col("occupancy") == 0).alias("vacancy_count"), F.coalesce(F.sum(F.when(F.col("occupancy") > 1, F.col("occupancy") - 1)), F.lit(0)).cast("long").alias("interstitial_count"))
+    # vacancies are the sites that no particle took, so they need no row for each site
+    taken = counts.groupBy("frame").agg(F.count("*").alias("taken"), F.sum(F.col("occupancy") - 1).alias("extra"))
+    total = sites.agg(F.count("*").alias("sites"))
+    defects = current.select("frame").distinct().join(taken, "frame", "left").crossJoin(total)  # one row beside each frame
+    defects = defects.select("frame", (F.col("sites") - F.coalesce("taken", F.lit(0))).alias("vacancy_count"), F.coalesce("extra", F.lit(0)).cast("long").alias("interstitial_count"))
     return out, defects
