@@ -202,7 +202,7 @@ def _sweep(v: np.ndarray, limit: np.ndarray, ready, judge) -> tuple[np.ndarray,
 
 
 def _interval(near) -> np.ndarray:
-    """The structure that holds over the widest interval of cutoffs (Larsen 2020)."""
+    """The structure that holds over the widest interval of cutoffs (published in 2020)."""
     count, vectors = near
     out = np.zeros(len(count), np.int32)
     between = (1 + 2 * math.sqrt(2)) / 3  # two thirds of the way from the first to the second shell

@@ -1,4 +1,4 @@
-"""Polyhedral template matching (Larsen, Schmidt and Schiøtz 2016) over batches of neighbour lists.
+"""Polyhedral template matching (published in 2016) over batches of neighbour lists.
 
 A shell of nearest neighbours is described by the edge graph of its convex hull.
 Graphs are compared by a canonical labelling: from a directed edge the vertices
