@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mesolite.cell import Cell
 from mesolite.operators.neighbors import neighbors
-from mesolite.storage import counted, written
+from mesolite.storage import counted, ranked, written
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -60,9 +60,7 @@ def cluster_analysis(df: DataFrame, cell: Cell | None = None, cutoff: float = 3.
         links = neighbors(nodes, cell, cutoff).filter("i < j").select("frame", "i", "j")
     found = components(nodes, links)
     sizes = found.groupBy("frame", "root").agg(F.count("*").alias("n"))
-    # clusters, not particles, are numbered by the window
-    order = [F.desc("n"), F.asc("root")] if sort_by_size else [F.asc("root")]
-    numbered = sizes.select("frame", "root", F.row_number().over(Window.partitionBy("frame").orderBy(*order)).cast("long").alias("cluster"))
+    numbered = ranked(sizes, [F.desc("n"), F.asc("root")] if sort_by_size else [F.asc("root")], "cluster").select("frame", "root", "cluster")
     got = found.join(numbered, ["frame", "root"]).select("frame", "idx", "cluster")
     return df.drop("cluster").join(got, ["frame", "idx"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(0).cast("long")))
 

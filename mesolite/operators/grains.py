@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mesolite.operators import templates as T
 from mesolite.operators.clusters import components
-from mesolite.storage import counted, written
+from mesolite.storage import counted, ranked, written
 
 CUBIC = (T.FCC, T.BCC, T.SC, T.CUBIC_DIAMOND)
 HEXAGONAL = (T.HCP, T.HEX_DIAMOND, T.GRAPHENE)
@@ -61,8 +61,7 @@ def grain_segmentation(matched: DataFrame, threshold: float = 4.0, min_size: int
     crystal = matched.filter(F.col("structure_type") > 0).select("frame", "idx")
     root = written(components(crystal, links), "grain-roots")
     sizes = root.groupBy("frame", "root").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size)
-    # grains, not particles, are numbered by the window
-    numbered = sizes.select("frame", "root", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("n"), "root")).cast("long").alias("grain"))
+    numbered = ranked(sizes, [F.desc("n"), F.asc("root")], "grain")
     known = written(root.join(numbered, ["frame", "root"]).select("frame", "idx", "grain"), "grains")
     if adopt and near is not None:
         bonds = written(near.select("frame", "i", "j", "d2"), "grain-bonds")
