@@ -121,7 +121,7 @@ def alpha_surface_particles(spark, sf):
 def _grained(spark, sf):
     p, box = crystals(spark, sf)
     matched = written(PT.template_matching(p, box, EVERY), "matched")
-    return GR.grain_segmentation(matched, 10.0, 10, near=N.neighbors(p, box, 3.0))
+    return GR.grain_segmentation(matched, 10.0, 1, near=N.neighbors(p, box, 3.0))
 
 
 @query()
