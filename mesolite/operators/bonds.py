@@ -6,32 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mesolite.cell import Cell, image
-from mesolite.operators.neighbors import neighbors
+from mesolite.operators.neighbors import neighbors, neighbors_of_copies
 
 
-def create_bonds(df: DataFrame, cell: Cell, cutoff: float = 3.2, pair_cutoffs: dict[tuple[int, int], float] | None = None, type_col: str = "particle_type", min_cutoff: float = 0.0, molecule_col: str | None = None, existing: DataFrame | None = None) -> DataFrame:
+def create_bonds(df: DataFrame, cell: Cell, cutoff: float = 3.2, pair_cutoffs: dict[tuple[int, int], float] | None = None, type_col: str = "particle_type", min_cutoff: float = 0.0, molecule_col: str | None = None, existing: DataFrame | None = None, copies: bool = False) -> DataFrame:
     """(frame, a, b, image, length): one bond per pair within the cutoff.
 
     Of a pair's two directions the one from the lower index stays; a bond of a
     particle with its own image keeps the lexicographically positive image.
     ``pair_cutoffs`` gives cutoffs by unordered pair of types (others form no
     bonds), ``molecule_col`` keeps bonds within molecules, ``existing`` bonds
-    are kept and not doubled.
+    are kept and not doubled.  ``copies`` says that many particles share places:
+    then pairs of places are found first.
     """
     most = max(pair_cutoffs.values(), default=cutoff) if pair_cutoffs else cutoff
-    pairs = neighbors(df, cell, most).filter(F.col("d2") >= min_cutoff * min_cutoff)
+    rows = df.select("frame", "idx", "position", *([F.col(type_col).alias("t")] if pair_cutoffs else []), *([F.col(molecule_col).alias("m")] if molecule_col else []))
+    keep = tuple(c for c in ("t", "m") if c in rows.columns)
+    pairs = (neighbors_of_copies if copies else neighbors)(rows, cell, most, keep=keep).filter(F.col("d2") >= min_cutoff * min_cutoff)
     zero = image(F.lit(0), F.lit(0), F.lit(0))
     pairs = pairs.filter((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & (F.col("image") > zero)))
     if pair_cutoffs:
-        t = df.select("frame", "idx", F.col(type_col).alias("t"))
-        pairs = pairs.join(t.withColumnsRenamed({"idx": "i", "t": "t1"}), ["frame", "i"]).join(t.withColumnsRenamed({"idx": "j", "t": "t2"}), ["frame", "j"])
         limit = F.lit(None).cast("double")
         for (a, b), c in pair_cutoffs.items():
-            limit = F.when((F.least("t1", "t2") == min(a, b)) & (F.greatest("t1", "t2") == max(a, b)), F.lit(float(c) ** 2)).otherwise(limit)
+            limit = F.when((F.least("t_i", "t_j") == min(a, b)) & (F.greatest("t_i", "t_j") == max(a, b)), F.lit(float(c) ** 2)).otherwise(limit)
         pairs = pairs.filter(F.col("d2") <= limit)
     if molecule_col:
-        m = df.select("frame", "idx", F.col(molecule_col).alias("m"))
-        pairs = pairs.join(m.withColumnsRenamed({"idx": "i", "m": "m1"}), ["frame", "i"]).join(m.withColumnsRenamed({"idx": "j", "m": "m2"}), ["frame", "j"]).filter("m1 = m2")
+        pairs = pairs.filter("m_i = m_j")
     new = pairs.select("frame", F.col("i").alias("a"), F.col("j").alias("b"), "image", F.sqrt("d2").alias("length"))
     return merge_bonds(existing, new) if existing is not None else new
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mesolite.cell import Cell
 from mesolite.functions.ieee import truth
-from mesolite.operators.neighbors import nearest, neighbors
+from mesolite.operators.neighbors import at_places, nearest, neighbors, places
 from mesolite.storage import written
 
 
@@ -53,8 +53,14 @@ def manual_selection(df: DataFrame, ids: DataFrame, id_col: str = "particle_iden
 def expand_selection(df: DataFrame, cell: Cell, mode: str = "cutoff", cutoff: float = 3.2, k: int = 1, iterations: int = 1, bonds: DataFrame | None = None) -> DataFrame:
     """Adds the neighbours of selected rows: within a cutoff, the k nearest (30 at most), or bonded."""
     if mode == "cutoff":
-        links = neighbors(df, cell, cutoff).select("frame", "i", "j")
-    elif mode == "nearest":
+        # whatever is at a chosen place is within any distance of it, so places are chosen
+        spots = written(places(df, F.max((F.col("selection") != 0).cast("int")).alias("selection")).filter("position IS NOT NULL"), "places")
+        for _ in range(iterations):
+            near = neighbors(spots.filter("selection = 1"), cell, cutoff, others=spots).select("frame", F.col("j").alias("idx")).distinct().withColumn("r__", F.lit(1))
+            spots = written(spots.join(near, ["frame", "idx"], "left").select("frame", "position", "idx", "n", F.greatest("selection", F.coalesce("r__", F.lit(0))).alias("selection")), "places")
+        reached = spots.filter("selection = 1").select("frame", "position", F.lit(1).alias("r__"))
+        return at_places(df, reached).withColumn("selection", F.when((F.col("selection") != 0) | F.col("r__").isNotNull(), 1).otherwise(0)).drop("r__")
+    if mode == "nearest":
         if not 1 <= k <= 30:
             raise ValueError("k must be between 1 and 30")
         links = nearest(df, cell, k).select("frame", "i", "j")
