@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mesolite.cell import Cell
-from mesolite.operators.neighbors import nearest
+from mesolite.operators.lists import nearest_lists
 
 OTHER, FCC, HCP, BCC, ICO, SC, CUBIC_DIAMOND, HEX_DIAMOND, GRAPHENE = range(9)
 NAMES = {OTHER: "OTHER", FCC: "FCC", HCP: "HCP", BCC: "BCC", ICO: "ICO", SC: "SC", CUBIC_DIAMOND: "CUBIC_DIAMOND", HEX_DIAMOND: "HEX_DIAMOND", GRAPHENE: "GRAPHENE"}
@@ -34,8 +34,8 @@ DEFAULT = (FCC, HCP, BCC)
 SIZES = {FCC: 12, HCP: 12, BCC: 14, ICO: 12, SC: 6, CUBIC_DIAMOND: 16, HEX_DIAMOND: 16, GRAPHENE: 9}
 #: Neighbours to list: where a second shell belongs to the first one's neighbours, a few more than the template has points.
 LISTED = SIZES | {CUBIC_DIAMOND: 20, HEX_DIAMOND: 20, GRAPHENE: 12}
-#: Particles whose hulls are computed at a time.
-CHUNK = 256
+#: Particles that are matched at a time, and those whose hulls are computed at a time.
+CHUNK, HULLS = 2048, 128
 SCHEMA = "frame int, idx long, structure int, rmsd double, interatomic_distance double, qx double, qy double, qz double, qw double, deformation array<double>, ordering_type int, neighbors array<long>"
 
 
@@ -92,7 +92,8 @@ def facets(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = p.shape[1]
     a, b, c = np.array(list(itertools.combinations(range(n), 3))).T
     normal = np.cross(p[:, b] - p[:, a], p[:, c] - p[:, a])
-    side = np.einsum("bti,bni->btn", normal, p) - np.einsum("bti,bti->bt", normal, p[:, a])[:, :, None]
+    side = normal @ p.transpose(0, 2, 1)
+    side -= np.take_along_axis(side, np.broadcast_to(a[:, None], (len(p), len(a), 1)), 2)
     t = np.arange(len(a))
     side[:, t, a] = side[:, t, b] = side[:, t, c] = 0
     below, above = (side <= 0).all(2), (side >= 0).all(2)
@@ -284,14 +285,25 @@ def _two_shells(points: np.ndarray, count: np.ndarray, inner: int, each: int) ->
     return who[apart], np.concatenate([np.broadcast_to(np.arange(inner), (len(who), inner)), outer], 1)[apart]
 
 
-def _sheets(m: Matches, points: np.ndarray, count: np.ndarray) -> None:
-    t = template(GRAPHENE)
-    who, near = _two_shells(points, count, 3, 2)
+@lru_cache
+def _sheet_orders() -> list[list[int]]:
+    """The ways to pair graphene's template with two shells; of those that the template's rotations map to each other the first."""
+    moves, known, out = template(GRAPHENE).moves, set(), []
     # template points 3 + 2 a and 4 + 2 a belong to a
     for inner in itertools.permutations(range(3)):
         for swap in itertools.product((0, 1), repeat=3):
             pick = [*inner, *[3 + 2 * inner[a] + (side ^ swap[a]) for a in range(3) for side in (0, 1)]]
-            m.offer(t, points, who, near[:, pick])
+            if tuple(pick) not in known:
+                out.append(pick)
+                known |= {tuple(np.array(pick)[g].tolist()) for g in moves}
+    return out
+
+
+def _sheets(m: Matches, points: np.ndarray, count: np.ndarray) -> None:
+    t = template(GRAPHENE)
+    who, near = _two_shells(points, count, 3, 2)
+    for pick in _sheet_orders():
+        m.offer(t, points, who, near[:, pick])
 
 
 def match(points: np.ndarray, count: np.ndarray, structures: tuple[int, ...]) -> Matches:
@@ -310,7 +322,11 @@ def match(points: np.ndarray, count: np.ndarray, structures: tuple[int, ...]) ->
             near = np.broadcast_to(np.arange(last), (len(who), last))
         shell = np.take_along_axis(points[who], near[:, first:, None], 1)
         # coplanar points are told apart by less than any noise
-        around, good = facets(shell + 1e-6 * np.linalg.norm(points[who, :1], axis=2, keepdims=True) * jitter[: last - first])
+        shell = shell + 1e-6 * np.linalg.norm(points[who, :1], axis=2, keepdims=True) * jitter[: last - first]
+        if not len(who):
+            continue
+        hulls = [facets(shell[lo : lo + HULLS]) for lo in range(0, len(who), HULLS)]
+        around, good = (np.concatenate(x) for x in zip(*hulls, strict=True))
         who, near, around = who[good], near[good], around[good]
         if not len(who):
             continue
@@ -390,21 +406,15 @@ def template_matching(df: DataFrame, cell: Cell, structures: tuple[int, ...] = D
     """
     structures = tuple(dict.fromkeys(structures))
     k = max(LISTED[s] for s in structures)
-    pairs = nearest(df, cell, k)
-    if type_col:
-        pairs = pairs.join(df.select("frame", F.col("idx").alias("j"), F.col(type_col).cast("long").alias("kind")), ["frame", "j"])
-    else:
-        pairs = pairs.withColumn("kind", F.lit(0).cast("long"))
-    near = pairs.groupBy("frame", F.col("i").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("rank", "j", "dx", "dy", "dz", "kind"))).alias("near"))
-    own = F.col(type_col).cast("long") if type_col else F.lit(0).cast("long")
-    rows = df.select("frame", "idx", own.alias("own")).join(near, ["frame", "idx"])
+    kind = F.col(type_col).cast("long") if type_col else F.lit(0).cast("long")
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                yield _matched(b.slice(at, CHUNK), k, structures)
+    def then(b: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [_matched(b.slice(at, CHUNK), k, structures) for at in range(0, b.num_rows, CHUNK)]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
 
-    found = rows.select("frame", "idx", F.coalesce("own", F.lit(-1)).alias("own"), "near").mapInArrow(run, SCHEMA)
+    # matched where the lists are made
+    rows = df.select(F.col("frame").cast("int").alias("frame"), "idx", "position", kind.alias("kind"))
+    found = nearest_lists(rows, cell, k, ("kind",), ("kind",), then, SCHEMA)
     fits = F.col("structure") > 0
     kept = fits & (F.col("rmsd") <= rmsd_cutoff) if rmsd_cutoff else fits
     q = F.when(kept, F.struct(F.col("qx").alias("x"), F.col("qy").alias("y"), F.col("qz").alias("z"), F.col("qw").alias("w")))
@@ -429,7 +439,7 @@ def _matched(b: pa.RecordBatch, k: int, structures: tuple[int, ...]) -> pa.Recor
     j[row, slot], types[row, slot] = flat.field("j").to_numpy(), flat.field("kind").fill_null(-1).to_numpy()
     m = match(points, count, structures)
     _least_turn(m)
-    ordering = _order(m, b.column("own").to_numpy(), types)
+    ordering = _order(m, b.column("own_kind").fill_null(-1).to_numpy(), types)
     rmsd = np.where(m.kind > 0, m.rmsd, 0.0)
     deformation, neighbors, distance = [None] * b.num_rows, [None] * b.num_rows, np.zeros(b.num_rows)
     for kind in np.unique(m.kind[m.kind > 0]):
