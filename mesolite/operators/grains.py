@@ -64,14 +64,15 @@ def grain_segmentation(matched: DataFrame, threshold: float = 4.0, min_size: int
     numbered = ranked(sizes, [F.desc("n"), F.asc("root")], "grain")
     known = written(root.join(numbered, ["frame", "root"]).select("frame", "idx", "grain"), "grains")
     if adopt and near is not None:
-        bonds = written(near.select("frame", "i", "j", "d2"), "grain-bonds")
+        left = written(matched.select("frame", "idx").join(known, ["frame", "idx"], "left_anti"), "grain-left")
+        bonds = written(near.select("frame", "i", "j", "d2").join(left.withColumnRenamed("idx", "i"), ["frame", "i"], "left_semi"), "grain-bonds")
         front, n = known, 1
-        left = matched.select("frame", "idx").join(known, ["frame", "idx"], "left_anti")
         while n:
-            offers = bonds.join(known.select("frame", F.col("idx").alias("j"), "grain"), ["frame", "j"]).join(left.withColumnRenamed("idx", "i"), ["frame", "i"], "left_semi")
+            # neighbours of earlier ones were adopted with the last front, so only the front has offers to make
+            offers = bonds.join(front.select("frame", F.col("idx").alias("j"), "grain"), ["frame", "j"]).join(left.withColumnRenamed("idx", "i"), ["frame", "i"], "left_semi")
             front, n = counted(offers.groupBy("frame", F.col("i").alias("idx")).agg(F.min_by("grain", F.struct("d2", "j")).alias("grain")), "grain-adopted")
-            known = written(known.unionByName(front), "grains")
-            left = left.join(front, ["frame", "idx"], "left_anti")
+            known = known.unionByName(front)
+            left = written(left.join(front, ["frame", "idx"], "left_anti"), "grain-left")
     return matched.drop("grain").join(known, ["frame", "idx"], "left").withColumn("grain", F.coalesce("grain", F.lit(0).cast("long")))
 
 

@@ -10,6 +10,7 @@ from mesolite.operators import fields as D
 from mesolite.operators import grains as GR
 from mesolite.operators import hulls as H
 from mesolite.operators import isosurface as I
+from mesolite.operators import lists as L
 from mesolite.operators import mesh as M
 from mesolite.operators import neighbors as N
 from mesolite.operators import templates as PT
@@ -120,8 +121,8 @@ def alpha_surface_particles(spark, sf):
 
 def _grained(spark, sf):
     p, box = crystals(spark, sf)
-    matched = written(PT.template_matching(p, box, EVERY), "matched")
-    return GR.grain_segmentation(matched, 10.0, 1, near=N.neighbors(p, box, 3.0))
+    matched = PT.template_matching(p, box, EVERY).select("frame", "idx", "structure_type", "orientation", "template_neighbors")
+    return GR.grain_segmentation(written(matched, "matched"), 10.0, 1, near=L.neighbor_pairs(p, box, 3.0))
 
 
 @query()
