@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from mesolite.cell import Cell, vec
 from mesolite.operators import mesh
 from mesolite.operators.clusters import components
-from mesolite.operators.neighbors import neighbors
+from mesolite.operators.lists import neighbor_lists
 from mesolite.operators.polyhedra import bounding_planes, cut_cells, padded
 from mesolite.storage import written
 
@@ -60,7 +60,7 @@ def _around(b: pa.RecordBatch, radius: float) -> list[pa.RecordBatch]:
     row = np.repeat(np.arange(count), np.diff(ends))
     get = lambda c: flat.field(c).to_numpy()
     d = np.stack([get("dx"), get("dy"), get("dz")], 1)
-    ids, images = get("j"), np.stack([get("x"), get("y"), get("z")], 1).astype(np.int64)
+    ids, images = get("j"), np.stack([get("ix"), get("iy"), get("iz")], 1).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=count))[:-1]])
     length = np.linalg.norm(d, axis=1)
     n, o = padded(row, count, d / length[:, None], length / 2)
@@ -69,7 +69,7 @@ def _around(b: pa.RecordBatch, radius: float) -> list[pa.RecordBatch]:
     wn, wo = bounding_planes(radius * 1.001)
     m = o.shape[1]
     cells = cut_cells(np.concatenate([n, np.broadcast_to(wn, (count, 6, 3))], 1), np.concatenate([o, np.broadcast_to(wo, (count, 6))], 1), split=0.0)
-    own, place = b.column("idx").to_numpy(), np.stack([b.column(f"p{c}").to_numpy() for c in "xyz"], 1)
+    own, place = b.column("idx").to_numpy(), np.stack([b.column(f"own_p{c}").to_numpy() for c in "xyz"], 1)
     solid = (np.linalg.norm(cells.corners, axis=1) < radius) & (cells.corner_planes < m).all(1)
     at = lambda cell, plane: first[cell] + plane  # noqa: E731  where a cell's plane stands in the flat list
 
@@ -114,6 +114,19 @@ def _around(b: pa.RecordBatch, radius: float) -> list[pa.RecordBatch]:
     return [r for r in out if r.num_rows]
 
 
+def apart(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The lists without neighbours at distance zero, and without the particles that have none left."""
+    near = b.column("near")
+    zero = near.flatten().field("d2").to_numpy() == 0
+    length = np.diff(near.offsets.to_numpy())
+    if zero.any():
+        row = np.repeat(np.arange(b.num_rows), length)
+        length = np.bincount(row[~zero], minlength=b.num_rows)
+        ends = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
+        b = b.set_column(b.schema.get_field_index("near"), "near", pa.ListArray.from_arrays(ends, near.flatten().filter(pa.array(~zero))))
+    return b.filter(pa.array(length > 0))
+
+
 def alpha_complex(df: DataFrame, cell: Cell, radius: float = 4.0) -> DataFrame:
     """The solid tetrahedra (kind 0: tetrahedron, volume), their outer facets (kind 1: a, b, c, corners, tetrahedron) and inner ones (kind 2: tetrahedron, beside).
 
@@ -125,16 +138,14 @@ def alpha_complex(df: DataFrame, cell: Cell, radius: float = 4.0) -> DataFrame:
     most = 1e-10 * float(np.linalg.norm(cell.array.sum(1)))
     shift = lambda d: (F.pmod(F.xxhash64("idx", F.lit(d)), F.lit(1 << 30)) / float(1 << 29) - 1) * F.lit(most)
     points = df.select(F.col("frame").cast("int").alias("frame"), "idx", vec(*[F.col(f"position.{c}") + shift(d) for d, c in enumerate("xyz")]).alias("position"))
-    pairs = neighbors(points, cell, 2 * radius).filter("d2 > 0")
-    near = pairs.groupBy("frame", F.col("i").alias("idx")).agg(F.collect_list(F.struct("j", *(F.col(f"image.{c}").alias(c) for c in "xyz"), "dx", "dy", "dz")).alias("near"))
-    rows = points.join(near, ["frame", "idx"]).select("frame", "idx", *(F.col(f"position.{c}").alias(f"p{c}") for c in "xyz"), "near")
+    points = points.withColumns({f"p{c}": F.col(f"position.{c}") for c in "xyz"})
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                yield from _around(b.slice(at, CHUNK), radius)
+    def then(b: pa.RecordBatch) -> list[pa.RecordBatch]:
+        b = apart(b)
+        return [r for at in range(0, b.num_rows, CHUNK) for r in _around(b.slice(at, CHUNK), radius)]
 
-    return rows.mapInArrow(run, SCHEMA)
+    # the complex is cut where the lists are made
+    return neighbor_lists(points, cell, 2 * radius, own=("px", "py", "pz"), then=then, schema=SCHEMA)
 
 
 class AlphaShape:
