@@ -11,7 +11,8 @@ from mesolite.llm._spark import counted, written
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of ``links``; a component's name is its smallest node.
 
-    Each round orders the nodes by a hash, afresh, hooks every node to the least
+    Each round orders the nodes, the first one by name (which contracts stars
+    around small names at once), later ones by a hash, afresh, hooks every node to the least
     of itself and its neighbours and replaces the nodes of all links by what
     they are hooked to.  Links inside a node drop out, so a round's table is a
     fraction of the last one's, whatever the shape of the graph.  The hooks of
@@ -32,7 +33,7 @@ def contracted(edges: DataFrame, n: int) -> DataFrame:
     """``components`` of a written table of ``n`` distinct links (a, b), a < b."""
     hooks = []
     while n:
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(hooks))).alias("h"), F.col(c).alias("id"))
+        order = lambda c: F.struct((F.xxhash64(F.col(c), F.lit(len(hooks))) if hooks else F.lit(0)).alias("h"), F.col(c).alias("id"))
         both = edges.select(F.col("a").alias("node"), order("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), order("a").alias("to")))
         hook = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("to", order("node"))["id"].alias("parent"))
         hook = written(hook, "hooks")

@@ -5,7 +5,9 @@ Two kinds of paragraphs of a document are compared:
 * lines of at least ``LINE`` words, as sets of five-word shingles; each has
   ``BANDS`` MinHash bands of ``ROWS`` rows, so a pair of Jaccard similarity 0.75
   meets in some band with probability 1 - (1 - 0.75 ** ROWS) ** BANDS (0.987,
-  0.9996 at 0.85), one of 0.3 with 0.2.  Lines that collide are verified by exact Jaccard similarity;
+  0.9996 at 0.85), one of 0.3 with 0.2.  Lines that collide are verified by exact Jaccard similarity.
+  Similar lines also share one of their rarest shingles, at most a quarter of each, so collisions
+  are looked for in the lists of those, and a band's unlike lines are not compared with one another;
 * passages between anchors, words whose hash is the least among ``REACH`` words
   to either side.  Anchors depend on the words near them only, so a passage
   that is copied into the middle of other text is cut alike there.  Passages
@@ -36,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesolite.llm import _words as W
+from mesolite.llm._fold import emit_chunks, fold_fixed
 from mesolite.llm._spark import counted, documents, written
-from mesolite.llm.jaccard_join import id_filter, link_components, maybe_in, verify
+from mesolite.llm.jaccard_join import id_filter, link_components, maybe_in, shared_postings, verify
 
 LEAST = 51
 LINE = 15
@@ -45,6 +48,7 @@ BANDS, ROWS = 8, 3
 REACH = 4
 AROUND = 20
 SHINGLE, PERCENT = 5, 75
+SKETCH_BITS = 20
 _U = np.uint64
 _NONE = np.uint16(0xFFFF)
 
@@ -193,10 +197,29 @@ def repeated_paragraphs(docs: DataFrame, keys: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "u long, doc_id long, s long, n long, line boolean, size int, d long, keys array<long>, left binary, right binary")
 
 
+def _held(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the row of each."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], np.repeat(np.arange(len(column)), np.diff(offsets))
+
+
+def colliding(classes: DataFrame) -> DataFrame:
+    """The rows of ``classes`` (id, keys, ...) with a band key that another one's have as well, and a few more."""
+    keys = classes.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"))
+    shared = classes.sparkSession.sparkContext.broadcast(id_filter(*counted(keys.filter("x != y").select("key"), "bands")))
+
+    def run(batches):
+        for batch in batches:
+            keys, row = _held(batch.column("keys"))
+            yield batch.filter(pa.array(np.bincount(row[maybe_in(keys, shared.value)], minlength=batch.num_rows) > 0))
+
+    return classes.mapInArrow(run, classes.schema)
+
+
 def line_sets(docs: DataFrame, wanted: DataFrame, held: int) -> DataFrame:
-    """(id, own): the shingle sets of (at least) the ``held`` lines ``wanted`` (id, doc_id), read again from their documents."""
+    """(id, own): the shingle sets of (at least) the ``held`` lines ``wanted`` (u, doc_id), by digest, read again from their documents."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((id_filter(wanted.select("doc_id"), held), id_filter(wanted.select("id"), held)))
+    shared = sc.broadcast((id_filter(wanted.select("doc_id"), held), id_filter(wanted.select("u"), held)))
 
     def run(batches):
         of_docs, of_lines = shared.value
@@ -209,11 +232,42 @@ def line_sets(docs: DataFrame, wanted: DataFrame, held: int) -> DataFrame:
                 digest, sets = _digests(p["shingles"], p["line_bounds"])
                 u = _line_ids(ids[row] if len(row) else np.zeros(0, np.int64), p["line_at"] - p["first"][row], digest).view(np.int64)
                 keep = np.flatnonzero(maybe_in(u, of_lines))
-                yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["id", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[keep].view(np.int64)), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["id", "own"])
 
     return docs.mapInArrow(run, "id long, own array<long>").groupBy("id").agg(F.first("own").alias("own"))
 
 
+def rarest(sets: DataFrame) -> DataFrame:
+    """(id, n, head): the size of each set and its shingles of which a set of the similarity has one at least, rarest among all sets first.
+
+    Any order that all sets keep gives the same links; this one, by hashed
+    counters of fixed size, gives short lists.
+    """
+
+    def count(batches):
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
+        for batch in batches:
+            at, n = np.unique(_held(batch.column(0))[0].view(_U) >> _U(64 - SKETCH_BITS), return_counts=True)
+            total[at.astype(np.int64)] += n.astype(np.int32)
+        yield emit_chunks(total)
+
+    shared = sets.sparkSession.sparkContext.broadcast(fold_fixed(sets.select("own"), count, "<i4", np.add))
+
+    def run(batches):
+        for batch in batches:
+            flat, row = _held(batch.column("own"))
+            rare = shared.value[(flat.view(_U) >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+            order = np.lexsort((flat, rare, row))
+            n = np.bincount(row, minlength=batch.num_rows)
+            most = n + -PERCENT * n // 100 + 1  # one more than may lie outside of a set that is similar
+            first = np.cumsum(n) - n
+            head = flat[order[np.arange(len(flat)) - first[row] < most[row]]]
+            ends = np.concatenate([[0], np.cumsum(most)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(head))], names=["id", "n", "head"])
+
+    return sets.select("id", "own").mapInArrow(run, "id long, n int, head array<long>")
+
+
 def extended(found: DataFrame) -> DataFrame:
     """(doc_id, s, n, keep) with the words around a passage that the kept copy has as well."""
 
@@ -231,6 +285,28 @@ def extended(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, s long, n long, keep long")
 
 
+def line_components(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(node, component) of the ``classes`` (id, doc_id, u, keys) of lines that share a band key and are similar; None if none are.
+
+    The lists that are joined are of shingles, not of bands: two sets of the
+    similarity have one of their rarest shingles in common, so each link is met
+    in such a list, and is taken if the two share a band key as well.
+    """
+    some, n = counted(colliding(classes), "colliding")
+    if not n:
+        return None
+    sets = written(line_sets(docs, some, n), "sets")
+    postings, n = shared_postings(written(rarest(sets), "rarest"))
+    bands = some.select("id", "keys")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        side = lambda c: bands.select(F.col("id").alias(c), F.col("keys").alias(f"keys{c}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("keysa", "keysb"))
+        return verify(met.select("a", "b"), sets, PERCENT)
+
+    return link_components(postings, n, check, PERCENT)
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, keep_doc_id): word spans to remove and the first document that keeps their text."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -239,33 +315,22 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     # passages: one key, exact
     cuts = units.filter(~F.col("line")).select(F.col("keys")[0].alias("key"), "doc_id", "s", "n", "left", "right")
     firsts = cuts.groupBy("key").agg(F.min(F.struct("doc_id", "s", "left", "right")).alias("k"), F.max("doc_id").alias("last")).filter(F.col("k.doc_id") != F.col("last"))
-    firsts = firsts.select("key", F.col("k.doc_id").alias("keep"), F.col("k.left").alias("kleft"), F.col("k.right").alias("kright"))
+    firsts = written(firsts.select("key", F.col("k.doc_id").alias("keep"), F.col("k.left").alias("kleft"), F.col("k.right").alias("kright")), "firsts")
     passages = extended(cuts.join(firsts, "key").filter("doc_id != keep"))
 
     # lines: classes of equal sets, collisions of classes, exact similarity, components
-    lines = units.filter("line").groupBy("u").agg(*(F.first(c).alias(c) for c in ("doc_id", "s", "n", "size", "d", "keys")))
-    lines = written(lines, "lines")
-    classes = lines.groupBy("d", "size").agg(F.min("u").alias("rep"))
-    named = written(lines.select("u", "d", "size").join(classes, ["d", "size"]).select("u", "rep"), "classes")
-    reps = lines.join(named.filter("u = rep").select("u"), "u", "left_semi")
-    held = reps.select(F.explode("keys").alias("token"), F.col("u").alias("id"), F.col("size").alias("n"), F.lit(0).alias("pos")).distinct()
-    several = held.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x != y").select("token")
-    held, n = counted(held.join(several, "token", "left_semi"), "bands")
-    of = reps.select(F.col("u").alias("id"), "doc_id")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted, n = counted(of.join(ids, "id", "left_semi"), "wanted")
-        return verify(pairs, written(line_sets(rows, wanted, n), "sets"), PERCENT)
-
-    comps = link_components(held, n, check, PERCENT)
+    lines = units.filter("line").groupBy("u").agg(*(F.first(c).alias(c) for c in ("doc_id", "s", "n", "d", "keys")))
+    lines = written(lines.withColumnRenamed("d", "id"), "lines")
+    classes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "u")).alias("k"), F.max("doc_id").alias("last"), F.first("keys").alias("keys"))
+    classes = written(classes.select("id", F.col("k.doc_id").alias("doc_id"), F.col("k.u").alias("u"), "last", "keys"), "classes")
+    comps = line_components(rows, classes)
+    classes = classes.select("id", F.col("doc_id").alias("keep"), "last")
     if comps is not None:
-        named = named.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("u", F.coalesce("component", "rep").alias("c"))
-    else:
-        named = named.select("u", F.col("rep").alias("c"))
-    named = lines.select("u", "doc_id", "s", "n").join(named, "u")
-    keeper = named.groupBy("c").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep != last").select("c", "keep")
-    alike = named.join(keeper, "c").filter("doc_id != keep").select("doc_id", "s", "n", "keep")
+        classes = written(classes.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")), "named")
+        keepers = written(classes.groupBy("c").agg(F.min("keep").alias("keep"), F.max("last").alias("last")).filter("keep != last"), "keepers")
+        classes = classes.select("id", "c").join(keepers, "c")
+    classes = written(classes.filter("keep != last").select("id", "keep"), "kept")
+    alike = lines.select("id", "doc_id", "s", "n").join(classes, "id").filter("doc_id != keep").select("doc_id", "s", "n", "keep")
 
     spans = alike.unionByName(passages).groupBy("doc_id", "s", "n").agg(F.min("keep").alias("keep"))
     order = Window.partitionBy("doc_id").orderBy("s", "n")

@@ -347,6 +347,26 @@ def test_repeated_passages_are_removed(spark):
     assert all(set(spans[k]) <= set(shared.split()) and len(spans[k]) >= 50 for k in range(1, 8))
 
 
+def test_unlike_lines_of_a_band_are_not_compared_in_pairs(spark, monkeypatch):
+    """Lines of one family meet in bands, but most are not similar: only the few that are, and no square of the family, are verified."""
+    base, compared = passage(77, 40).split(), []
+
+    def counting(pairs, sets, percent):
+        compared.append(pairs.count())
+        return jaccard_join.verify(pairs, sets, percent)
+
+    monkeypatch.setattr(substring_dedup, "verify", counting)
+    rows = []
+    for k in range(200):
+        own = base.copy()
+        own[7 + k % 10], own[24 + k % 9] = f"x{k}", f"y{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, f"{t} end") for k, t in rows[:5]] + [(2000, rows[3][1])]
+    got = substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string"), least=15).collect()
+    assert {r.doc_id for r in got if r.start_word == 0 and r.n_words >= 40} == {*range(1000, 1005), 2000}
+    assert 0 < sum(compared) <= 2 * len(rows)
+
+
 def test_exact_passages_against_brute_force(spark, edge_dir):
     """Copied passages of 51 and more words are found to the word, shorter ones are left alone."""
     cut = {k: passage(5000 + k, n) for k, n in enumerate((51, 50, 49, 52, 64, 90, 51, 51))}
