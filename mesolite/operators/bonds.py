@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mesolite.cell import Cell, image
-from mesolite.operators.neighbors import neighbors, neighbors_of_copies
+from mesolite.operators.lists import expanded, run_pairs
+from mesolite.operators.neighbors import neighbors
 
 
-def create_bonds(df: DataFrame, cell: Cell, cutoff: float = 3.2, pair_cutoffs: dict[tuple[int, int], float] | None = None, type_col: str = "particle_type", min_cutoff: float = 0.0, molecule_col: str | None = None, existing: DataFrame | None = None, copies: bool = False) -> DataFrame:
+def create_bonds(df: DataFrame, cell: Cell, cutoff: float = 3.2, pair_cutoffs: dict[tuple[int, int], float] | None = None, type_col: str = "particle_type", min_cutoff: float = 0.0, molecule_col: str | None = None, existing: DataFrame | None = None, copies: bool = False, length: Column | None = None) -> DataFrame:
     """(frame, a, b, image, length): one bond per pair within the cutoff.
 
     Of a pair's two directions the one from the lower index stays; a bond of a
@@ -17,14 +18,13 @@ def create_bonds(df: DataFrame, cell: Cell, cutoff: float = 3.2, pair_cutoffs: d
     ``pair_cutoffs`` gives cutoffs by unordered pair of types (others form no
     bonds), ``molecule_col`` keeps bonds within molecules, ``existing`` bonds
     are kept and not doubled.  ``copies`` says that many particles share places:
-    then pairs of places are found first.
+    then pairs of places are found and judged first.  ``length`` replaces the
+    root of ``d2``; it is taken once for all bonds of two places.
     """
     most = max(pair_cutoffs.values(), default=cutoff) if pair_cutoffs else cutoff
     rows = df.select("frame", "idx", "position", *([F.col(type_col).alias("t")] if pair_cutoffs else []), *([F.col(molecule_col).alias("m")] if molecule_col else []))
     keep = tuple(c for c in ("t", "m") if c in rows.columns)
-    pairs = (neighbors_of_copies if copies else neighbors)(rows, cell, most, keep=keep).filter(F.col("d2") >= min_cutoff * min_cutoff)
-    zero = image(F.lit(0), F.lit(0), F.lit(0))
-    pairs = pairs.filter((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & (F.col("image") > zero)))
+    pairs = (run_pairs if copies else neighbors)(rows, cell, most, keep=keep).filter(F.col("d2") >= min_cutoff * min_cutoff)
     if pair_cutoffs:
         limit = F.lit(None).cast("double")
         for (a, b), c in pair_cutoffs.items():
@@ -32,7 +32,11 @@ def create_bonds(df: DataFrame, cell: Cell, cutoff: float = 3.2, pair_cutoffs: d
         pairs = pairs.filter(F.col("d2") <= limit)
     if molecule_col:
         pairs = pairs.filter("m_i = m_j")
-    new = pairs.select("frame", F.col("i").alias("a"), F.col("j").alias("b"), "image", F.sqrt("d2").alias("length"))
+    sides = ["all_i", "all_j", "same"] if copies else ["i", "j"]
+    pairs = pairs.select("frame", *sides, "image", (F.sqrt("d2") if length is None else length).alias("length"))
+    zero = image(F.lit(0), F.lit(0), F.lit(0))
+    pairs = (expanded(pairs) if copies else pairs).filter((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & (F.col("image") > zero)))
+    new = pairs.select("frame", F.col("i").alias("a"), F.col("j").alias("b"), "image", "length")
     return merge_bonds(existing, new) if existing is not None else new
 
 
