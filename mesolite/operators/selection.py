@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,11 +105,14 @@ def slice_plane(df: DataFrame, normal=(1.0, 0.0, 0.0), distance: float = 0.0, sl
     return df.withColumn("selection", cut.cast("int")) if create_selection else df.filter(~cut)
 
 
-def delete_selected(df: DataFrame, topology: dict[str, tuple[DataFrame, list[str]]] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+def delete_selected(df: DataFrame, topology: dict[str, tuple[DataFrame | Callable[[DataFrame], DataFrame], list[str]]] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Removes selected rows and the topology rows (bonds, angles, ...) with a removed or invalid member.
 
     Indices stay dense: a row's new index is its old one less the removed rows
     before it, summed over blocks of ``BLOCK`` indices, so no task sees a frame.
+    Where topology follows from the particles alone, as bonds from distances, a
+    function may stand for the table: it is asked for the rows among those left,
+    by their new indices, and no row is joined.
     """
     topology = topology or {}
     kept = df.filter(F.col("selection") == 0).drop("selection")
@@ -119,10 +123,14 @@ def delete_selected(df: DataFrame, topology: dict[str, tuple[DataFrame, list[str
     numbered = kept.withColumn("part", F.floor(F.col("idx") / block)).withColumn("r__", F.row_number().over(w)).join(before, ["frame", "part"])
     numbered = written(numbered.withColumn("new", (F.col("base") + F.col("r__") - 1).cast("long")).drop("part", "r__", "base"), "kept")
     names = numbered.select("frame", F.col("idx").alias("o__"), F.col("new").alias("n__"))
+    left = numbered.withColumn("idx", F.col("new")).drop("new")
     out = {}
     for name, (table, members) in topology.items():
+        if callable(table):
+            out[name] = table(left)
+            continue
         t = table
         for m in members:
             t = t.withColumnRenamed(m, "o__").join(names, ["frame", "o__"]).withColumnRenamed("n__", m).drop("o__")
         out[name] = t.select(table.columns)
-    return numbered.withColumn("idx", F.col("new")).drop("new"), out
+    return left, out
